@@ -53,13 +53,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches(texts: list[str], max_chars: int):
-    """Index ranges (from, to) of consecutive texts with about ``max_chars`` characters each."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > max_chars:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers has a vocabulary; every node has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphline.llm import lsm_dedup, sharding
-from graphline.llm.common import read_table
+from graphline.llm import bpe, lsm_dedup, sharding, token_counts, token_store
+from graphline.llm.common import read_table, tokenizer_path
+
+
+def op1_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
@@ -28,7 +40,10 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_directly_addressable_codes": op1_directly_addressable_codes,
     "op3_sampled_splitters": op3_sampled_splitters,
+    "op4_token_counts": op4_token_counts,
+    "op9_pair_index_bpe": op9_pair_index_bpe,
     "op10_lsm_dedup": op10_lsm_dedup,
 }
 
