@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphline.llm import bpe, lsm_dedup, sharding, token_counts, token_store
+from graphline.llm import bpe, lsm_dedup, packing, sharding, token_counts, token_store
 from graphline.llm.common import read_table, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": op1_directly_addressable_codes,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_token_counts": op4_token_counts,
+    "op6_shortest_pack_first": op6_shortest_pack_first,
     "op9_pair_index_bpe": op9_pair_index_bpe,
     "op10_lsm_dedup": op10_lsm_dedup,
 }
