@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphline.llm import bpe, lsm_dedup, packing, sharding, token_counts, token_store
+from graphline.llm import bpe, lsm_dedup, packing, sharding, token_counts, token_store, warc
 from graphline.llm.common import read_table, tokenizer_path
 
 
@@ -26,6 +26,10 @@ def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op9_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -48,8 +52,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_token_counts": op4_token_counts,
     "op6_shortest_pack_first": op6_shortest_pack_first,
+    "op8_warc_capture_index": op8_warc_capture_index,
     "op9_pair_index_bpe": op9_pair_index_bpe,
     "op10_lsm_dedup": op10_lsm_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_lsm_dedup": OP10_SQL}
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc_capture_index": OP8_SQL, "op10_lsm_dedup": OP10_SQL}
