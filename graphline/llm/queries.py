@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphline.llm import bpe, lsm_dedup, packing, sharding, token_counts, token_store, warc
+from graphline.llm import bpe, fertility, lsm_dedup, packing, sharding, token_counts, token_store, warc
 from graphline.llm.common import read_table, tokenizer_path
 
 
@@ -14,6 +14,10 @@ def op1_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFram
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ FROM d
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_directly_addressable_codes": op1_directly_addressable_codes,
+    "op2_fertility_rules": op2_fertility_rules,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_token_counts": op4_token_counts,
     "op6_shortest_pack_first": op6_shortest_pack_first,
