@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphline.llm import bpe, fertility, lsm_dedup, packing, sharding, token_counts, token_store, warc
+from graphline.llm import bpe, fertility, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
 from graphline.llm.common import read_table, tokenizer_path
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.perplexity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fertility_rules": op2_fertility_rules,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_token_counts": op4_token_counts,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_shortest_pack_first": op6_shortest_pack_first,
     "op8_warc_capture_index": op8_warc_capture_index,
     "op9_pair_index_bpe": op9_pair_index_bpe,
