@@ -17,14 +17,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphline.llm.common import ascii_lower, documents, stored
+from graphline.llm.common import ascii_lower, documents, shuffle_partitions, stored
 
 #: Identifier of a row without doc_id; larger than any other.
 NONE = 2**63 - 1
-BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
+
+
+def bloom(rows_per_file: int) -> dict[str, str]:
+    """Options for a Bloom filter on the digest, sized for the rows that a file will have."""
+    return {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(64, rows_per_file))}
 
 
 class LsmIndex:
@@ -33,8 +37,8 @@ class LsmIndex:
     ``best`` is struct(ident, rid): the smallest identifier, ties by row number.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, fanout: int = 4, rows_per_file: int = 1 << 16):
+        self.fanout, self.options = fanout, bloom(rows_per_file)
         self.levels: list[list[DataFrame]] = [[]]
 
     def insert(self, batch: DataFrame) -> None:
@@ -44,7 +48,7 @@ class LsmIndex:
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stored(rows.sortWithinPartitions("digest"), f"run-l{level}", **BLOOM))
+        self.levels[level].append(stored(rows.sortWithinPartitions("digest"), f"run-l{level}", **self.options))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._put(level + 1, self._merged(full))
@@ -77,11 +81,11 @@ def dedup(docs: DataFrame, keep: str = "largest", memtables: int = 4, fanout: in
     ident = F.coalesce(F.bitwise_not(F.col("doc_id")) if keep == "largest" else F.col("doc_id"), F.lit(NONE))
     slim = stored(rows.select("doc_id", "digest", ident.alias("ident"), F.monotonically_increasing_id().alias("rid")), "digests")
 
-    index = LsmIndex(docs.sparkSession, fanout)
+    index = LsmIndex(fanout, rows_per_file=slim.count() // shuffle_partitions(docs.sparkSession))
     table = F.pmod(F.xxhash64("rid"), F.lit(memtables))
     for k in range(memtables):
         index.insert(slim.where(table == k).select("digest", "ident", "rid"))
-    found = stored(index.compacted(), "index", **BLOOM)
+    found = stored(index.compacted(), "index", **index.options)
 
     labelled = slim.join(found, "digest")
     by_text = _regrouped(rows, slim, found)
