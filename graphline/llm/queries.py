@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphline.llm import bpe, fertility, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
+from graphline.llm import bpe, fertility, jaccard, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
 from graphline.llm.common import read_table, tokenizer_path
 
 
@@ -34,6 +34,10 @@ def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_kneser_ney": op5_kneser_ney,
     "op6_shortest_pack_first": op6_shortest_pack_first,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_warc_capture_index": op8_warc_capture_index,
     "op9_pair_index_bpe": op9_pair_index_bpe,
     "op10_lsm_dedup": op10_lsm_dedup,
