@@ -116,3 +116,19 @@ def _regrouped(rows: DataFrame, slim: DataFrame, found: DataFrame) -> DataFrame
     placed = slim.alias("s").join(texts.alias("t"), (F.col("s.digest") == F.col("t.digest")) & F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))).select("t.digest", "t.norm", "s.ident", "s.rid")
     best = placed.groupBy("digest", "norm").agg(F.min(F.struct("ident", "rid")).alias("own_best"), F.count(F.lit(1)).alias("own_records"))
     return placed.join(best, ["digest", "norm"]).select("rid", "own_best", "own_records")
+
+
+def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """The documents that ``dedup`` keeps, with all their columns."""
+    found = dedup(docs, keep)
+    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id", "text_sha256").distinct()
+    spare = found.where("kept AND doc_id IS NULL").select("text_sha256").distinct()
+    digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
+    twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), digest.alias("text_sha256"))
+    # rows that repeat doc_id and text are one document
+    good = rows.join(kept, ["doc_id", "text_sha256"], "left_semi")
+    once = good.join(twice, F.col("doc_id") == F.col("twice"), "left_anti").select("row")
+    again = good.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").groupBy("doc_id", "text_sha256").agg(F.first("row").alias("row")).select("row")
+    nameless = rows.where("doc_id IS NULL").join(spare, "text_sha256", "left_semi").groupBy("text_sha256").agg(F.first("row").alias("row")).select("row")
+    return once.union(again).union(nameless).select("row.*")
