@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphline.llm.common import stored
+from graphline.llm.common import documents, stored
 from graphline.llm.components import components
 from graphline.llm.encode import text_batches
 
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
     are ignored. ``sample_docs``, ``least`` and ``most`` bound the sample that
     orders the shingles; they bear on speed only.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     table = stored(signatures(docs, frequent_shingles(docs, sample_docs, least, most), percent), "signatures")
 
     # equal sets are one node, their smallest doc_id
