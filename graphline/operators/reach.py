@@ -101,6 +101,6 @@ def inbound_paths(graph: PropertyGraph, focus: str, depth: int = 3, most: int =
     """(source, hops, path, node_id) of the nearest callers by (distance, node order), as label texts of at most ``labels`` steps."""
     order = graph.nodes.select("node_id", "ord", label().alias("label"))
     near = paths_to(graph, focus, depth).where("depth > 0").join(order.select("node_id", "ord"), "node_id").orderBy("depth", "ord", "node_id").limit(most)
-    steps = near.select("node_id", "depth", F.posexplode("path").alias("at", "step")).join(order.select(F.col("node_id").alias("step"), "label"), "step")
-    listed = steps.groupBy("node_id", "depth").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("s"))
-    return listed.select(F.col("s")[0]["label"].alias("source"), F.col("depth").alias("hops"), path_text(F.col("s.label"), labels).alias("path"), "node_id")
+    steps = near.select("node_id", "depth", "ord", F.posexplode("path").alias("at", "step")).join(order.select(F.col("node_id").alias("step"), "label"), "step")
+    listed = steps.groupBy("node_id", "depth", "ord").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("s"))
+    return listed.orderBy("depth", "ord", "node_id").select(F.col("s")[0]["label"].alias("source"), F.col("depth").alias("hops"), path_text(F.col("s.label"), labels).alias("path"), "node_id")

@@ -17,10 +17,10 @@ GRAPH_GLOB = "*.callgraph.json"
 
 def documents(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
     """One row per file: path, file name, stem, whether it could be parsed, and the columns of GRAPH_DOCUMENT. Never fails on bad JSON."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    text = reader.text(paths if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
+    text = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     parsed = F.from_json("value", GRAPH_DOCUMENT, {"mode": "PERMISSIVE"})
     whole = F.try_parse_json("value")
@@ -131,7 +131,7 @@ def largest_files(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
 
 def excluded_paths(spark: SparkSession, report: str, data_dir: str) -> DataFrame:
     """Paths of an exclusion report (a JSON array): relative_path below ``data_dir``, else path; other entries are skipped."""
-    text = spark.read.option("wholetext", True).text(report)
+    text = spark.read.text(report, wholetext=True)
     is_array = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
     rows = text.select(F.when(is_array, F.from_json("value", "array<string>")).otherwise(F.raise_error(F.lit("an exclusion report is a JSON array")).cast("array<string>")).alias("r")).select(F.explode("r").alias("one"))
     entry = rows.select(F.from_json("one", "relative_path string, path string").alias("e")).select("e.*")
@@ -140,7 +140,7 @@ def excluded_paths(spark: SparkSession, report: str, data_dir: str) -> DataFrame
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """One row per module: module, source (file), and the columns of METADATA_DOCUMENT; of several files of a module the first by path. Bad JSON is left out."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder).select("value", F.col("_metadata.file_path").alias("source"))
+    rows = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
     rows = rows.where(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
     stem = F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"\.json$", "")
     rows = rows.select(normalised_module(stem).alias("module"), "source", F.from_json("value", METADATA_DOCUMENT).alias("m"))

@@ -16,7 +16,7 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, **trigge
 
     A batch that is run again overwrites its own partition, so every file counts once.
     """
-    files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", GRAPH_GLOB).option("recursiveFileLookup", True).text(folder)
+    files = spark.readStream.option("pathGlobFilter", GRAPH_GLOB).option("recursiveFileLookup", True).text(folder, wholetext=True)
     files = files.select("value", F.col("_metadata.file_path").alias("path"))
 
     def save(batch: DataFrame, number: int) -> None:
