@@ -162,7 +162,7 @@ def module_exports(meta: DataFrame) -> DataFrame:
 
 def modules(meta: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """The record of each binary: program, path, sha256, file_version, pdb_guid, pdb_age (of the first RSDS entry)."""
-    first = F.filter("debug", lambda d: d["codeview"]["signature"] == "RSDS")[0]["codeview"]
+    first = F.get(F.filter("debug", lambda d: d["codeview"]["signature"] == "RSDS"), F.lit(0))["codeview"]
     rows = meta.select(F.col("module").alias("program"), F.coalesce("path", "source").alias("path"), first["guid"].alias("pdb_guid"), first["age"].alias("pdb_age"))
     if digests is None:
         return rows.select("program", "path", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("file_version"), "pdb_guid", "pdb_age")
