@@ -22,6 +22,9 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 CAREFUL = re.compile(r"(?<=\S)(?=[ \n])")
 WORDS = re.compile(r"[^ \n]+")
 
+#: Chunks that an encoder remembers; about 200 bytes each.
+MAX_CHUNKS = 1_000_000
+
 
 def byte_level_chunks(text: str) -> list[str]:
     """Cuts for byte-level BPE whose pre-tokens hold white space at their front only."""
@@ -57,7 +60,7 @@ class ChunkEncoder:
     emptied before a batch once it holds ``max_chunks`` chunks or ``max_chars`` characters.
     """
 
-    def __init__(self, chunks: Callable[[str], list[str]], encode_many: Callable[[list[str]], list], max_chunks: int = 300_000, max_chars: int = 16 << 20):
+    def __init__(self, chunks: Callable[[str], list[str]], encode_many: Callable[[list[str]], list], max_chunks: int = MAX_CHUNKS, max_chars: int = 24 << 20):
         self.chunks, self.encode_many, self.max_chunks, self.max_chars = chunks, encode_many, max_chunks, max_chars
         self._clear()
 
@@ -174,8 +177,12 @@ def _piece(path: str) -> ChunkEncoder:
 MAKERS = {"byte": _byte_level, "word": _word_level, "piece": _piece}
 
 
-def encoder(kind: str, path: str) -> ChunkEncoder:
-    """``kind``: byte (byte-level BPE), word (BPE with word ends, white space dropped), piece (sentencepiece)."""
+def encoder(kind: str, path: str, max_chunks: int = MAX_CHUNKS) -> ChunkEncoder:
+    """``kind``: byte (byte-level BPE), word (BPE with word ends, white space dropped), piece (sentencepiece). A worker keeps the last two."""
     if (kind, path) not in _KEPT:
+        while len(_KEPT) > 1:
+            _KEPT.pop(next(iter(_KEPT)))
         _KEPT[kind, path] = MAKERS[kind](path)
-    return _KEPT[kind, path]
+    found = _KEPT[kind, path]
+    found.max_chunks = max_chunks
+    return found

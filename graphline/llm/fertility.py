@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphline.llm.common import stored
-from graphline.llm.encode import encoder, per_text, text_batches
+from graphline.llm.encode import MAX_CHUNKS, encoder, per_text, text_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Two encoders share a worker, so each remembers less.
+HALF = MAX_CHUNKS // 3
 
 #: First code point of blocks, and the script that begins there.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
@@ -91,9 +93,9 @@ def script_of(text: str) -> str:
 
 def token_measures(texts: list[str], piece_model: str, byte_model: str) -> dict[str, np.ndarray]:
     """Tokens and measures of each text; texts without tokens measure 0."""
-    piece = encoder("piece", piece_model)
+    piece = encoder("piece", piece_model, HALF)
     ids, sizes = piece.encode(texts)
-    byte_tokens = encoder("byte", byte_model).lengths(texts)
+    byte_tokens = encoder("byte", byte_model, HALF).lengths(texts)
     chars = np.fromiter(map(len, texts), np.int64, len(texts))
     is_byte = (ids >= 3) & (ids < 259)  # the byte pieces of the model
     owner = np.repeat(np.arange(len(texts)), sizes)
