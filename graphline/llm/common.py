@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphline.plans.iterate import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the driver and all executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is
-    unset (local tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphline/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/graphline/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
