@@ -40,9 +40,11 @@ from graphline.llm.encode import text_batches
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SIZE, PERCENT = 5, 75
 TILE, BUFFER, LEADERS = 4096, 1 << 16, 64
+#: Percent by which an estimated similarity is safely over the limit.
+MARGIN = 4
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
-#: Bits of the narrowest and the widest bitmap.
-NARROW, WIDE = 64, 8192
+#: Bits of the narrowest and the widest bitmap, and least bits for each shingle in between.
+NARROW, WIDE, SPREAD = 64, 16384, 2
 
 
 class _Hashes(dict):
@@ -84,7 +86,7 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     width = NARROW
-    while width < min(len(shingles), WIDE):
+    while width < min(SPREAD * len(shingles), WIDE):
         width *= 2
     bits = np.bincount(((shingles * B) >> np.uint64(40)).astype(np.int64) % width, minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
@@ -252,7 +254,8 @@ def pairs_of_tile(ids: np.ndarray, n: np.ndarray, bits: list[bytes], block: np.n
             near = similarity(n[one], n[rest], differ, width)
             good = may_link(n[one], n[rest], differ, percent) & (100 * near >= percent) & (ids[rest] != ids[one])
             yield ids[rest[good]], np.full(good.sum(), ids[one]), near[good]
-            free = rest[~good]
+            # a partner that is only just similar may fail the test: look for another
+            free = rest[~(good & (100 * near >= percent + MARGIN))]
         return
     order = np.argsort(n, kind="stable")
     for k, one in enumerate(order):
@@ -273,15 +276,17 @@ def pairs_of_tile(ids: np.ndarray, n: np.ndarray, bits: list[bytes], block: np.n
 PAIRS = "a long, b long, la long, lb long, near double"
 
 
-def tile_pairs(members: DataFrame, leaders: bool, percent: int) -> DataFrame:
-    """Candidate pairs (PAIRS) of all tiles; ``members``: tile, i, j, doc_id, n, bits, block, label."""
+def tile_pairs(members: DataFrame, leaders: bool, best: bool, percent: int) -> DataFrame:
+    """Candidate pairs (PAIRS) of all tiles, with ``best`` only the nearest of two labels that a task finds; ``members``: tile, i, j, doc_id, n, bits, block, label."""
     rows = members.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "doc_id").select("tile", "i", "j", "doc_id", "n", "bits", "block", "label")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        made: list[np.ndarray] = []
         open_tile = None
 
         def done() -> Iterator[pa.RecordBatch]:
+            """The pairs of the open tile; those of many tiles are reduced before they go out."""
             table = pa.Table.from_batches(held)
             ids, n, block, label = (table.column(c).to_numpy() for c in ("doc_id", "n", "block", "label"))
             if len(ids) < 2 or not leaders and (label == label[0]).all():
@@ -290,7 +295,12 @@ def tile_pairs(members: DataFrame, leaders: bool, percent: int) -> DataFrame:
             for a, b, near in pairs_of_tile(ids, n, table.column("bits").to_pylist(), block, label, leaders, percent):
                 if len(a):
                     la, lb = (np.array([of[x] for x in side.tolist()], np.int64) for side in (a, b))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(la), pa.array(lb), pa.array(near)], ["a", "b", "la", "lb", "near"])
+                    rows = np.rec.fromarrays([a, b, la, lb, near], dtype=ROWS)
+                    made.append(rows)
+                    if sum(map(len, made)) > HELD:
+                        made[:] = [reduced(np.concatenate(made), best)]
+                        if len(made[0]) > HELD // 2:
+                            yield batch_of(made.pop())
 
         for batch in parts:
             t = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
@@ -305,10 +315,35 @@ def tile_pairs(members: DataFrame, leaders: bool, percent: int) -> DataFrame:
                 held.append(batch.slice(s, e - s))
         if held:
             yield from done()
+        if made:
+            yield batch_of(reduced(np.concatenate(made), best))
 
     return rows.mapInArrow(run, PAIRS)
 
 
+ROWS = np.dtype([("a", np.int64), ("b", np.int64), ("la", np.int64), ("lb", np.int64), ("near", np.float64)])
+#: Pairs that a task holds before it reduces them.
+HELD = 1 << 18
+
+
+def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ROWS.names], list(ROWS.names))
+
+
+def reduced(rows: np.ndarray, best: bool) -> np.ndarray:
+    """Distinct pairs; with ``best`` the nearest of each two labels."""
+    if best:
+        low, high = np.minimum(rows["la"], rows["lb"]), np.maximum(rows["la"], rows["lb"])
+        order = np.lexsort((-rows["near"], high, low))
+    else:
+        low, high = rows["a"], rows["b"]
+        order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return rows[order[first]]
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) those that link, by intersecting the sorted arrays of shingles."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -362,20 +397,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
     same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     held = tiles(table).join(rep, "doc_id").select("tile", F.col("rep").alias("doc_id")).distinct()
     size = held.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    held = held.join(size, "tile").join(known.select("doc_id", "n", "bits").distinct(), "doc_id")
-    held = held.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long"))
+    held = held.join(size, "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
     held = held.withColumn("to", other).withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
-    held = stored(held.select("tile", "i", "j", "doc_id", "n", "bits", "block"), "tiles")
+    held = stored(held.select("tile", "i", "j", "doc_id", "block"), "tiles")
+    maps = stored(known.select("doc_id", "n", "bits").distinct(), "bitmaps")
 
     found = same
     done = None
     label: DataFrame | None = None
     for step in range(3):
-        members = held.withColumn("label", F.col("doc_id")) if label is None else held.join(label, held.doc_id == label.node, "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
-        pairs = tile_pairs(members, step == 0, percent)
+        members = held.withColumn("label", F.col("doc_id"))
+        if label is not None:
+            members = held.join(label, held.doc_id == label.node, "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+        if step:
+            # tiles within one component are done with; bitmaps are fetched for the others alone
+            members = stored(members, "members")
+            mixed = members.groupBy("tile", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tile", "i", "j")
+            members = members.join(mixed, ["tile", "i", "j"], "left_semi")
+        pairs = tile_pairs(members.join(maps, "doc_id"), step == 0, step == 1, percent)
         if step == 0:
-            picked = pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", "b")
+            sure = F.when(F.col("near") * 100 >= percent + MARGIN, F.col("b"))
+            picked = pairs.groupBy("a").agg(F.array_distinct(F.array_compact(F.array(F.min("b"), F.min(sure)))).alias("b")).select("a", F.explode("b").alias("b"))
         elif step == 1:
             picked = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
         else:
