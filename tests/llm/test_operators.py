@@ -225,7 +225,7 @@ def test_bounds_hold():
 
 def test_kneser_ney(docs, nothing, spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(100, 1, 0), (101, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    letters, table = kneser_ney.train(kneser_ney.trusted_text(docs.select("doc_id", "text"), labels))
+    letters, table = kneser_ney.train(kneser_ney.trusted_text(docs.select("doc_id", "text"), labels), docs)
     p = np.exp2(table.astype(float)).reshape(-1, kneser_ney.SYMBOLS)
     sums = p.sum(axis=1)
     assert abs(sums - 1).max() < 1e-3  # every context has a distribution
