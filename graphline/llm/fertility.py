@@ -10,8 +10,11 @@ base rules. A text is rejected where a measure leaves the band
 
     median - below * scale  <=  measure  <=  median + above * scale
 
-with scale = max(IQR / 1.349, floor). A group of fewer than ``least`` texts has no
-band and rejects nothing.
+with scale = max(IQR / 1.349, floor). Where fewer than ``least`` texts have that
+language and size, the nearest sizes are pooled until there are as many, if need be
+all of the language; a language of fewer texts is judged by all texts of the
+nearest sizes. Entropy is first moved by what its median over all texts
+differs between the sizes. So some band judges every text, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphline.llm.common import stored
@@ -49,10 +52,12 @@ class Band:
     above: float | None
     floor: float = 0.0
     relative: float = 0.0
+    #: The measure grows with the token count, so texts of other sizes are moved before they are pooled.
+    grows: bool = False
 
 
 BANDS = (
-    Band("entropy", below=4.0, above=None, floor=0.12),
+    Band("entropy", below=4.0, above=None, floor=0.12, grows=True),
     Band("tokens_per_word", below=None, above=8.0, relative=0.03),
     Band("chars_per_token", below=10.0, above=10.0, relative=0.02),
     Band("chars_per_token_b", below=10.0, above=10.0, relative=0.02),
@@ -146,18 +151,57 @@ def hash_text(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "little", signed=True)
 
 
+def pooled_sizes(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, size, fertility_size): for each size the nearest sizes that together have ``least`` texts, or all; ``cells``: keys, fertility_size, n."""
+    near = cells.select(*keys, F.col("fertility_size").alias("size")).join(cells, keys) if keys else cells.select(F.col("fertility_size").alias("size")).crossJoin(cells)
+    near = near.withColumn("away", F.abs(F.col("size") - F.col("fertility_size")))
+    closer = Window.partitionBy(*keys, "size").orderBy("away").rangeBetween(Window.unboundedPreceding, -1)
+    return near.withColumn("before", F.coalesce(F.sum("n").over(closer), F.lit(0))).where(F.col("before") < least).select(*keys, "size", "fertility_size")
+
+
 def fit_bands(table: DataFrame, bands: tuple[Band, ...] = BANDS, least: int = 40) -> DataFrame:
-    """One row per group and size: low_<measure> and high_<measure>, null where unbounded."""
-    good = table.where(~F.col("base_failed")).select("text_hash", "fertility_group", "fertility_size", *[b.measure for b in bands]).dropDuplicates(["text_hash"])
-    quartiles = [F.percentile_approx(b.measure, [0.25, 0.5, 0.75], 1000).alias(b.measure) for b in bands]
-    fitted = good.groupBy("fertility_group", "fertility_size").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= least)
+    """One row per group and size of texts that pass the base rules: low_<measure> and high_<measure>, null where unbounded."""
+    cell = ["fertility_group", "fertility_size"]
+    passed = table.where(~F.col("base_failed"))
+    good = stored(passed.select("text_hash", *cell, *[b.measure for b in bands]).dropDuplicates(["text_hash"]), "usual")
+    # one row per group and size; a text of several groups counts in one of them, but is judged in each
+    counted = good.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(passed.select(*cell).distinct().join(counted, cell, "left").fillna(0, ["n"]), "cells")
+    total = cells.groupBy("fertility_group").agg(F.sum("n").alias("total"))
+    large = cells.join(total.where(F.col("total") >= least), "fertility_group").drop("total")
+    small = cells.join(total.where(F.col("total") < least), "fertility_group").select(*cell)
+    sizes = cells.groupBy("fertility_size").agg(F.sum("n").alias("n"))
+
+    # medians over all texts by size, of the nearest size of enough texts. Entropy does not fall
+    # as texts grow, and twice the tokens add one bit at most: where no size is near, both
+    # limits are taken so that they reject less
+    growing = [b.measure for b in bands if b.grows]
+    middles = good.groupBy("fertility_size").agg(F.count(F.lit(1)).alias("n"), F.struct(*[F.percentile_approx(m, 0.5, 1000).alias(m) for m in growing]).alias("usual")).where(F.col("n") >= max(1, least // 4))
+    away = F.struct(F.abs(F.col("size") - F.col("fertility_size")), "fertility_size")
+    usual = sizes.select(F.col("fertility_size").alias("size")).crossJoin(middles).groupBy("size").agg(F.min_by("usual", away).alias("usual"), F.min_by("fertility_size", away).alias("of"))
+    short = F.greatest(F.col("of") - F.col("size"), F.lit(0))
+    usual = usual.select("size", F.struct(*[(F.col("usual")[m] - short).alias(m) for m in growing]).alias("usual"))
+    usual = stored(usual, "medians")
+
+    def quartiles(pools: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+        """Of the texts that ``pools`` gathers, by keys and size."""
+        moved = pools.join(usual, "size", "left").join(usual.select(F.col("size").alias("fertility_size"), F.col("usual").alias("own")), "fertility_size", "left")
+        moved = moved.select(*by, "size", *[F.coalesce(F.col("usual")[m] - F.col("own")[m], F.lit(0.0)).alias(f"move_{m}") for m in growing])
+        value = {b.measure: F.col(b.measure) + F.col(f"move_{b.measure}") if b.grows else F.col(b.measure) for b in bands}
+        return good.join(moved, by).groupBy(*keys, "size").agg(*[F.percentile_approx(value[b.measure], [0.25, 0.5, 0.75], 1000).alias(b.measure) for b in bands]).withColumnRenamed("size", "fertility_size")
+
+    own = quartiles(pooled_sizes(large, ["fertility_group"], least), cell, ["fertility_group"])
+    # sizes of small groups alone; no text is gathered where every group is large
+    wanted = small.select(F.col("fertility_size").alias("size")).distinct()
+    every = small.join(quartiles(pooled_sizes(sizes, [], least).join(wanted, "size"), ["fertility_size"], []), "fertility_size")
+    fitted = own.unionByName(every)
     bounds = []
     for b in bands:
         low, middle, high = (F.col(b.measure)[k] for k in range(3))
         scale = F.greatest((high - low) / 1.349, F.lit(b.floor), F.abs(middle) * b.relative)
         bounds.append((F.lit(None).cast("double") if b.below is None else middle - b.below * scale).alias(f"low_{b.measure}"))
         bounds.append((F.lit(None).cast("double") if b.above is None else middle + b.above * scale).alias(f"high_{b.measure}"))
-    return fitted.select("fertility_group", "fertility_size", *bounds)
+    return fitted.select(*cell, *bounds)
 
 
 def verdict(bands: tuple[Band, ...] = BANDS) -> Column:

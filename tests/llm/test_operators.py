@@ -114,6 +114,20 @@ def test_fertility_bands_reject(spark):
     assert not found.pop(1000) and sum(found.values()) >= 396
 
 
+def test_fertility_bands_of_few_texts(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice(["the", "er", "ing", "st", "re", "an"]) for _ in range(2)) for _ in range(n))
+    odd = lambda n: " ".join(w + "$$$###" for w in prose(n).split())
+    # no size of a language has 40 texts, and one language has few at any size
+    rows = [(k, prose(rng.choice([20, 40, 80, 160, 320, 640])), "en") for k in range(100)] + [(k, prose(rng.choice([40, 80, 160])), "de") for k in range(100, 110)]
+    rows += [(1000, odd(100), "en"), (1001, odd(3000), "en"), (1002, odd(15), "en"), (1003, odd(60), "de"), (1004, odd(60), None)]
+    for given in (rows, [r for r in rows if r[0] >= 100 and r[2] == "de"]):
+        found = {r["doc_id"]: r["kept"] for r in fertility.quality(frame(spark, given), PIECE, BYTE).collect()}
+        assert len(found) == len(given)
+        assert not any(kept for i, kept in found.items() if i >= 1000)
+        assert sum(kept for i, kept in found.items() if i < 1000) >= 0.98 * sum(i < 1000 for i in found)
+
+
 def test_sharding(docs, nothing, spark):
     for frame_, shards in ((docs, 24), (docs, 5)):
         found = sharding.shard(frame_, shards, range_bytes=500).collect()
