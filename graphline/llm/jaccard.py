@@ -428,8 +428,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
             picked = picked.join(done, ["a", "b"], "left_anti")
         picked = stored(picked, "pairs")
         if picked.isEmpty():
-            if step:
-                break
+            # at step 1 the best pairs may all have been tested, with other pairs left for step 2
             continue
         done = picked if done is None else done.union(picked)
         found = found.union(stored(verified(picked, docs, percent), "links"))

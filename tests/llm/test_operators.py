@@ -225,6 +225,23 @@ def test_jaccard_tiles_of_several_blocks(spark, monkeypatch):
     assert found == components(rows)
 
 
+def test_jaccard_best_pair_tested_before(spark):
+    """1-3 links, 1-2 seems nearer than 2-3 but fails the test of the first round, and 2-3 links."""
+    shared, own = [f"w{k}" for k in range(175)], [f"x{k}" for k in range(29)]
+    for seed in range(2000):
+        other = [f"y{seed}-{k}" for k in range(29)]
+        rows = [(1, " ".join(shared + own), "en"), (2, " ".join(shared + other), "en"), (3, " ".join(shared + own[:-2]), "en")]
+        x = [jaccard.Shingler()(t) for _, t, _ in rows]
+        maps = jaccard.Bitmaps([jaccard.bitmap(s) for s in x])
+        n = np.array([len(s) for s in x])
+        near = {(a, b): jaccard.similarity(n[a], n[[b]], *maps.differing(a, np.array([b])))[0] for a, b in ((0, 1), (1, 2))}
+        if 0.75 <= near[0, 1] < 0.79 and near[1, 2] < min(near[0, 1], 0.75):
+            break
+    assert [jaccard.links(x[a], x[b]) for a, b in ((0, 2), (0, 1), (1, 2))] == [True, False, True] and near[1, 2] < 0.75 <= near[0, 1]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    assert found == components(rows) == {1: 1, 2: 1, 3: 1}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     for _ in range(200):
