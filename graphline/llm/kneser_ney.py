@@ -11,8 +11,8 @@ Training covers all trusted text. Each task counts its n-grams, the counts are
 summed by a shuffle on the n-gram, and discounts, context totals and lower-order
 continuation counts come from joins and aggregations of those sharded tables.
 Scoring looks up one log-probability per character. A document is rejected if its
-perplexity exceeds ``slack`` times the ``quantile`` of trusted documents of its
-language, with an allowance for short texts.
+perplexity exceeds the ``quantile`` of trusted documents of its language, with an
+allowance for short texts.
 """
 
 from __future__ import annotations
@@ -169,30 +169,30 @@ def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(good, "doc_id", "left_semi").where(F.col("text").isNotNull()).select("text")
 
 
-def thresholds(table: DataFrame, labels: DataFrame, quantile: float, slack: float, least: int) -> tuple[DataFrame, DataFrame]:
+def thresholds(table: DataFrame, labels: DataFrame, quantile: float, least: int) -> tuple[DataFrame, DataFrame]:
     """(kn_lang, kn_limit) from the trusted documents of each language, and the one row (kn_limit) over all languages."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
     known = table.join(good, "doc_id", "left_semi").where(F.col("kn_perplexity").isNotNull())
-    limit = (F.percentile_approx("kn_perplexity", quantile, 1000) * slack).alias("kn_limit")
+    limit = F.percentile_approx("kn_perplexity", quantile, 1000).alias("kn_limit")
     each = known.where(F.col("kn_lang").isNotNull()).groupBy("kn_lang").agg(F.count(F.lit(1)).alias("n"), limit).where(F.col("n") >= least).drop("n")
     return each, known.agg(limit)
 
 
-QUANTILE, SLACK, LEAST = 0.99, 1.3, 30
+QUANTILE, LEAST = 0.99, 30
 #: The perplexity of few characters varies more: the limit grows by SHORT / sqrt(characters).
 SHORT = 2.0
 
 
-def judged(table: DataFrame, labels: DataFrame, quantile: float, slack: float, least: int) -> DataFrame:
+def judged(table: DataFrame, labels: DataFrame, quantile: float, least: int) -> DataFrame:
     """Scored documents with kn_limit and kn_kept."""
-    each, over_all = thresholds(table, labels, quantile, slack, least)
+    each, over_all = thresholds(table, labels, quantile, least)
     # one row
     found = table.join(each, "kn_lang", "left").join(F.broadcast(over_all.withColumnRenamed("kn_limit", "kn_any")))
     limit = F.coalesce("kn_limit", "kn_any") * (1 + F.lit(SHORT) / F.sqrt(F.greatest("kn_chars", F.lit(1))))
     return found.withColumn("kn_limit", limit).withColumn("kn_kept", F.coalesce(F.col("kn_perplexity") <= limit, F.lit(True))).drop("kn_any")
 
 
-def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, lang, n_chars, perplexity, threshold, kept.
 
     Null or empty text has no perplexity and is kept. A language with fewer than
@@ -203,11 +203,11 @@ def perplexity(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
     rows = docs.select("doc_id", "text", F.col("lang").alias("kn_lang"))
     model = train(trusted_text(rows, labels), rows)
     table = stored(scored(rows, model).drop("text"), "scores")
-    return judged(table, labels, quantile, slack, least).select("doc_id", F.col("kn_lang").alias("lang"), F.col("kn_chars").alias("n_chars"), F.col("kn_perplexity").alias("perplexity"), F.col("kn_limit").alias("threshold"), F.col("kn_kept").alias("kept"))
+    return judged(table, labels, quantile, least).select("doc_id", F.col("kn_lang").alias("lang"), F.col("kn_chars").alias("n_chars"), F.col("kn_perplexity").alias("perplexity"), F.col("kn_limit").alias("threshold"), F.col("kn_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
     """The documents that ``perplexity`` keeps, with all their columns."""
     model = train(trusted_text(docs, labels), docs)
     table = stored(scored(docs.withColumn("kn_lang", F.col("lang")), model), "scores")
-    return judged(table, labels, quantile, slack, least).where("kn_kept").select(*docs.columns)
+    return judged(table, labels, quantile, least).where("kn_kept").select(*docs.columns)

@@ -275,6 +275,15 @@ def test_kneser_ney(docs, nothing, spark):
     assert kept.columns == docs.columns
 
 
+def test_kneser_ney_limit_is_the_quantile(docs, spark):
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    found = [r for r in kneser_ney.perplexity(docs, labels).collect() if r["perplexity"] is not None]
+    most = max(r["perplexity"] for r in found if r["doc_id"] in range(60))
+    for r in found:
+        assert r["threshold"] <= most * (1 + kneser_ney.SHORT / r["n_chars"] ** 0.5) * (1 + 1e-9)
+        assert r["kept"] == (r["perplexity"] <= r["threshold"])
+
+
 def test_warc(spark):
     page = "<html>" + "x" * 200
     rows = [(1, "http://www.b.example.com/a?q=1#f", page), (2, "https://c.example.com:8080/", page), (3, None, page), (4, "http://b.example.com/a?q=1", None), (5, "not a url \t at all", "short"), (6, "http://[bad", "short"), (None, "http://x.org/", "z" * 120), (7, "http://x.org/", "é" * 100), (7, "http://x.org/", "é" * 100)]
