@@ -108,6 +108,12 @@ def ancestors(spark, sf_dir):
     return reach.ancestors(g, targets).select("node", "target")
 
 
+def ancestors_suppliers(spark, sf_dir):
+    """What leads to each supplier, over the tiers of orders."""
+    g = graph("layered", spark, sf_dir)
+    return reach.ancestors(g, _prefixed(g, "supplier")).select("node", "target")
+
+
 def descendants(spark, sf_dir):
     g = graph("layered", spark, sf_dir)
     return reach.descendants(g, _prefixed(g, "region")).where(F.col("node").startswith("supplier:")).select("node", "source")
@@ -234,7 +240,7 @@ def explore_view(spark, sf_dir):
 
 ALL = [
     graph_counts, degree_all, in_degree, out_degree, nodes_per_program, nodes_per_layer, programs, top_degree, balanced_topk, neighbors_out, neighbors_in,
-    khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, descendants, reach_all_pairs, has_path, unreferenced_targets, target_set,
+    khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, unreferenced_targets, target_set,
     target_names, coverage_report, orphans, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
     pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, explore_view,
 ]
@@ -321,6 +327,7 @@ ORACLE_SQL: dict[str, str] = {
     "inbound_paths": f"WITH RECURSIVE {LAYERED}, {_hops('le', 'supplier:1', 3, True)} SELECT id AS node_id, d AS hops FROM near WHERE d > 0 ORDER BY d, id LIMIT 12",
     "explore_view": f"WITH RECURSIVE {LAYERED}, {_hops('le', 'supplier:1', 2, True)} SELECT id AS node_id, d AS hops FROM near WHERE d > 0 ORDER BY d, id LIMIT 12",
     "ancestors": f"WITH RECURSIVE {PARTS}, c(node, target) AS (SELECT id, id FROM pn WHERE split_part(id, ':', 2)::INT < 20 UNION SELECT src, target FROM c JOIN pe ON dst = node) SELECT node, target FROM c WHERE node <> target",
+    "ancestors_suppliers": f"WITH RECURSIVE {LAYERED}, c(node, target) AS (SELECT id, id FROM ln WHERE id LIKE 'supplier:%' UNION SELECT src, target FROM c JOIN le ON dst = node) SELECT node, target FROM c WHERE node <> target",
     "descendants": f"WITH RECURSIVE {LAYERED}, c(node, source) AS (SELECT id, id FROM ln WHERE id LIKE 'region:%' UNION SELECT dst, source FROM c JOIN le ON src = node) SELECT node, source FROM c WHERE node LIKE 'supplier:%'",
     "reach_all_pairs": f"WITH RECURSIVE {TIERS}, c(node, target, depth) AS (SELECT id, id, 0 FROM tn UNION SELECT src, target, depth + 1 FROM c JOIN te ON dst = node) SELECT node, target, depth FROM c WHERE node <> target",
     "has_path": f"""WITH RECURSIVE {LAYERED}, c(node, target) AS (SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 0 UNION SELECT src, target FROM c JOIN le ON dst = node)

@@ -30,3 +30,13 @@ def test_against_sql(spark, name):
     found = QUERIES[name](spark, str(DATA))
     assert sorted(found.columns) == columns
     assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, told.select(*columns).fetchall()))
+
+
+#: Queries over all targets or nodes, beside those whose SQL names some.
+WHOLE = ["ancestors_suppliers"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_against_sql(spark, name):
+    test_against_sql(spark, name)
