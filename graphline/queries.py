@@ -73,6 +73,11 @@ def balanced_topk(spark, sf_dir):
     return structure.balanced_sample(PropertyGraph(g.nodes.where(F.col("node_id").startswith("part:")), g.edges), SAMPLE)
 
 
+def balanced_topk_all(spark, sf_dir):
+    """The best-connected suppliers and parts, each program up to the quota for 100."""
+    return structure.balanced_sample(graph("supplies", spark, sf_dir), SAMPLE)
+
+
 def neighbors_out(spark, sf_dir):
     return graph("parts", spark, sf_dir).neighbors("part:1", "out")
 
@@ -130,6 +135,13 @@ def has_path(spark, sf_dir):
     return reach.has_path(g, pairs)
 
 
+def has_path_all(spark, sf_dir):
+    """Whether each nation leads to each supplier."""
+    g = graph("layered", spark, sf_dir)
+    pairs = _prefixed(g, "nation").select(F.col("node_id").alias("source")).crossJoin(_prefixed(g, "supplier").select(F.col("node_id").alias("target")))
+    return reach.has_path(g, pairs)
+
+
 def unreferenced_targets(spark, sf_dir):
     return cover.unreferenced_targets(graph("layered", spark, sf_dir), prefixes=("A", "NATION"), program_hint=None)
 
@@ -153,6 +165,12 @@ def orphans(spark, sf_dir):
     return cover.orphans(graph("layered", spark, sf_dir), targets=_nation_suppliers(spark, sf_dir))
 
 
+def orphans_all(spark, sf_dir):
+    """Customers that lead to no supplier."""
+    g = graph("layered", spark, sf_dir)
+    return cover.orphans(g, targets=_prefixed(g, "supplier"))
+
+
 def cover_steps(spark, sf_dir):
     g = graph("layered", spark, sf_dir)
     return cover.greedy_cover(g, targets=_prefixed(g, "supplier")).hooks.select("step", "node_id", "gain")
@@ -239,9 +257,9 @@ def explore_view(spark, sf_dir):
 
 
 ALL = [
-    graph_counts, degree_all, in_degree, out_degree, nodes_per_program, nodes_per_layer, programs, top_degree, balanced_topk, neighbors_out, neighbors_in,
-    khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, unreferenced_targets, target_set,
-    target_names, coverage_report, orphans, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
+    graph_counts, degree_all, in_degree, out_degree, nodes_per_program, nodes_per_layer, programs, top_degree, balanced_topk, balanced_topk_all, neighbors_out, neighbors_in,
+    khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, has_path_all, unreferenced_targets, target_set,
+    target_names, coverage_report, orphans, orphans_all, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
     pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, explore_view,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in ALL}
@@ -316,6 +334,7 @@ ORACLE_SQL: dict[str, str] = {
     "top_degree": f"WITH {SUPPLIES}, {_degrees('sn', 'se')} SELECT id AS node_id, d AS degree FROM deg ORDER BY d DESC, id LIMIT 10",
     "centrality_summary": f"WITH {SUPPLIES}, {_degrees('sn', 'se')} SELECT id AS node_id, d::DOUBLE AS score FROM deg ORDER BY d DESC, id LIMIT 10",
     "balanced_topk": f"WITH {SUPPLIES}, {_degrees('sn', 'se')}, nn AS (SELECT * FROM sn), {_balanced("id LIKE 'part:%'", 100)} SELECT id AS node_id FROM k",
+    "balanced_topk_all": f"WITH {SUPPLIES}, {_degrees('sn', 'se')}, nn AS (SELECT * FROM sn), {_balanced('true', 100)} SELECT id AS node_id FROM k",
     "topk_subgraph": f"WITH RECURSIVE {SUPPLIES}, {_degrees('sn', 'se')}, k AS (SELECT id FROM deg ORDER BY d DESC, id LIMIT 150), {_largest('se')}",
     "balanced_subgraph": f"WITH RECURSIVE {TIERS}, {_degrees('tn', 'te')}, nn AS (SELECT * FROM tn), {_balanced('true', 60)}, {_largest('te')}",
     "neighbors_out": f"WITH {PARTS} SELECT dst AS node_id FROM pe WHERE src = 'part:1'",
@@ -332,11 +351,14 @@ ORACLE_SQL: dict[str, str] = {
     "reach_all_pairs": f"WITH RECURSIVE {TIERS}, c(node, target, depth) AS (SELECT id, id, 0 FROM tn UNION SELECT src, target, depth + 1 FROM c JOIN te ON dst = node) SELECT node, target, depth FROM c WHERE node <> target",
     "has_path": f"""WITH RECURSIVE {LAYERED}, c(node, target) AS (SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 0 UNION SELECT src, target FROM c JOIN le ON dst = node)
 SELECT 'nation:' || n_nationkey AS source, 'supplier:' || s_suppkey AS target, EXISTS (SELECT 1 FROM c WHERE node = 'nation:' || n_nationkey AND target = 'supplier:' || s_suppkey) AS reachable FROM nation, supplier WHERE s_nationkey = 0""",
+    "has_path_all": f"""WITH RECURSIVE {LAYERED}, c(node, target) AS (SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier UNION SELECT src, target FROM c JOIN le ON dst = node)
+SELECT a.id AS source, b.id AS target, c.node IS NOT NULL AS reachable FROM ln a JOIN ln b ON a.program = 'nation' AND b.program = 'supplier' LEFT JOIN c ON c.node = a.id AND c.target = b.id""",
     "unreferenced_targets": f"WITH {LAYERED} SELECT id AS node_id FROM ln WHERE (name LIKE 'A%' OR name LIKE 'NATION%') AND id NOT IN (SELECT dst FROM le)",
     "target_set": "SELECT 'supplier:' || s_suppkey AS node_id FROM supplier WHERE s_name LIKE 'Supplier#%'",
     "target_names": "SELECT 'supplier:1' AS value, true AS found UNION ALL SELECT 'region:' || r_regionkey, true FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'nothing', false",
     "coverage_report": f"WITH {CUSTOMER_SUPPLIER} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program, count(s) AS n_covered FROM customer LEFT JOIN cs ON c = c_custkey GROUP BY ALL",
     "orphans": f"WITH {CUSTOMER_SUPPLIER} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program FROM customer WHERE c_custkey NOT IN (SELECT c FROM cs JOIN supplier ON s = s_suppkey WHERE s_nationkey = 0)",
+    "orphans_all": f"WITH {CUSTOMER_SUPPLIER} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program FROM customer WHERE c_custkey NOT IN (SELECT c FROM cs JOIN supplier ON s = s_suppkey)",
     "cover_steps": f"""WITH RECURSIVE {CUSTOMER_SUPPLIER}, sets AS MATERIALIZED (SELECT 'customer:' || c AS node, list(s) AS l FROM cs GROUP BY c),
 g(step, node_id, gain, rest) AS (
  SELECT 0, NULL::VARCHAR, 0::BIGINT, (SELECT list(DISTINCT s) FROM cs)

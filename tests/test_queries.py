@@ -33,7 +33,7 @@ def test_against_sql(spark, name):
 
 
 #: Queries over all targets or nodes, beside those whose SQL names some.
-WHOLE = ["ancestors_suppliers"]
+WHOLE = ["ancestors_suppliers", "has_path_all", "orphans_all", "balanced_topk_all"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
