@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphline.llm import fertility, jaccard, kneser_ney, lsm_dedup, packing
 from graphline.llm.common import read_table, stored, tokenizer_path
-from graphline.llm.keep import one_of_each
+from graphline.llm.keep import rows_apart, smallest_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id."""
-    return one_of_each(docs, jaccard.near_duplicates(docs))
+    rows = rows_apart(docs)
+    return smallest_of_each(rows, jaccard.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

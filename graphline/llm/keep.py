@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept`` (doc_id, distinct); rows that repeat a kept doc_id are one document, of which one row stays."""
-    found = docs.join(kept, "doc_id", "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    return found.join(twice, "doc_id", "left_anti").unionByName(found.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+def with_ids(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows whose row_id is in ``kept`` (row_id, distinct); rows that repeat a kept row_id are one document, of which one row stays."""
+    found = rows.join(kept, "row_id", "left_semi")
+    twice = rows.groupBy("row_id").count().where("count > 1 AND row_id IS NOT NULL").select("row_id")
+    return found.join(twice, "row_id", "left_anti").unionByName(found.join(twice, "row_id", "left_semi").dropDuplicates(["row_id"]))
 
 
-def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are the component_id of their class, and rows without doc_id, which have none."""
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return with_ids(docs, kept).unionByName(docs.where(F.col("doc_id").isNull()))
+def rows_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` and row_id: doc_id, or where several rows have that doc_id a 64-bit hash of doc_id and text, so that different texts are judged apart."""
+    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("keep_twice"))
+    if twice.isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
+    return docs.join(twice, "doc_id", "left").withColumn("row_id", F.when(F.col("keep_twice"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, "row_id")
+
+
+def smallest_of_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class of row_id (classes: doc_id as row_id, component_id) the row of the smallest doc_id, and rows without doc_id."""
+    known = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "row_id")
+    of = classes.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("row_id"), "component_id").distinct()
+    kept = known.join(of, "row_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_id")).alias("kept")).select(F.col("kept.row_id").alias("row_id"))
+    return with_ids(rows, kept).unionByName(rows.where(F.col("doc_id").isNull())).select(*[c for c in rows.columns if c != "row_id"])

@@ -49,6 +49,13 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_near_dedup_of_a_repeated_id(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, text("a"), "en"), (1, text("b"), "en"), (2, text("c"), "en"), (3, text("b") + " more", "en"), (None, text("d"), "en")]
+    found = corpus_pipeline.near_dedup(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in found) == sorted((str(i), t) for i, t, _ in rows if i != 3)
+
+
 def test_empty_corpus(spark, tmp_path):
     frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
