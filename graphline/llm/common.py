@@ -42,11 +42,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def uri(path: str) -> str:
+    """``path`` with a scheme, as pyarrow.fs wants it."""
+    return path if "://" in path else "file://" + path
+
+
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], most_rows: int = 100_000, most_bytes: int = 8 << 20, salts: int = 64) -> DataFrame:
+    """``rows`` left join ``small`` on ``keys``, of which ``small`` has each once.
+
+    ``small`` is measured: up to ``most_rows`` rows with ``most_bytes`` of text in
+    the keys it is broadcast. Beyond that it is repeated for each of ``salts``
+    salts, over which the rows of a hot key are spread. Both give the same rows.
+    """
+    small = stored(small, "small")
+    text = [F.octet_length(F.col(k).cast("string")) for k in keys]
+    size = small.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(t), F.lit(0)).alias(f"b{i}") for i, t in enumerate(text)]).first()
+    if size["n"] <= most_rows and sum(size[1:]) <= most_bytes:
+        return rows.join(F.broadcast(small), keys, "left")
+    each = small.withColumn("attach_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    return rows.withColumn("attach_salt", salt).join(each.hint("merge"), [*keys, "attach_salt"], "left").drop("attach_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-
 def tokenizer_path(name: str) -> str:
     """Where the installed package of public tokenizers has a vocabulary; every node has it installed."""
     import public_tokenizers

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphline.llm import bpe, encode, fertility, jaccard, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
+from graphline.llm.common import attach
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ROWS = texts()
@@ -254,25 +257,97 @@ def test_bounds_hold():
         assert jaccard.links(x, y) == linked and (not linked or jaccard.may_link(len(x), np.array([len(y)]), differ, 75)[0])
 
 
+def brute_kneser_ney(trusted, everything):
+    """Bits of a text, from an interpolated modified Kneser-Ney model of order 4 over code points held in plain dicts."""
+    padded = lambda t: ["<s>"] * 3 + list(t)
+    counts = {4: Counter(tuple(p[i - 3 : i + 1]) for t in trusted for p in [padded(t)] for i in range(3, len(p)))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    d, total, given = {}, {}, {}
+    for n, c in counts.items():
+        n1, n2, n3, n4 = (sum(x == k for x in c.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        raw = (1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y)
+        d[n] = [min(max(x, 0.05), k) for x, k in zip(raw, (0.95, 1.95, 2.95), strict=True)]
+        for g, x in c.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + x
+            given[g[:-1]] = given.get(g[:-1], 0) + min(d[n][min(x, 3) - 1], x)
+    symbols = len(set("".join(everything)))
+
+    def p(g):
+        n, h = len(g), g[:-1]
+        lower = p(g[1:]) if n > 1 else 1 / symbols
+        if not total.get(h):
+            return lower
+        x = counts[n].get(g, 0)
+        return ((x - min(d[n][min(x, 3) - 1], x)) if x else 0) / total[h] + given[h] / total[h] * lower
+
+    return lambda t: sum(-math.log2(p(tuple(q[i - 3 : i + 1]))) for q in [padded(t)] for i in range(3, len(q)))
+
+
+#: Texts in several scripts, beyond U+FFFF, and with the code points that tables might use as marks.
+SCRIPT_ROWS = [(200, "привет мир и снова мир, привет", "ru"), (201, "漢字と仮名の文、漢字", "ja"), (202, "\U0001f642\U0001f643 \U0001f642 \U00020000\U00020001", None), (203, "\0\0a\0\uffff\U0010ffff b", "en"), (204, "привет", "ru")]
+
+
 def test_kneser_ney(docs, nothing, spark):
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(100, 1, 0), (101, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    letters, table = kneser_ney.train(kneser_ney.trusted_text(docs.select("doc_id", "text"), labels), docs)
-    p = np.exp2(table.astype(float)).reshape(-1, kneser_ney.SYMBOLS)
-    sums = p.sum(axis=1)
-    assert abs(sums - 1).max() < 1e-3  # every context has a distribution
-    found = {r["doc_id"]: r for r in kneser_ney.perplexity(docs, labels).collect()}
-    assert found[100]["perplexity"] is None and found[100]["kept"] and found[101]["kept"]
-    assert not found[110]["kept"] and sum(found[k]["kept"] for k in range(60)) >= 58
-    texts_, codes = [ROWS[3][1], ROWS[4][1]], []
-    for t in texts_:
-        padded = [kneser_ney.BOUNDARY] * 3 + [int(letters.table[min(ord(c), 65535)]) for c in t]
-        codes.append(sum(table[(a << 18) | (b << 12) | (c << 6) | d] for a, b, c, d in zip(padded, padded[1:], padded[2:], padded[3:], strict=False)))
-    for k, bits in zip((3, 4), codes, strict=True):
-        assert found[k]["perplexity"] == pytest.approx(2 ** (-bits / len(ROWS[k][1])), rel=1e-4)
+    docs = docs.unionByName(frame(spark, SCRIPT_ROWS))
+    rows = ROWS + SCRIPT_ROWS
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(60), 200, 201, 203]] + [(100, 1, 0), (101, 1, 1), (202, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = {*range(60), 100, 200, 201, 203}
+    found = kneser_ney.perplexity(docs, labels, least=5).collect()
+    bits = brute_kneser_ney([t or "" for i, t, _ in rows if i in good], [t or "" for _, t, _ in rows])
+    limits, of = {}, {}
+    told = sorted(found, key=lambda r: (str(r["doc_id"]), r["n_chars"], str(r["lang"])))
+    for r, (i, t, lang) in zip(told, sorted(rows, key=lambda r: (str(r[0]), len(r[1] or ""), str(r[2]))), strict=True):
+        assert (r["doc_id"], r["lang"], r["n_chars"]) == (i, lang, len(t or ""))
+        if not t:
+            assert r["perplexity"] is None and r["kept"]
+        else:
+            assert r["perplexity"] == pytest.approx(2 ** (bits(t) / len(t)), rel=1e-5)
+            if i in good:
+                of.setdefault(lang, []).append(r["perplexity"])
+    at = lambda x: sorted(x)[math.ceil(kneser_ney.QUANTILE * len(x)) - 1]
+    limits = {lang: at(x) for lang, x in of.items() if len(x) >= 5 and lang}
+    other = at([x for xs in of.values() for x in xs])
+    for r in found:
+        if r["perplexity"] is not None:
+            limit = limits.get(r["lang"], other) * (1 + kneser_ney.SHORT / r["n_chars"] ** 0.5)
+            assert r["threshold"] == pytest.approx(limit) and r["kept"] == (r["perplexity"] <= r["threshold"])
+    assert not next(r for r in found if r["doc_id"] == 110)["kept"]
     assert kneser_ney.perplexity(nothing, labels).count() == 0
     assert all(r["kept"] for r in kneser_ney.perplexity(docs, labels.where("false")).collect())
-    kept = kneser_ney.keep_good(docs, labels)
-    assert kept.columns == docs.columns
+    clash = docs.withColumn("kn_lang", F.lit("x")).withColumn("perplexity", F.lit(1)).withColumn("block", F.lit("b")).withColumn("row", F.lit("r")).withColumn("in_0", F.lit(0)).withColumn("threshold", F.lit(2))
+    kept = kneser_ney.keep_good(clash, labels, least=5)
+    assert kept.columns == clash.columns and kept.count() == sum(r["kept"] for r in found)
+    assert {(r["block"], r["row"], r["in_0"], r["kn_lang"]) for r in kept.collect()} == {("b", "r", 0, "x")}
+
+
+def test_kneser_ney_windows(monkeypatch):
+    """Grams do not depend on where windows end, nor on how many symbols a window has."""
+    strings = ["abcabd", "", "x", "привет \U0001f642" * 5, "é" * 40]
+    points, inside, sizes = kneser_ney.symbols_of(strings)
+
+    def every():
+        out = []
+        for window, s, e in kneser_ney.windows(points, inside):
+            assert len(window.packed) == inside[s:e].sum()
+            h, w = window.unpacked(window.packed)
+            packed, here = window.known(h, w)
+            assert here.all() and (packed == window.packed).all()
+            out += list(zip(h.tolist(), w.tolist(), strict=True))
+        return out
+
+    whole = every()
+    assert len(whole) == sizes.sum()
+    monkeypatch.setattr(kneser_ney, "WINDOW", 7)
+    assert every() == whole
+
+
+def test_attach_broadcasts_and_salts_alike(spark):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("3", 2), ("none", 3)], "k string, v int")
+    both = [sorted((r["id"], str(r["k"]), r["v"]) for r in attach(rows, small, ["k"], **o).collect()) for o in ({}, {"most_rows": 1, "salts": 7}, {"most_bytes": 1})]
+    assert both[0] == both[1] == both[2] and len(both[0]) == 500 and sum(v == 1 for _, _, v in both[0]) == 333
 
 
 def test_kneser_ney_limit_is_the_quantile(docs, spark):
