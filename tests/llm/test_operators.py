@@ -109,6 +109,11 @@ def test_fertility(docs, nothing):
     assert [fertility.script_of(t) for t in ("abc", "привет", "中文", "123")] == ["latin", "cyrillic", "han", "latin"]
 
 
+def test_token_lengths_agree():
+    strings = [t for t in CODES if "<|" not in t] + ["", " \n\t x\u3000y  ", "'ll it's", "1234 ab12", "é" * 500]
+    assert encode.token_lengths(public_tokenizers.path("byte_bpe_50k.tiktoken"), strings).tolist() == [len(x) for x in library(BYTE, strings)]
+
+
 def test_fertility_bands_reject(spark):
     rng = random.Random(3)
     prose = lambda n=100: " ".join("".join(rng.choice(["the", "er", "ing", "st", "re", "an"]) for _ in range(2)) for _ in range(n))
@@ -131,6 +136,61 @@ def test_fertility_bands_of_few_texts(spark):
         assert sum(kept for i, kept in found.items() if i < 1000) >= 0.98 * sum(i < 1000 for i in found)
 
 
+def brute_bands(rows, least=40):
+    """kept of each row, from plain lists; rows: (text, lang)."""
+    piece, byte = sentencepiece.SentencePieceProcessor(model_file=PIECE), library(BYTE, [t for t, _ in rows])
+    measures = []
+    for (t, lang), b in zip(rows, byte, strict=True):
+        ids, base = piece.encode(t), base_counts(t)
+        n, words = max(len(ids), 1), max(base[0], 1)
+        share = [k / n for k in Counter(ids).values()]
+        m = {"entropy": -sum(x * math.log2(x) for x in share), "tokens_per_word": len(ids) / words, "chars_per_token": len(t) / n, "chars_per_token_b": len(t) / max(len(b), 1), "byte_share": sum(3 <= i < 259 for i in ids) / n}
+        measures.append((lang, int(math.log2(n)), base[0] < 10 or 100 * base[4] > 20 * base[0], m))
+    good = {t: x for (t, _), x in zip(rows, measures, strict=True) if not x[2]}.values()
+    quartile = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    by_size = {}
+    for _, size, _, m in good:
+        by_size.setdefault(size, []).append(m["entropy"])
+    middle = {size: quartile(x, 0.5) for size, x in by_size.items() if len(x) >= max(1, least // 4)}
+
+    def usual(size):
+        if not middle:
+            return None
+        of = min(middle, key=lambda k: (abs(k - size), k))
+        return middle[of] - max(of - size, 0)
+
+    def judged(lang, size, failed, m):
+        if failed:
+            return False
+        own = [x for x in good if x[0] == lang]
+        own = own if len(own) >= least else good
+        away = lambda x: abs(x[1] - size)
+        pool = [x for x in own if sum(away(y) < away(x) for y in own) < least]
+        for b in fertility.BANDS:
+            move = lambda x: usual(size) - usual(x[1]) if b.grows and middle else 0  # noqa: B023, E731
+            low, mid, high = (quartile([x[3][b.measure] + move(x) for x in pool], q) for q in (0.25, 0.5, 0.75))
+            scale = max((high - low) / 1.349, b.floor, abs(mid) * b.relative)
+            if b.below is not None and m[b.measure] < mid - b.below * scale - 1e-12 or b.above is not None and m[b.measure] > mid + b.above * scale + 1e-12:
+                return False
+        return True
+
+    return [judged(*x) for x in measures], measures
+
+
+def test_fertility_against_brute_force(spark):
+    rng = random.Random(6)
+    parts = {"en": ["the", "er", "ing", "st", "re", "an", "x"], "de": ["sch", "en", "ü", "ei", "ge"], "ru": ["по", "на", "ст", "ов"]}
+    prose = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) + rng.choice(["", "", ",", "$", "€"]) for _ in range(n))
+    texts_ = [(prose(lang, rng.choice([12, 20, 40, 80, 160, 300])), lang) for lang in ["en"] * 110 + ["de"] * 60 + ["ru"] * 6]
+    texts_ += [(" ".join(w + "$$##&&" * rng.randint(0, 2) for w in prose("en", n).split()), lang) for n in (15, 60, 700) for lang in ("en", "ru")]
+    texts_ += [("word " * 50, "en"), ("few words", "de"), (prose("de", 2000), "de"), texts_[0], texts_[0]]
+    want, measures = brute_bands(texts_)
+    found = sorted(fertility.quality(frame(spark, [(k, *x) for k, x in enumerate(texts_)]), PIECE, BYTE).collect(), key=lambda r: r["doc_id"])
+    for r, (_, _, _, m) in zip(found, measures, strict=True):
+        assert all(r[k] == pytest.approx(v) for k, v in m.items())
+    assert [r["kept"] for r in found] == want and 0 < sum(not k for k in want) < 40
+
+
 def test_sharding(docs, nothing, spark):
     for frame_, shards in ((docs, 24), (docs, 5)):
         found = sharding.shard(frame_, shards, range_bytes=500).collect()
