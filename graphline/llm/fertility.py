@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphline.llm.blocks import keep, placed
+from graphline.llm.blocks import keep
 from graphline.llm.common import attach, stored
 from graphline.llm.encode import MAX_CHUNKS, encoder, per_text, text_batches, token_lengths
+from graphline.llm.places import placed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"

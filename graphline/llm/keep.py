@@ -1,29 +1,37 @@
-"""Keeping documents by a decision that was made per doc_id."""
+"""Keeping one row of each class of similar documents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def with_ids(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows whose row_id is in ``kept`` (row_id, distinct); rows that repeat a kept row_id are one document, of which one row stays."""
-    found = rows.join(kept, "row_id", "left_semi")
-    twice = rows.groupBy("row_id").count().where("count > 1 AND row_id IS NOT NULL").select("row_id")
-    return found.join(twice, "row_id", "left_anti").unionByName(found.join(twice, "row_id", "left_semi").dropDuplicates(["row_id"]))
-
-
-def rows_apart(docs: DataFrame) -> DataFrame:
-    """``docs`` and row_id: doc_id, or where several rows have that doc_id a 64-bit hash of doc_id and text, so that different texts are judged apart."""
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("keep_twice"))
-    if twice.isEmpty():
-        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
-    return docs.join(twice, "doc_id", "left").withColumn("row_id", F.when(F.col("keep_twice"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).select(*docs.columns, "row_id")
-
-
-def smallest_of_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of each class of row_id (classes: doc_id as row_id, component_id) the row of the smallest doc_id, and rows without doc_id."""
-    known = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "row_id")
-    of = classes.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("row_id"), "component_id").distinct()
-    kept = known.join(of, "row_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_id")).alias("kept")).select(F.col("kept.row_id").alias("row_id"))
-    return with_ids(rows, kept).unionByName(rows.where(F.col("doc_id").isNull())).select(*[c for c in rows.columns if c != "row_id"])
+from graphline.llm.blocks import keep
+from graphline.llm.common import stored
+from graphline.llm.places import placed
+
+
+def smallest_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each class the row of the smallest doc_id, and the rows without doc_id, with all their columns, whatever their names.
+
+    ``classes`` gives (doc_id, component_id) for a table (doc_id, text). It is given
+    a number for each row that is doc_id or, where several rows have that doc_id, a
+    64-bit hash of doc_id and text: different texts are judged apart, and of rows
+    that repeat both one stays. Texts aren't shuffled for the decision.
+    """
+    rows = placed(docs)
+    doc_id, text = (F.col(f"in_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    plain = rows.select("block", "row", doc_id.cast("long").alias("doc_id"), text.alias("text"))
+    twice = stored(plain.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("twice")), "repeated")
+    number = F.col("doc_id")
+    if not twice.isEmpty():
+        plain = plain.join(twice, "doc_id", "left")
+        number = F.when(F.col("twice"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    plain = plain.select("block", "row", "doc_id", number.alias("number"), "text")
+    slim = stored(plain.select("block", "row", "doc_id", "number"), "numbered")
+    found = classes(plain.select(F.col("number").alias("doc_id"), "text"))
+    of = found.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("number"), "component_id").distinct()
+    first = slim.join(of, "number").groupBy("component_id").agg(F.min(F.struct("doc_id", "block", "row")).alias("kept"))
+    kept = first.select("kept.block", "kept.row").unionByName(slim.where(F.col("doc_id").isNull()).select("block", "row"))
+    return keep(rows, docs, kept)

@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphline.llm.blocks import Side, SideReader, keep, placed, runs
+from graphline.llm.blocks import Side, SideReader, keep, runs
 from graphline.llm.common import attach, stored
 from graphline.llm.encode import text_batches
+from graphline.llm.places import placed
 
 #: Symbols are code points or BOUNDARY, of BITS bits; a context of ORDER - 1 symbols fits a long.
 BITS, ORDER, BOUNDARY = 21, 4, 0x110000

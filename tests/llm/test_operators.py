@@ -16,7 +16,7 @@ from llm_cases import base_counts, components, frame, lower, shingles, texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphline.llm import bpe, encode, fertility, jaccard, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
+from graphline.llm import bpe, encode, fertility, filters, jaccard, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
 from graphline.llm.common import attach
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -248,7 +248,7 @@ def test_exact_dedup(docs, nothing):
 
     told = lambda rows: sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in rows)
     want = list(wanted())
-    found = lsm_dedup.dedup(docs, memtables=5, fanout=2).collect()
+    found = lsm_dedup.dedup(docs, memtable=20, fanout=2).collect()
     assert told(found) == sorted((i, str(k), n) for i, k, n, _ in want)
     assert sorted((str(r["doc_id"]), r["text_sha256"]) for r in found) == sorted((i, h) for i, _, _, h in want)
     groups = {r["text_sha256"] for r in found}
@@ -258,8 +258,47 @@ def test_exact_dedup(docs, nothing):
     assert told(weak) == told(found) and sum(r["kept"] for r in weak) == len(groups)
     assert lsm_dedup.dedup(nothing).count() == 0
     assert min(r["keep_id"] for r in lsm_dedup.dedup(docs, keep="smallest").collect() if r["doc_id"] == 85) == 80
-    kept = lsm_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    clash = docs.withColumn("block", F.lit("b")).withColumn("row", F.lit("r")).withColumn("best", F.lit(1)).withColumn("ident", F.lit(1)).withColumn("filter_word", F.lit(1)).withColumn("in_1", F.lit("i"))
+    kept = lsm_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == len(groups) == kept.where("block = 'b' AND row = 'r' AND in_1 = 'i'").count()
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in found if r["kept"])
+
+
+def test_exact_dedup_under_one_digest(spark, monkeypatch):
+    rows = [(1, "aaa", "en"), (1, "bbb", "en"), (2, "ccc", "en"), (2, "CCC", "en"), (3, "bbb", "en")]
+    for hot in (4096, 1):  # by a shuffle, and by the broadcast of hot digests
+        monkeypatch.setattr(lsm_dedup, "HOT_ROWS", hot)
+        found = lsm_dedup.dedup(frame(spark, rows), digest=lambda norm: F.encode(F.lit("x"), "UTF-8")).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == [(1, 1, 1), (1, 3, 2), (2, 2, 2), (2, 2, 2), (3, 3, 2)]
+        assert sum(r["kept"] for r in found) == 3
+        one = lsm_dedup.dedup(frame(spark, rows)).collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in one) == sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found)
+
+
+def test_lsm_index_takes_further_batches(spark):
+    rng = random.Random(9)
+    batches = [[(100 * b + k, f"text {rng.randrange(60)}", "en") for k in range(40)] for b in range(5)]
+    index, seen = lsm_dedup.LsmIndex(spark, fanout=2), set()
+    for b, rows in enumerate(batches):
+        if b == 3:  # go on with the index as it was left
+            index = lsm_dedup.LsmIndex.open(spark, index.root, index.version, fanout=2)
+        kept = {r["text"]: r["doc_id"] for r in lsm_dedup.new_texts(index, frame(spark, rows)).collect()}
+        assert kept == {t: max(i for i, u, _ in rows if u == t) for _, t, _ in rows if t not in seen}
+        seen |= {t for _, t, _ in rows}
+    assert [len(level) for level in index.levels] == [1, 0, 1]  # five flushes, three compactions
+    held = {bytes(r["digest"]): r for r in index.compacted().collect()}
+    for text in seen:
+        r = held.pop(hashlib.sha256(text.encode()).digest())
+        assert r["records"] == sum(t == text for rows in batches for _, t, _ in rows) and ~r["best"]["ident"] == max(i for rows in batches for i, t, _ in rows if t == text)
+    assert not held
+
+
+def test_filters(spark):
+    keys, others = spark.range(2000), spark.range(2000, 60000)
+    words = filters.bloom(keys, F.xxhash64("id"))
+    assert filters.passing(keys, F.xxhash64("id"), words).count() == 2000
+    assert filters.passing(others, F.xxhash64("id"), words).count() < 600
+    assert filters.passing(others, F.xxhash64("id"), filters.bloom(keys.where("false"), F.xxhash64("id"))).count() == 0
 
 
 def test_jaccard(docs, nothing):
