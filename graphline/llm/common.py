@@ -64,6 +64,22 @@ def attach(rows: DataFrame, small: DataFrame, keys: list[str], most_rows: int =
     return rows.withColumn("attach_salt", salt).join(each.hint("merge"), [*keys, "attach_salt"], "left").drop("attach_salt")
 
 
+#: No more than HOT keys can have as many rows as the total divided by HOT.
+HOT, HOT_ROWS = 4096, 4096
+
+
+def by_key(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` inner join ``found``, which has each ``key`` once and in ``records`` how many of the ``total`` rows have it.
+
+    The keys of many rows are at most HOT, so they are broadcast to their rows; a
+    shuffle would bring all rows of such a key to one task. The others are shuffled.
+    """
+    hot = F.col("records") >= max(HOT_ROWS, total // HOT)
+    many = rows.join(F.broadcast(found.where(hot)), key)
+    few = rows.join(F.broadcast(found.where(hot).select(key)), key, "left_anti").join(found.where(~hot).hint("merge"), key)
+    return many.unionByName(few)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

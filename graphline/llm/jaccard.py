@@ -1,25 +1,34 @@
 """Exact join of documents by Jaccard similarity of their word shingles, as components.
 
+Equal sets are one document, their smallest doc_id, from the start.
+
 Candidates. Shingles are hashed to 64 bits and ordered: those that are frequent in
 a bounded sample of documents last, else by hash. Any such order, applied to all
 documents alike, makes the prefix filter exact: two sets with similarity of at
 least t share a shingle among the first n - ceil(t n) + 1 of each. Documents that
 share such a shingle form a tile; tiles with the same members are kept once.
+Shingles that the sample shows to be in very many documents skip that step, which
+would gather their documents in one task.
+
+Size bands. A band holds sizes within a factor of 1 / t, so a pair that links lies
+in one band or in two neighbours. A tile beyond TILE members is cut into blocks of
+one band, and only blocks of neighbouring bands meet. Inside a block documents are
+sorted by size and compared with those of compatible sizes alone.
 
-Bounds. Each set has a parity bitmap (bit = number of its shingles with that hash,
-modulo 2) whose width follows the size of the set, so that documents fall into
-size bands; the wider of two bitmaps is folded to the width of the other. The
-number of differing bits is at most the size of the symmetric difference, which
-bounds the overlap from above: a pair over the bound can't link. Inside a tile only
-pairs of compatible sizes are compared. Tiles beyond TILE members are split into
-pairs of blocks.
+Bounds. Each set has a hashed parity bitmap (bit = number of its shingles with that
+hash, modulo 2) whose width follows the size of the set; the wider of two bitmaps
+is folded to the width of the other. The number of differing bits is at most the
+size of the symmetric difference, which bounds the overlap from above: a pair over
+the bound can't link.
 
 Verification. Pairs that pass are verified by intersecting the sorted arrays, in
-three rounds: first each document with the smallest partner that its bitmap
-suggests, then the most promising pair for each two components, then all pairs of
-documents that are in different components and pass the bound. Pairs within one
-component need no test, so a group of n copies costs about n tests and no pair of
-different components is left untested.
+rounds: first each document of a block with the smallest partner that its bitmap
+suggests; where tiles have several blocks, then the same for the smallest member
+of each component of a tile; then the most promising pair for each two components,
+then all pairs of documents that are in different components and pass the bound.
+Pairs within one component need no test, so a group of n copies costs about n
+tests, and no pair of different components is left untested. A large tile of one
+component and a few other documents meets these alone, not itself.
 """
 
 from __future__ import annotations
@@ -33,13 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphline.llm.common import documents, stored
+from graphline.llm.common import by_key, documents, stored
 from graphline.llm.encode import text_batches
+from graphline.llm.filters import bloom, passing, tested
 from graphline.operators.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SIZE, PERCENT = 5, 75
 TILE, BUFFER, LEADERS = 4096, 1 << 16, 64
+#: Documents from which on a shingle is a tile by itself, by the estimate of the sample.
+HOT_SHINGLE = 1 << 20
 #: Percent by which an estimated similarity is safely over the limit.
 MARGIN = 4
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -92,8 +104,8 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def frequent_shingles(docs: DataFrame, sample_docs: int, least: int, most: int) -> np.ndarray:
-    """Shingles of at least ``least`` sampled documents, rarest first; at most ``most``. They only order the prefix."""
+def frequent_shingles(docs: DataFrame, sample_docs: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least ``least`` sampled documents, rarest first, at most ``most``; and of how many documents about. They only order the prefix."""
     share = max(1, docs.count() // sample_docs)
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
 
@@ -105,7 +117,7 @@ def frequent_shingles(docs: DataFrame, sample_docs: int, least: int, most: int)
 
     counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64), np.array([r["n"] * share for r in reversed(top)], np.int64)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
@@ -146,9 +158,19 @@ def first_of(s: np.ndarray, ordered: np.ndarray, rank_of: np.ndarray, length: in
     return np.concatenate([rare, last[: length - len(rare)]])
 
 
-def tiles(table: DataFrame) -> DataFrame:
-    """(tile, doc_id) of documents that share a prefix shingle; tiles of the same members once for each task."""
-    pairs = table.where("n > 0 AND doc_id IS NOT NULL").select(F.explode("prefix").alias("key"), "doc_id")
+def tiles(table: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(tile, doc_id) of documents that share a prefix shingle; tiles of the same members once for each task.
+
+    ``hot`` are shingles of very many documents: each is a tile as it is.
+    """
+    pairs = table.select(F.explode("prefix").alias("key"), "doc_id")
+    if len(hot):
+        many = F.broadcast(table.sparkSession.createDataFrame([(h,) for h in hot.view(np.int64).tolist()], "key long"))  # no more than the sample's shingles
+        return _tiles(pairs.join(many, "key", "left_anti")).union(pairs.join(many, "key").select("key", "doc_id").distinct())
+    return _tiles(pairs)
+
+
+def _tiles(pairs: DataFrame) -> DataFrame:
     pairs = pairs.repartition("key").sortWithinPartitions("key", "doc_id")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +369,10 @@ def reduced(rows: np.ndarray, best: bool) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b) those that link, by intersecting the sorted arrays of shingles."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    # only texts that pass the filter of the ids are shuffled
+    ids = stored(ids, "tested")
+    key = F.xxhash64("doc_id")
+    texts = passing(docs.select("doc_id", "text"), key, bloom(ids, key)).join(ids.hint("merge"), "doc_id", "left_semi")
 
     def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -386,53 +411,132 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
     orders the shingles; they bear on speed only.
     """
     docs = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    table = stored(signatures(docs, frequent_shingles(docs, sample_docs, least, most), percent), "signatures")
+    frequent, times = frequent_shingles(docs, sample_docs, least, most)
+    table = stored(signatures(docs, frequent, percent), "signatures")
+    known = table.where("n > 0 AND doc_id IS NOT NULL")
 
     # equal sets are one node, their smallest doc_id
-    known = table.where("n > 0 AND doc_id IS NOT NULL")
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rep = stored(known.select("doc_id", "digest").join(first, "digest").select("doc_id", "rep").distinct(), "reps")
-
-    # a repeated doc_id may have several sets and so several reps; all of them are one node
-    same = rep.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    held = tiles(table).join(rep, "doc_id").select("tile", F.col("rep").alias("doc_id")).distinct()
-    size = held.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    held = held.join(size, "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    held = held.withColumn("to", other).withColumn("i", F.least("block", "to")).withColumn("j", F.greatest("block", "to"))
-    held = stored(held.select("tile", "i", "j", "doc_id", "block"), "tiles")
-    maps = stored(known.select("doc_id", "n", "bits").distinct(), "bitmaps")
-
-    found = same
-    done = None
-    label: DataFrame | None = None
-    for step in range(3):
-        members = held.withColumn("label", F.col("doc_id"))
-        if label is not None:
-            members = held.join(label, held.doc_id == label.node, "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
-        if step:
-            # tiles within one component are done with; bitmaps are fetched for the others alone
-            members = stored(members, "members")
-            mixed = members.groupBy("tile", "i", "j").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tile", "i", "j")
-            members = members.join(mixed, ["tile", "i", "j"], "left_semi")
-        pairs = tile_pairs(members.join(maps, "doc_id"), step == 0, step == 1, percent)
-        if step == 0:
-            sure = F.when(F.col("near") * 100 >= percent + MARGIN, F.col("b"))
-            picked = pairs.groupBy("a").agg(F.array_distinct(F.array_compact(F.array(F.min("b"), F.min(sure)))).alias("b")).select("a", F.explode("b").alias("b"))
-        elif step == 1:
-            picked = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
-        else:
-            picked = pairs.select("a", "b").distinct()
+    first = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("records")), "reps")
+    total = table.count()
+    rep = stored(by_key(known.select("doc_id", "digest"), first, "digest", total).select("doc_id", "digest", "rep", "records").distinct(), "copies")
+    nodes = _nodes(known, rep.where("doc_id <> rep").select("doc_id", "digest"))
+    maps = stored(nodes.select("doc_id", "n", "bits").distinct(), "bitmaps")
+    held = tiles(nodes.select("doc_id", "prefix"), frequent[times > HOT_SHINGLE]).join(maps.select("doc_id", "n").distinct(), "doc_id")
+    held = stored(held.select("tile", "doc_id", "n"), "members")
+    rows = held.count()
+    size = stored(held.groupBy("tile").agg(F.count(F.lit(1)).alias("records")).where("records > 1"), "tiles")
+    held = stored(by_key(held, size, "tile", rows), "tiles")  # tile, doc_id, n, records
+
+    # a doc_id of several sets joins their nodes
+    several = rep.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    links = stored(rep.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")), "links")
+    found = Found(docs, percent, maps, links)
+
+    found.leaders(held, rows)
+    reduced = held.where(F.col("records") > TILE)
+    while not reduced.isEmpty():
+        # of each component in a tile of several blocks the smallest member
+        reduced = found.labelled(reduced).groupBy("tile", "label").agg(F.min(F.struct("doc_id", "n")).alias("m")).select("tile", "m.doc_id", "m.n")
+        count = reduced.groupBy("tile").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
+        reduced = stored(by_key(stored(reduced, "leaders"), stored(count, "sizes"), "tile", rows), "leaders")
+        if not found.leaders(reduced, rows):
+            break
+        reduced = reduced.where(F.col("records") > TILE)
+    for best in (True, False):
+        found.crossing(held, rows, best)
+
+    # the copies of one set may be many
+    of = rep.groupBy("rep").agg(F.count(F.lit(1)).alias("records")).join(found.components(), F.col("rep") == F.col("node"), "left").select("rep", "records", F.coalesce("component", "rep").alias("component"))
+    ids = by_key(rep.select("doc_id", "rep"), stored(of, "components"), "rep", total).select("doc_id", "component").distinct()
+    return table.select("doc_id", "n").join(ids.hint("merge"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _nodes(known: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``known`` without those of ``copies`` (doc_id, digest), of which alone the candidates are shuffled."""
+    key = F.xxhash64("doc_id", "digest")
+    told = tested(known, key, bloom(copies, key))
+    rest = told.where("filter_hit").join(copies.hint("merge"), ["doc_id", "digest"], "left_anti")
+    columns = ["doc_id", "n", "prefix", "bits"]
+    return told.where(~F.col("filter_hit")).select(columns).unionByName(rest.select(columns))
+
+
+class Found:
+    """Links found so far, the pairs tested for them, and the components that they make."""
+
+    def __init__(self, docs: DataFrame, percent: int, maps: DataFrame, links: DataFrame):
+        self.docs, self.percent, self.maps, self.links = docs, percent, maps, links
+        self.done: DataFrame | None = None
+        self.label: DataFrame | None = None
+
+    def components(self) -> DataFrame:
+        if self.label is None:
+            self.label = components(self.links)
+        return self.label
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """(tile, doc_id, n, label): the component of each member."""
+        of = self.components()
+        return members.join(of.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("tile", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+
+    def _test(self, picked: DataFrame) -> bool:
+        """Verify pairs that weren't tested before; whether there were any."""
         picked = picked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            picked = picked.join(done, ["a", "b"], "left_anti")
+        if self.done is not None:
+            picked = picked.join(self.done.hint("merge"), ["a", "b"], "left_anti")
         picked = stored(picked, "pairs")
         if picked.isEmpty():
-            # at step 1 the best pairs may all have been tested, with other pairs left for step 2
-            continue
-        done = picked if done is None else done.union(picked)
-        found = found.union(stored(verified(picked, docs, percent), "links"))
-        label = components(found)
-    label = components(found) if label is None else label
-    ids = label.select(F.col("node").alias("doc_id"), "component")
-    return table.select("doc_id", "n").join(ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            return False
+        self.done = picked if self.done is None else self.done.union(picked)
+        self.links = self.links.union(stored(verified(picked, self.docs, self.percent), "links"))
+        self.label = None
+        return True
+
+    def leaders(self, members: DataFrame, rows: int) -> bool:
+        """Link members (tile, doc_id, n, records) with the smallest promising partners of their block; whether any pair was tested."""
+        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("records") / TILE)).cast("long")
+        blocks = members.select("tile", "doc_id", "n", block.alias("i"), block.alias("j"), block.alias("block"), F.col("doc_id").alias("label"))
+        pairs = tile_pairs(blocks.join(self.maps.hint("merge"), ["doc_id", "n"]), True, False, self.percent)
+        sure = F.when(F.col("near") * 100 >= self.percent + MARGIN, F.col("b"))
+        return self._test(pairs.groupBy("a").agg(F.array_distinct(F.array_compact(F.array(F.min("b"), F.min(sure)))).alias("b")).select("a", F.explode("b").alias("b")))
+
+    def crossing(self, members: DataFrame, rows: int, best: bool) -> bool:
+        """Test pairs of different components that pass the bound: with ``best`` the nearest of each two, else all; whether there were any."""
+        labels = stored(self.labelled(members), "labelled")
+        # tiles within one component are done with; bitmaps are fetched for the others alone
+        mixed = labels.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("records")).where("low < high").select("tile", "records")
+        labels = stored(by_key(labels, stored(mixed, "mixed"), "tile", rows), "mixed")
+        zero = F.lit(0).cast("long")
+        blocks = labels.where(F.col("records") <= TILE).select("tile", "doc_id", "n", "label", zero.alias("block"), zero.alias("i"), zero.alias("j"))
+        large = labels.where(F.col("records") > TILE).drop("records")
+        if not large.isEmpty():
+            blocks = blocks.unionByName(grid(large, rows, self.percent))
+        pairs = tile_pairs(blocks.join(self.maps.hint("merge"), ["doc_id", "n"]), False, best, self.percent)
+        if best:
+            pairs = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
+        return self._test(pairs.select("a", "b"))
+
+
+def grid(members: DataFrame, rows: int, percent: int) -> DataFrame:
+    """Members (tile, doc_id, n, label) of large tiles, once for each pair of blocks that they belong to: with block, i and j.
+
+    A block is of one size band, and of the largest component of its tile or of the
+    others. Blocks of neighbouring bands meet, but not two of the largest component,
+    which has nothing left to test within itself.
+    """
+    counted = members.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("records"))
+    # a little more than the ratio of sizes that can link, so that rounding can't part two neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.0005)))
+    kind = 2 * band + (F.col("label") == F.col("major")).cast("long")
+    of = stored(by_key(members, stored(counted, "major"), "tile", rows).select("tile", "doc_id", "n", "label", kind.alias("kind")), "kinds")
+    sizes = of.groupBy("tile", "kind").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(F.col("n") / TILE).alias("blocks")))).alias("sizes"), F.sum("n").alias("records"))  # two entries for each band
+    of = by_key(of, stored(sizes, "sizes"), "tile", rows)
+    block = F.shiftleft("kind", 32) + F.pmod(F.xxhash64("doc_id"), F.col("sizes")[F.col("kind")])
+    # the smaller components of the band and its neighbours, and for these the largest too
+    low = F.col("kind") - F.col("kind") % 2
+    near = F.array(*[low + d for d in (-2, 0, 2)])
+    near = F.when(F.col("kind") % 2 == 0, F.concat(near, F.array(*[low + d for d in (-1, 1, 3)]))).otherwise(near)
+    blocks = lambda k: F.transform(F.sequence(F.lit(0).cast("long"), F.try_element_at("sizes", k) - 1), lambda b: F.shiftleft(k, 32) + b)
+    each = F.flatten(F.transform(F.filter(near, lambda k: F.try_element_at("sizes", k).isNotNull()), blocks))
+    of = of.select("tile", "doc_id", "n", "label", block.alias("block"), F.explode(each).alias("to"))
+    return of.select("tile", "doc_id", "n", "label", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"))

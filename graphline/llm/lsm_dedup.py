@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphline.llm.common import ascii_lower, shared_dir, shuffle_partitions, stored
+from graphline.llm.common import ascii_lower, by_key, shared_dir, shuffle_partitions, stored
 from graphline.llm.filters import bloom, passing, tested
 from graphline.llm.places import placed
 
@@ -34,8 +34,6 @@ from graphline.llm.places import placed
 NONE = 2**63 - 1
 #: Rows of a memtable for each shuffle partition.
 MEMTABLE = 1 << 20
-#: No more than this many digests can have as many rows as the total divided by it.
-HOT, HOT_ROWS = 4096, 4096
 
 RUN = "digest binary, best struct<ident:long,block:long,row:long>, records long"
 MANIFEST = "level int, path string"
@@ -148,13 +146,8 @@ def labelled(rows: DataFrame, keep: str = "largest", memtable: int | None = None
         index.insert(slim.where(F.col("memtable") == k))
     found = index.compacted()
 
-    # the digests of many rows go to the rows, since they are at most HOT; a shuffle would bring their rows to one task
-    slim = slim.select("block", "row", "doc_id", "digest", "ident")
-    hot = F.col("records") >= max(HOT_ROWS, total // HOT)
-    many = F.broadcast(found.where(hot))
-    few = slim.join(F.broadcast(found.where(hot).select("digest")), "digest", "left_anti").join(found.where(~hot).hint("merge"), "digest")
     columns = ["block", "row", "doc_id", "digest", "best", "records"]
-    out = slim.join(many, "digest").select(columns).unionByName(few.select(columns))
+    out = by_key(slim.select("block", "row", "doc_id", "digest"), found, "digest", total).select(columns)
 
     by_text = _regrouped(texts, found, keep)
     if by_text is not None:

@@ -16,7 +16,7 @@ from llm_cases import base_counts, components, frame, lower, shingles, texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphline.llm import bpe, encode, fertility, filters, jaccard, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
+from graphline.llm import bpe, common, encode, fertility, filters, jaccard, kneser_ney, lsm_dedup, packing, sharding, token_counts, token_store, warc
 from graphline.llm.common import attach
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -267,7 +267,7 @@ def test_exact_dedup(docs, nothing):
 def test_exact_dedup_under_one_digest(spark, monkeypatch):
     rows = [(1, "aaa", "en"), (1, "bbb", "en"), (2, "ccc", "en"), (2, "CCC", "en"), (3, "bbb", "en")]
     for hot in (4096, 1):  # by a shuffle, and by the broadcast of hot digests
-        monkeypatch.setattr(lsm_dedup, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         found = lsm_dedup.dedup(frame(spark, rows), digest=lambda norm: F.encode(F.lit("x"), "UTF-8")).collect()
         assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == [(1, 1, 1), (1, 3, 2), (2, 2, 2), (2, 2, 2), (3, 3, 2)]
         assert sum(r["kept"] for r in found) == 3
@@ -327,6 +327,42 @@ def test_jaccard_tiles_of_several_blocks(spark, monkeypatch):
     assert found == components(rows)
 
 
+def test_jaccard_of_every_path(spark, monkeypatch):
+    """Tiles of many blocks and bands, hot shingles, hot copies and one large component beside others, at the boundary."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(160):
+        words = [f"w{i}" for i in range(rng.choice([30, 40, 52, 60, 60, 60]))]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"c{rng.randrange(40)}"
+        rows.append((k, " ".join(words), "en"))
+    rows += [(1000 + k, rows[0][1].upper(), "en") for k in range(30)] + [(7, rows[3][1] + " more", "en"), (3, " ".join(f"z{i}" for i in range(50)), "en"), (2000, " ".join(f"z{i}" for i in range(49)), "en")]
+    want = components(rows)
+    for values in ({"TILE": 8, "LEADERS": 1, "HELD": 50, "HOT_SHINGLE": 10}, {"TILE": 30, "LEADERS": 2, "BUFFER": 30}):
+        for name, value in values.items():
+            monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(common, "HOT_ROWS", 5)
+        found = jaccard.near_duplicates(frame(spark, rows), least=2).collect()
+        assert len(found) == len(rows) and {r["doc_id"]: r["component_id"] for r in found} == want
+        assert sorted((r["doc_id"], r["n_shingles"]) for r in found) == sorted((i, len(shingles(t))) for i, t, _ in rows)
+    assert 10 < len(set(want.values())) < 150
+
+
+def test_jaccard_pairs_tested_before(spark):
+    """The nearest pair of two components fails, another of theirs is at exactly 75 %."""
+
+    def text(changes):
+        words = [f"w{k}" for k in range(60)]
+        for at, word in changes.items():
+            words[at] = word
+        return " ".join(words)
+
+    for cases in (({0: "x192", 58: "x636"}, {2: "x185", 54: "x773"}, {2: "x296"}), ({58: "x528", 54: "x985"}, {7: "x258"}, {57: "x714"})):
+        rows = [(k, text(c), "en") for k, c in enumerate(cases, 1)]
+        found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+        assert found == components(rows) == {1: 1, 2: 1, 3: 1}
+
+
 def test_jaccard_best_pair_tested_before(spark):
     """1-3 links, 1-2 seems nearer than 2-3 but fails the test of the first round, and 2-3 links."""
     shared, own = [f"w{k}" for k in range(175)], [f"x{k}" for k in range(29)]
