@@ -24,8 +24,9 @@ the bound can't link.
 Verification. Pairs that pass are verified by intersecting the sorted arrays, in
 rounds: first each document of a block with the smallest partner that its bitmap
 suggests; where tiles have several blocks, then the same for the smallest member
-of each component of a tile; then the most promising pair for each two components,
-then all pairs of documents that are in different components and pass the bound.
+of each component of a tile; then the NEAREST most promising pairs for each two components, and, where two that
+had more are still apart, all pairs of documents that are in different components
+and pass the bound.
 Pairs within one component need no test, so a group of n copies costs about n
 tests, and no pair of different components is left untested. A large tile of one
 component and a few other documents meets these alone, not itself.
@@ -57,6 +58,10 @@ MARGIN = 4
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 #: Bits of the narrowest and the widest bitmap, and least bits for each shingle in between.
 NARROW, WIDE, SPREAD = 64, 16384, 2
+#: Bits of a shingle by which most are seen not to be frequent.
+MARKS = 22
+#: Pairs of two components that a task tests before it leaves the others to the next round.
+NEAREST = 64
 
 
 class _Hashes(dict):
@@ -100,7 +105,7 @@ def bitmap(shingles: np.ndarray) -> bytes:
     width = NARROW
     while width < min(SPREAD * len(shingles), WIDE):
         width *= 2
-    bits = np.bincount(((shingles * B) >> np.uint64(40)).astype(np.int64) % width, minlength=width) & 1
+    bits = np.bincount(((shingles * B) >> np.uint64(40)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -124,6 +129,8 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     """doc_id, n (set size), digest of the set, its prefix and its bitmap."""
     rank_of = np.argsort(frequent)
     ordered = frequent[rank_of]
+    marks = np.zeros(1 << MARKS, bool)
+    marks[ordered >> np.uint64(64 - MARKS)] = True
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -137,7 +144,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                     maps.append(bitmap(s))
                     length = len(s) - needed(len(s), percent) + 1 if len(s) else 0
-                    prefix.append(first_of(s, ordered, rank_of, length).view(np.int64))
+                    prefix.append(first_of(s, ordered, rank_of, marks, length).view(np.int64))
                 sizes = np.cumsum([0, *map(len, prefix)])
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(maps, pa.binary())], ["doc_id", "n", "digest", "prefix", "bits"])
@@ -145,17 +152,21 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bits binary")
 
 
-def first_of(s: np.ndarray, ordered: np.ndarray, rank_of: np.ndarray, length: int) -> np.ndarray:
-    """The first ``length`` shingles of a sorted set in the order of the prefix filter."""
+def first_of(s: np.ndarray, ordered: np.ndarray, rank_of: np.ndarray, marks: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` shingles of a sorted set in the order of the prefix filter; ``marks`` has the first bits of frequent ones."""
     if not len(ordered):
         return s[:length]
-    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-    often = ordered[at] == s
-    rare = s[~often][:length]
-    if len(rare) == length:
-        return rare
-    last = s[often][np.argsort(rank_of[at[often]], kind="stable")]
-    return np.concatenate([rare, last[: length - len(rare)]])
+    maybe = np.flatnonzero(marks[s >> np.uint64(64 - MARKS)])
+    at = np.minimum(np.searchsorted(ordered, s[maybe]), len(ordered) - 1)
+    same = ordered[at] == s[maybe]
+    often, at = maybe[same], at[same]
+    rare = np.ones(len(s), bool)
+    rare[often] = False
+    first = s[rare][:length]
+    if len(first) == length:
+        return first
+    last = s[often][np.argsort(rank_of[at], kind="stable")]
+    return np.concatenate([first, last[: length - len(first)]])
 
 
 def tiles(table: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -295,7 +306,7 @@ def pairs_of_tile(ids: np.ndarray, n: np.ndarray, bits: list[bytes], block: np.n
                 yield np.full(len(others), ids[one]), ids[others], similarity(n[one], n[others], differ[good], width[good])
 
 
-PAIRS = "a long, b long, la long, lb long, near double"
+PAIRS = "a long, b long, la long, lb long, near double, more boolean"
 
 
 def tile_pairs(members: DataFrame, leaders: bool, best: bool, percent: int) -> DataFrame:
@@ -317,7 +328,7 @@ def tile_pairs(members: DataFrame, leaders: bool, best: bool, percent: int) -> D
             for a, b, near in pairs_of_tile(ids, n, table.column("bits").to_pylist(), block, label, leaders, percent):
                 if len(a):
                     la, lb = (np.array([of[x] for x in side.tolist()], np.int64) for side in (a, b))
-                    rows = np.rec.fromarrays([a, b, la, lb, near], dtype=ROWS)
+                    rows = np.rec.fromarrays([a, b, la, lb, near, np.zeros(len(a), bool)], dtype=ROWS)
                     made.append(rows)
                     if sum(map(len, made)) > HELD:
                         made[:] = [reduced(np.concatenate(made), best)]
@@ -343,7 +354,7 @@ def tile_pairs(members: DataFrame, leaders: bool, best: bool, percent: int) -> D
     return rows.mapInArrow(run, PAIRS)
 
 
-ROWS = np.dtype([("a", np.int64), ("b", np.int64), ("la", np.int64), ("lb", np.int64), ("near", np.float64)])
+ROWS = np.dtype([("a", np.int64), ("b", np.int64), ("la", np.int64), ("lb", np.int64), ("near", np.float64), ("more", np.bool_)])
 #: Pairs that a task holds before it reduces them.
 HELD = 1 << 18
 
@@ -352,18 +363,27 @@ def batch_of(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ROWS.names], list(ROWS.names))
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    first = np.ones(len(keys[0]), bool)
+    first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return first
+
+
 def reduced(rows: np.ndarray, best: bool) -> np.ndarray:
-    """Distinct pairs; with ``best`` the nearest of each two labels."""
-    if best:
-        low, high = np.minimum(rows["la"], rows["lb"]), np.maximum(rows["la"], rows["lb"])
-        order = np.lexsort((-rows["near"], high, low))
-    else:
-        low, high = rows["a"], rows["b"]
-        order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return rows[order[first]]
+    """Distinct pairs; with ``best`` the NEAREST of each two labels, marked where there were more."""
+    low, high = np.minimum(rows["a"], rows["b"]), np.maximum(rows["a"], rows["b"])
+    order = np.lexsort((~rows["more"], high, low))  # of equal pairs one that is marked
+    rows = rows[order[_starts(low[order], high[order])]]
+    if not best:
+        return rows
+    low, high = np.minimum(rows["la"], rows["lb"]), np.maximum(rows["la"], rows["lb"])
+    order = np.lexsort((rows["b"], rows["a"], -rows["near"], high, low))
+    rows, first = rows[order], np.flatnonzero(_starts(low[order], high[order]))
+    sizes = np.diff([*first, len(rows)])
+    marked = np.logical_or.reduceat(rows["more"], first) | (sizes > NEAREST) if len(first) else np.empty(0, bool)
+    rows["more"] = np.repeat(marked, sizes)
+    return rows[np.arange(len(rows)) - np.repeat(first, sizes) < NEAREST]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -442,8 +462,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
         if not found.leaders(reduced, rows):
             break
         reduced = reduced.where(F.col("records") > TILE)
-    for best in (True, False):
-        found.crossing(held, rows, best)
+    if found.crossing(held, rows, best=True):
+        found.crossing(held, rows, best=False)
 
     # the copies of one set may be many
     of = rep.groupBy("rep").agg(F.count(F.lit(1)).alias("records")).join(found.components(), F.col("rep") == F.col("node"), "left").select("rep", "records", F.coalesce("component", "rep").alias("component"))
@@ -500,7 +520,7 @@ class Found:
         return self._test(pairs.groupBy("a").agg(F.array_distinct(F.array_compact(F.array(F.min("b"), F.min(sure)))).alias("b")).select("a", F.explode("b").alias("b")))
 
     def crossing(self, members: DataFrame, rows: int, best: bool) -> bool:
-        """Test pairs of different components that pass the bound: with ``best`` the nearest of each two, else all; whether there were any."""
+        """Test pairs of different components that pass the bound, with ``best`` the nearest of each two, else all; whether pairs are left to test."""
         labels = stored(self.labelled(members), "labelled")
         # tiles within one component are done with; bitmaps are fetched for the others alone
         mixed = labels.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("records")).where("low < high").select("tile", "records")
@@ -511,9 +531,14 @@ class Found:
         if not large.isEmpty():
             blocks = blocks.unionByName(grid(large, rows, self.percent))
         pairs = tile_pairs(blocks.join(self.maps.hint("merge"), ["doc_id", "n"]), False, best, self.percent)
-        if best:
-            pairs = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b")
-        return self._test(pairs.select("a", "b"))
+        if not best:
+            return self._test(pairs.select("a", "b"))
+        pairs = stored(pairs, "nearest")
+        self._test(pairs.select("a", "b"))
+        # two components that are still apart and had more pairs than were tested
+        of = self.components()
+        open_ = pairs.where("more").select("a", "b").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        return not open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty()
 
 
 def grid(members: DataFrame, rows: int, percent: int) -> DataFrame:
