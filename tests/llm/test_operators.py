@@ -67,6 +67,8 @@ def test_dac_random_access():
     for n in (0, 1, 511, 512, 513, 3000):
         ids = rng.integers(0, 2 ** int(rng.integers(1, 33)), n).astype(np.uint32)
         segment = token_store.DacSegment(token_store.dac_encode(ids))
+        for a, b in ((0, n), (n // 3, n // 2), (n // 2, n // 2 + 1), (max(0, n - 1), n), (n, n)):
+            assert segment.slice(a, b).tolist() == ids[a:b].tolist()
         assert segment.all().tolist() == ids.tolist() == [segment[i] for i in range(n)]
     with pytest.raises(IndexError):
         segment[3000]
@@ -84,6 +86,33 @@ def test_token_store(docs, nothing):
     assert token_store.round_trip(nothing, BYTE).count() == 0
 
 
+def test_token_store_random_access(docs, spark):
+    path = common.shared_dir(spark, "t")
+    token_store.write(docs, path, BYTE, segment_tokens=3000, batch_chars=5000)
+    assert spark.read.parquet(f"{path}/segments").count() > 4
+    order = sorted(((i if i is not None else token_store.NULL_ID), [*x, 0]) for (i, *_), x in zip(ROWS, library(BYTE, CODES), strict=True))
+    flat = [t for _, x in order for t in x]
+    store = token_store.TokenStore.open(spark, path)
+    rng = random.Random(8)
+    assert [store.token_at(k) for k in range(0, len(flat), 97)] == flat[::97] and store.token_at(len(flat) - 1) == flat[-1]
+    for bad in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            store.token_at(bad)
+    for i, x in order:
+        if i not in (5, token_store.NULL_ID):
+            a, b = sorted(rng.randrange(len(x) + 1) for _ in range(2))
+            assert store.tokens(i).tolist() == x and store.tokens(i, a, b).tolist() == x[a:b] and store.tokens(i, a).tolist() == x[a:]
+    with pytest.raises(KeyError):
+        store.tokens(77777)
+    # directories are known now: what a token and a slice of a document cost
+    before = store.bytes_read
+    store.token_at(len(flat) // 2)
+    assert store.bytes_read - before < 250
+    before = store.bytes_read
+    store.tokens(107, 4000, 4010)
+    assert store.bytes_read - before < 1200
+
+
 def test_token_counts(docs, nothing):
     pieces = sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(CODES)
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
@@ -496,10 +525,10 @@ def test_kneser_ney_limit_is_the_quantile(docs, spark):
 
 def test_warc(spark):
     page = "<html>" + "x" * 200
-    rows = [(1, "http://www.b.example.com/a?q=1#f", page), (2, "https://c.example.com:8080/", page), (3, None, page), (4, "http://b.example.com/a?q=1", None), (5, "not a url \t at all", "short"), (6, "http://[bad", "short"), (None, "http://x.org/", "z" * 120), (7, "http://x.org/", "é" * 100), (7, "http://x.org/", "é" * 100)]
+    rows = [(1, "http://www.b.example.com/a?q=1#f", page), (2, "https://c.example.com:8080/", page), (3, None, page), (4, "http://b.example.com/a?q=1", None), (5, "not a url \t at all", "short"), (6, "http://[bad", "short"), (None, "http://x.org/", "z" * 120), (7, "http://x.org/", "é" * 100), (7, "http://x.org/", "é" * 100), (8, "http://long.org/", "long page " * 50_000), (9, "http://long.org/", "long page " * 50_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, key string").repartition(3)
     found = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
-    wanted = sorted((str(i), len(h := (t or "").encode()), hashlib.sha256(h).hexdigest(), "revisit" if i in (2, 3) else "response", 1 if i in (2, 3) else None) for i, _, t in rows)
+    wanted = sorted((str(i), len(h := (t or "").encode()), hashlib.sha256(h).hexdigest(), "revisit" if i in (2, 3, 9) else "response", {2: 1, 3: 1, 9: 8}.get(i)) for i, _, t in rows)
     assert found == wanted
     assert warc.round_trip(pages.where("false")).count() == 0
     assert warc.url_key("http://www.a.example.com/x?y") == "com,example,a)/x?y"
