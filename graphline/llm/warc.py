@@ -32,7 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphline.llm.common import shared_dir, shuffle_partitions, stored
+from graphline.llm.blocks import Side, runs
+from graphline.llm.common import by_key, shared_dir, shuffle_partitions, stored, uri
+from graphline.llm.places import placed
 
 LEAST_BYTES = 100
 #: Sorts a null page_id first.
@@ -97,23 +99,34 @@ def write(pages: DataFrame, root: str) -> DataFrame:
 
     Of records with equal payloads of at least LEAST_BYTES bytes that with the
     smallest page_id is the response (all rows that repeat it are), the others
-    are revisits of it. Null html is an empty payload.
+    are revisits of it; a null page_id is a revisit of any other. Null html is an
+    empty payload, a null URL has the key ``)``, and a page of any length is one
+    record. An empty table writes nothing; other columns are ignored. Which
+    records are revisits is decided on digests alone, so pages aren't shuffled.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    first = rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first")
+    html = F.coalesce(F.col("in_2"), F.lit(""))
+    rows = placed(pages.select(F.col("page_id").cast("long"), "url", "html"))
+    rows = rows.select("block", "row", F.col("in_0").alias("page_id"), F.col("in_1").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    slim = stored(rows.where(F.octet_length("html") >= LEAST_BYTES).select("block", "row", "page_id", "digest"), "digests")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("records")).where("records > 1")
+    again = by_key(slim, stored(first, "first"), "digest", slim.count()).where(F.col("first").isNotNull()).select("block", "row", "first")
+    side = Side.write(again, "revisits", "row")
 
     def save(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(root)
         path, out, at = "", None, 0
-        for batch in parts:
+        reader, last, firsts = side.reader(), None, {}
+        for block, batch in (x for whole in parts for x in runs(whole, 0)):
+            if block != last:
+                held = [b.to_pydict() for b in reader.batches(block, "row", "first")]
+                last, firsts = block, {k: v for h in held for k, v in zip(h["row"], h["first"], strict=True)}
             if out is None:
                 store.create_dir(f"{top}/archives")
                 path = f"archives/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
                 out = store.open_output_stream(f"{top}/{path}", compression=None)
             found = []
-            for page_id, url, text, digest, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, row, page_id, url, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = firsts.get(row)
                 kind = "revisit" if one is not None and page_id != one else "response"
                 data = _gzip(record(page_id, url, text.encode(), digest, kind, one))
                 out.write(data)
@@ -217,8 +230,12 @@ class Index:
 
 def look_up(wanted: DataFrame, root: str, upper: list[dict]) -> DataFrame:
     """Captures of distinct (url, page_id): file, offset, length. Sorted by key first, so a block is read about once."""
-    key = F.udf(url_key, "string", useArrow=True)
-    rows = wanted.select(key("url").alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id")).distinct()
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["key", "page_id"])
+
+    rows = wanted.select("url", F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id")).mapInArrow(keys, "key string, page_id long").distinct()
     rows = rows.repartitionByRange(shuffle_partitions(wanted.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +280,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     One row per page; an empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = pages.sparkSession
-    root = shared_dir(spark, "warc")
-    if "://" not in root:
-        root = "file://" + root
+    root = uri(shared_dir(spark, "warc"))
     upper = build_index(write(pages, root), root)
     return read(look_up(pages, root, upper), root)
