@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphline.llm.common import shared_dir, shuffle_partitions, uri
+from graphline.llm.encode import release
 
 @dataclass
 class Side:
@@ -81,6 +82,7 @@ def keep(rows: DataFrame, docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     block, row = rows.columns.index("block"), rows.columns.index("row")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         reader, last, good = side.reader(), None, np.empty(0, np.int64)
         for batch in parts:
             for one, part in runs(batch, block):

@@ -9,12 +9,15 @@ of uncut texts.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -213,3 +216,14 @@ def token_lengths(path: str, texts: list[str], max_chunks: int = MAX_CHUNKS) ->
         return encoder("byte", path, max_chunks).lengths(texts)
     encode = _ranks(path).encode_ordinary
     return np.fromiter((len(encode(t)) for t in texts), np.int64, len(texts))
+
+
+def release() -> None:
+    """Give back what encoders of this worker hold, for tasks that need none: a worker lives on from one operator to the next."""
+    if not _KEPT and not _ranks.cache_info().currsize:
+        return
+    _KEPT.clear()
+    _ranks.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphline.llm.common import by_key, documents, stored
-from graphline.llm.encode import text_batches
+from graphline.llm.encode import release, text_batches
 from graphline.llm.filters import bloom, passing, tested
 from graphline.operators.components import components
 
@@ -115,6 +115,7 @@ def frequent_shingles(docs: DataFrame, sample_docs: int, least: int, most: int)
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler()
         for batch in parts:
             sets = [shingler(t) for t in batch.column(0).to_pylist()]
@@ -133,6 +134,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     marks[ordered >> np.uint64(64 - MARKS)] = True
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler()
         for batch in parts:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
@@ -395,6 +397,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = passing(docs.select("doc_id", "text"), key, bloom(ids, key)).join(ids.hint("merge"), "doc_id", "left_semi")
 
     def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingler = Shingler()
         for batch in parts:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "s"])

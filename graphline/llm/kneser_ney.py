@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from graphline.llm.blocks import Side, SideReader, keep, runs
 from graphline.llm.common import attach, stored
-from graphline.llm.encode import text_batches
+from graphline.llm.encode import release, text_batches
 from graphline.llm.places import placed
 
 #: Symbols are code points or BOUNDARY, of BITS bits; a context of ORDER - 1 symbols fits a long.
 BITS, ORDER, BOUNDARY = 21, 4, 0x110000
 MASK = (1 << BITS) - 1
 #: Characters of a batch, and positions of the window within which grams are told apart by local numbers.
-BATCH, WINDOW, NARROW = 1 << 21, 1 << 21, 60_000
+BATCH, WINDOW, NARROW = 1 << 20, 1 << 20, 60_000
 
 
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +105,7 @@ def grams(rows: DataFrame, trusted: Side) -> DataFrame:
     """(block, h, w, c): the grams of each block of ``rows`` (block, doc_id, text), and how often they occur in its trusted texts."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         reader, last, good = trusted.reader(), None, np.empty(0, np.int64)
         for batch in parts:
             for block, part in runs(batch, 0):
@@ -228,6 +229,7 @@ def scored(rows: DataFrame, model: tuple[Side, Side]) -> DataFrame:
     trusted, bits = model
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         reader, told, last, good = trusted.reader(), BlockModel(bits.reader()), None, np.empty(0, np.int64)
         for batch in parts:
             for block, part in runs(batch, 0):
