@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -138,6 +139,17 @@ def text_batches(texts: list[str], max_chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of consecutive texts with about ``max_bytes`` bytes; null is empty, a longer text stands alone. Only these become Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        done = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
+        yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
+        start = end
+
+
 #: Encoders of this Python worker, by vocabulary: later batches and tasks find them warm.
 _KEPT: dict[tuple[str, str], ChunkEncoder] = {}
 

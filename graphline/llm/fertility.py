@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphline.llm.blocks import keep
 from graphline.llm.common import attach, stored
-from graphline.llm.encode import MAX_CHUNKS, encoder, per_text, text_batches, token_lengths
+from graphline.llm.encode import MAX_CHUNKS, encoder, per_text, text_slices, token_lengths
 from graphline.llm.places import placed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,7 +114,7 @@ def token_measures(texts: list[str], piece_model: str, byte_model: str) -> dict[
     return {"tokens": sizes, "chars_per_token": chars / some, "chars_per_token_b": chars / np.maximum(byte_tokens, 1), "byte_share": per_text(is_byte, sizes) / some, "entropy": entropy}
 
 
-def measured(docs: DataFrame, piece_model: str, byte_model: str, batch_chars: int = 2 << 20) -> DataFrame:
+def measured(docs: DataFrame, piece_model: str, byte_model: str, batch_bytes: int = 2 << 20) -> DataFrame:
     """BASE and MEASURES of each row, with its columns other than text and lang.
 
     ``docs`` must hold none of those names; callers select or rename first.
@@ -131,10 +131,8 @@ def measured(docs: DataFrame, piece_model: str, byte_model: str, batch_chars: in
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            texts = [t or "" for t in batch.column(given.index("text")).to_pylist()]
             langs = batch.column(given.index("lang")).to_pylist()
-            for a, b in text_batches(texts, batch_chars):
-                part = texts[a:b]
+            for a, b, part in text_slices(batch.column(given.index("text")), batch_bytes):
                 base = np.array([base_counts(t) for t in part], np.int64).reshape(-1, 5)
                 m = token_measures(part, piece_model, byte_model)
                 words, repeated = base[:, 0], base[:, 4]

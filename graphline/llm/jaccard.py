@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphline.llm.common import by_key, documents, stored
-from graphline.llm.encode import release, text_batches
+from graphline.llm.encode import release, text_slices
 from graphline.llm.filters import bloom, passing, tested
 from graphline.operators.components import components
 
@@ -53,6 +53,8 @@ SIZE, PERCENT = 5, 75
 TILE, BUFFER, LEADERS = 4096, 1 << 16, 64
 #: Documents from which on a shingle is a tile by itself, by the estimate of the sample.
 HOT_SHINGLE = 1 << 20
+#: Bytes of text that a task has as Python strings at once.
+BATCH = 2 << 20
 #: Percent by which an estimated similarity is safely over the limit.
 MARGIN = 4
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -118,8 +120,8 @@ def frequent_shingles(docs: DataFrame, sample_docs: int, least: int, most: int)
         release()
         shingler = Shingler()
         for batch in parts:
-            sets = [shingler(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+            for _, _, texts in text_slices(batch.column(0), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler(t) for t in texts]).view(np.int64))], ["h"])
 
     counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.desc("n"), "h").limit(most).collect()
@@ -137,10 +139,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
         release()
         shingler = Shingler()
         for batch in parts:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in text_batches(texts, 8 << 20):
+            ids = batch.column(0)
+            for a, b, texts in text_slices(batch.column(1), BATCH):
                 n, digest, prefix, maps = [], [], [], []
-                for text in texts[a:b]:
+                for text in texts:
                     s = shingler(text)
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -400,7 +402,8 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         release()
         shingler = Shingler()
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "s"])
+            for a, b, texts in text_slices(batch.column(1), BATCH):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingler(t).tobytes() for t in texts], pa.binary())], ["doc_id", "s"])
 
     sets = stored(texts.mapInArrow(shingle, "doc_id long, s binary"), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from graphline.llm.blocks import Side, SideReader, keep, runs
 from graphline.llm.common import attach, stored
-from graphline.llm.encode import release, text_batches
+from graphline.llm.encode import release, text_slices
 from graphline.llm.places import placed
 
 #: Symbols are code points or BOUNDARY, of BITS bits; a context of ORDER - 1 symbols fits a long.
@@ -111,9 +111,9 @@ def grams(rows: DataFrame, trusted: Side) -> DataFrame:
             for block, part in runs(batch, 0):
                 if block != last:
                     last, good = block, reader.column(block, "doc_id")
-                texts, ours = [t or "" for t in part.column(2).to_pylist()], is_in(part.column(1), good)
-                for a, b in text_batches(texts, BATCH):
-                    points, inside, sizes = symbols_of(texts[a:b])
+                ours = is_in(part.column(1), good)
+                for a, b, texts in text_slices(part.column(2), BATCH):
+                    points, inside, sizes = symbols_of(texts)
                     of = np.repeat(ours[a:b], sizes + ORDER - 1)
                     for window, s, e in windows(points, inside):
                         if not len(window.packed):
@@ -235,10 +235,9 @@ def scored(rows: DataFrame, model: tuple[Side, Side]) -> DataFrame:
             for block, part in runs(batch, 0):
                 if block != last:
                     last, good = block, reader.column(block, "doc_id")
-                texts = [t or "" for t in part.column(4).to_pylist()]
                 ours = is_in(part.column(2), good)
-                for a, b in text_batches(texts, BATCH):
-                    points, inside, sizes = symbols_of(texts[a:b])
+                for a, b, texts in text_slices(part.column(4), BATCH):
+                    points, inside, sizes = symbols_of(texts)
                     each = np.zeros(len(points))
                     for window, s, e in windows(points, inside):
                         if len(window.packed):
