@@ -25,8 +25,8 @@ Verification. Pairs that pass are verified by intersecting the sorted arrays, in
 rounds: first each document of a block with the smallest partner that its bitmap
 suggests; where tiles have several blocks, then the same for the smallest member
 of each component of a tile; then the NEAREST most promising pairs for each two components, and, where two that
-had more are still apart, all pairs of documents that are in different components
-and pass the bound.
+had more are still apart, all pairs of documents of such components that pass the
+bound.
 Pairs within one component need no test, so a group of n copies costs about n
 tests, and no pair of different components is left untested. A large tile of one
 component and a few other documents meets these alone, not itself.
@@ -63,7 +63,7 @@ NARROW, WIDE, SPREAD = 64, 16384, 2
 #: Bits of a shingle by which most are seen not to be frequent.
 MARKS = 22
 #: Pairs of two components that a task tests before it leaves the others to the next round.
-NEAREST = 64
+NEAREST = 8
 
 
 class _Hashes(dict):
@@ -468,8 +468,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
         if not found.leaders(reduced, rows):
             break
         reduced = reduced.where(F.col("records") > TILE)
-    if found.crossing(held, rows, best=True):
-        found.crossing(held, rows, best=False)
+    found.crossing(held, rows)
 
     # the copies of one set may be many
     of = rep.groupBy("rep").agg(F.count(F.lit(1)).alias("records")).join(found.components(), F.col("rep") == F.col("node"), "left").select("rep", "records", F.coalesce("component", "rep").alias("component"))
@@ -525,26 +524,39 @@ class Found:
         sure = F.when(F.col("near") * 100 >= self.percent + MARGIN, F.col("b"))
         return self._test(pairs.groupBy("a").agg(F.array_distinct(F.array_compact(F.array(F.min("b"), F.min(sure)))).alias("b")).select("a", F.explode("b").alias("b")))
 
-    def crossing(self, members: DataFrame, rows: int, best: bool) -> bool:
-        """Test pairs of different components that pass the bound, with ``best`` the nearest of each two, else all; whether pairs are left to test."""
+    def crossing(self, members: DataFrame, rows: int) -> None:
+        """Test pairs of different components that pass the bound: of each two the nearest, and all where that leaves two apart."""
         labels = stored(self.labelled(members), "labelled")
         # tiles within one component are done with; bitmaps are fetched for the others alone
-        mixed = labels.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("records")).where("low < high").select("tile", "records")
-        labels = stored(by_key(labels, stored(mixed, "mixed"), "tile", rows), "mixed")
+        labels = stored(_mixed(labels, rows), "mixed")
+        pairs = stored(self._across(labels, rows, best=True), "nearest")
+        self._test(pairs.select("a", "b"))
+        # components that are still apart from one with which they had more pairs than were tested
+        of = self.components()
+        left, right = (of.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
+        apart = pairs.where("more").select("a", "b").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x <> y")
+        apart = stored(apart.select(F.explode(F.array("x", "y")).alias("component")).distinct(), "apart")
+        if apart.isEmpty():
+            return
+        counted = labels.groupBy("label").agg(F.count(F.lit(1)).alias("records")).join(of.hint("merge"), F.col("label") == F.col("node"), "left")
+        counted = counted.select("label", "records", F.coalesce("component", "label").alias("component")).join(apart.hint("merge"), "component")
+        labels = by_key(labels.drop("records"), stored(counted, "components"), "label", rows).select("tile", "doc_id", "n", F.col("component").alias("label"))
+        self._test(self._across(stored(_mixed(stored(labels, "labelled"), rows), "mixed"), rows, best=False).select("a", "b"))
+
+    def _across(self, labels: DataFrame, rows: int, best: bool) -> DataFrame:
+        """Pairs (PAIRS) of different labels in tiles (tile, doc_id, n, label, records), with ``best`` the nearest of each two labels."""
         zero = F.lit(0).cast("long")
         blocks = labels.where(F.col("records") <= TILE).select("tile", "doc_id", "n", "label", zero.alias("block"), zero.alias("i"), zero.alias("j"))
         large = labels.where(F.col("records") > TILE).drop("records")
         if not large.isEmpty():
             blocks = blocks.unionByName(grid(large, rows, self.percent))
-        pairs = tile_pairs(blocks.join(self.maps.hint("merge"), ["doc_id", "n"]), False, best, self.percent)
-        if not best:
-            return self._test(pairs.select("a", "b"))
-        pairs = stored(pairs, "nearest")
-        self._test(pairs.select("a", "b"))
-        # two components that are still apart and had more pairs than were tested
-        of = self.components()
-        open_ = pairs.where("more").select("a", "b").join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return not open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty()
+        return tile_pairs(blocks.join(self.maps.hint("merge"), ["doc_id", "n"]), False, best, self.percent)
+
+
+def _mixed(labels: DataFrame, rows: int) -> DataFrame:
+    """Of (tile, doc_id, n, label) the tiles of several labels, with their number of members as ``records``."""
+    mixed = labels.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("records")).where("low < high").select("tile", "records")
+    return by_key(labels, stored(mixed, "tiles"), "tile", rows)
 
 
 def grid(members: DataFrame, rows: int, percent: int) -> DataFrame:
