@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,6 +14,31 @@ from graphline.model import PropertyGraph, merged
 from graphline.schema import EDGES, GRAPH_DOCUMENT, METADATA_DOCUMENT, NODES, conform
 
 GRAPH_GLOB = "*.callgraph.json"
+#: What a path on the local file system may begin with, and the signs that Spark's readers take for patterns.
+ROOT, GLOB_SIGNS = r"^file:/+", r"[\\*?\[\]{}]"
+
+
+def plain_path(encoded: Column) -> Column:
+    """The path that a percent-encoded one stands for."""
+    return F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)
+
+
+def resolved(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Full paths of the inputs in the order given, each once; a folder stands for its graph files by name. An input without a file is an error."""
+    hadoop, found = spark._jvm.org.apache.hadoop.fs, []
+    for given in paths:
+        path = hadoop.Path(given)
+        store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if not store.exists(path):
+            raise FileNotFoundError(given)
+        status = store.getFileStatus(path)
+        files = [status.getPath().toString()]
+        if status.isDirectory():
+            files = sorted(f.getPath().toString() for f in store.listStatus(path) if f.isFile() and f.getPath().getName().endswith(GRAPH_GLOB[1:]))
+        if not files:
+            raise FileNotFoundError(f"{given} has no {GRAPH_GLOB}")
+        found += files
+    return list(dict.fromkeys(found))
 
 
 def documents(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -20,7 +46,7 @@ def documents(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    text = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    text = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select("value", plain_path(F.col("_metadata.file_path")).alias("path"))
     name = F.element_at(F.split("path", "/"), -1)
     parsed = F.from_json("value", GRAPH_DOCUMENT, {"mode": "PERMISSIVE"})
     whole = F.try_parse_json("value")
@@ -35,12 +61,11 @@ def kind() -> Column:
 
 
 def with_order(docs: DataFrame, paths: Sequence[str] | None = None) -> DataFrame:
-    """``file``: the position of each document in ``paths``, else in path order (one row per file)."""
+    """``file``: the position of each document in ``paths`` (full ones), else in path order (one row per file)."""
     if paths is None:
         return docs.withColumn("file", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
-    order = docs.sparkSession.createDataFrame([(k, p.rstrip("/").rpartition("/")[2], p) for k, p in enumerate(paths)], "file int, name string, given string")
-    tail = F.expr("endswith(path, given)")
-    return docs.join(order, (F.col("file_name") == F.col("name")) & tail).drop("name", "given")
+    order = docs.sparkSession.createDataFrame([(k, re.sub(ROOT, "/", p)) for k, p in enumerate(paths)], "file int, given string")
+    return docs.join(order, F.regexp_replace("path", ROOT, "/") == F.col("given")).drop("given")
 
 
 def truth(text: str) -> Column:
@@ -96,9 +121,10 @@ def unified_graph(docs: DataFrame) -> PropertyGraph:
 
 
 def load_graph(spark: SparkSession, paths: str | Sequence[str]) -> PropertyGraph:
-    """One graph from documents of either kind, composed in the order given; unreadable documents fail the load."""
+    """One graph from documents of either kind, composed in the order given (see ``resolved``); unreadable documents fail the load."""
     given = [paths] if isinstance(paths, str) else list(paths)
-    docs = with_order(documents(spark, given), given)
+    files = resolved(spark, given)
+    docs = with_order(documents(spark, [re.sub(GLOB_SIGNS, r"\\\g<0>", f) for f in files]), files)
     bad = docs.where(~F.col("parsed") | kind().isNull()).select("path").limit(1).collect()
     if bad:
         raise ValueError(f"not a graph document: {bad[0]['path']}")

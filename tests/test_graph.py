@@ -280,3 +280,21 @@ def test_random_graphs(spark, seed):
             assert all(step in edges for step in pairwise(row["path"])) and row["path"][0] == a and row["path"][-1] == b
         else:
             assert row["hops"] is None
+
+
+def test_inputs_are_resolved(spark, tmp_path):
+    def module(path, name):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(json.dumps({"program": name, "functions": [{"entry_point": "0x1", "name": "f"}, {"entry_point": "0x2", "name": "g"}], "edges": [{"caller": "0x1", "callee": "0x2"}]}))
+        return str(path)
+
+    spaced, plain = module(tmp_path / "my graph+1 %.callgraph.json", "A"), module(tmp_path / "a.callgraph.json", "B")
+    below, folder = module(tmp_path / "x" / "a.callgraph.json", "C"), module(tmp_path / "y" / "b.callgraph.json", "D")
+    (tmp_path / "y" / "other.json").write_text("{}")
+    (tmp_path / "empty").mkdir()
+    programs = lambda *paths: sorted({r["program"] for r in readers.load_graph(spark, list(paths)).nodes.collect()})
+    assert programs(spaced) == ["A"] and programs(plain, below) == ["B", "C"] and programs(plain, plain) == ["B"]
+    assert programs(str(tmp_path / "y"), spaced) == ["A", "D"] and programs(folder) == ["D"]
+    for bad in (str(tmp_path / "none.callgraph.json"), str(tmp_path / "empty")):
+        with pytest.raises(FileNotFoundError):
+            readers.load_graph(spark, [plain, bad])
