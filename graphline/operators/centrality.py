@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,14 +40,14 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int | None
     return ranks
 
 
-def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task: int = 64) -> DataFrame:
+def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task: int = 64, broadcast_nodes: int = 1_000_000) -> DataFrame:
     """(node_id, betweenness): directed, unweighted, not normalised, exact.
 
-    Up to ``broadcast_edges`` edges each task has the adjacency arrays (8 bytes an
-    edge) and runs searches from its share of the sources; beyond that shortest
-    paths are counted by joins, level by level.
+    Up to ``broadcast_edges`` edges and ``broadcast_nodes`` nodes each task has the
+    adjacency arrays (8 bytes an edge) and runs searches from its share of the
+    sources; beyond that shortest paths are counted by joins, level by level.
     """
-    if graph.edges.count() > broadcast_edges:
+    if graph.edges.count() > broadcast_edges or graph.nodes.count() > broadcast_nodes:
         return betweenness_by_joins(graph)
     spark = graph.nodes.sparkSession
     ids = [r["node_id"] for r in graph.nodes.select("node_id").orderBy("node_id").toLocalIterator()]
@@ -95,26 +96,35 @@ def _add_dependencies(source: int, first: np.ndarray, to: np.ndarray, total: np.
     total += share
 
 
-def betweenness_by_joins(graph: PropertyGraph) -> DataFrame:
-    """The same from (s, t, depth, number of shortest paths), built level by level."""
-    ids = graph.nodes.select("node_id")
+def betweenness_by_joins(graph: PropertyGraph, sources_at_once: int = 1_000_000) -> DataFrame:
+    """The same by joins: path counts level by level from a batch of sources, then dependencies back along the levels."""
+    ids = cut(graph.nodes.select("node_id"))
     step = cut(graph.edges.where("src <> dst").select("src", "dst").distinct())
-    known = ids.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
-    level = known = cut(known)
-    depth = 0
+    batches = -(-ids.count() // sources_at_once)
+    scores = [_dependencies(ids.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == k), step) for k in range(batches)]
+    if not scores:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    total = reduce(DataFrame.unionByName, scores).groupBy("node_id").agg(F.sum("share").alias("betweenness"))
+    return ids.join(total, "node_id", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _dependencies(sources: DataFrame, step: DataFrame) -> DataFrame:
+    """(node_id, share): what shortest paths from the sources pass through each node."""
+    levels = [cut(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1.0).alias("paths")))]
     while True:
-        depth += 1
-        moved = level.join(step, level.t == step.src).groupBy("s", F.col("dst").alias("t")).agg(F.sum("paths").alias("paths"))
-        level = cut(moved.join(known.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(depth).alias("d"), "paths"))
-        if level.isEmpty():
+        last = levels[-1]
+        moved = last.join(step, last.t == step.src).groupBy("s", F.col("dst").alias("t")).agg(F.sum("paths").alias("paths"))
+        fresh = cut(moved.join(reduce(DataFrame.unionByName, levels).select("s", "t"), ["s", "t"], "left_anti"))
+        if fresh.isEmpty():
             break
-        known = known.unionByName(level)
-    known = cut(known)
-    a = known.where("d > 0").select("s", F.col("t").alias("v"), F.col("d").alias("d1"), F.col("paths").alias("p1"))
-    b = known.where("d > 0").select(F.col("s").alias("v"), "t", F.col("d").alias("d2"), F.col("paths").alias("p2"))
-    through = a.join(b, "v").where("s <> t").join(known, ["s", "t"]).where("d1 + d2 = d")
-    scores = through.groupBy(F.col("v").alias("node_id")).agg(F.sum(F.col("p1") * F.col("p2") / F.col("paths")).alias("betweenness"))
-    return ids.join(scores, "node_id", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+        levels.append(fresh)
+    below, shares = levels[-1].withColumn("share", F.lit(0.0)), []
+    # the sources themselves (level 0) lie between nothing
+    for level in reversed(levels[1:-1]):
+        given = below.join(step, below.t == step.dst).select("s", F.col("src").alias("t"), ((1 + F.col("share")) / F.col("paths")).alias("given"))
+        below = cut(level.join(given.groupBy("s", "t").agg(F.sum("given").alias("given")), ["s", "t"], "left").select("s", "t", "paths", (F.col("paths") * F.coalesce("given", F.lit(0.0))).alias("share")))
+        shares.append(below.select(F.col("t").alias("node_id"), "share"))
+    return reduce(DataFrame.unionByName, shares, levels[0].select(F.col("t").alias("node_id"), F.lit(0.0).alias("share")))
 
 
 def summary(graph: PropertyGraph, metric: str = "degree", top: int = 10) -> tuple[dict, DataFrame]:

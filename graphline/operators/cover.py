@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,19 +79,31 @@ class Cover:
     missing: DataFrame
 
 
-def greedy_cover(graph: PropertyGraph, names: Sequence[str] | None = None, prefixes: str | Sequence[str] = TARGET_PREFIXES, program_hint: str | None = PROGRAM_HINT, programs: Sequence[str] | None = None, candidate_filter: Column | None = None, targets: DataFrame | None = None) -> Cover:
+def greedy_cover(graph: PropertyGraph, names: Sequence[str] | None = None, prefixes: str | Sequence[str] = TARGET_PREFIXES, program_hint: str | None = PROGRAM_HINT, programs: Sequence[str] | None = None, candidate_filter: Column | None = None, targets: DataFrame | None = None, batch: int = 2000, batch_pairs: int = 500_000) -> Cover:
     """Repeatedly the candidate that reaches most targets still uncovered; ties by node_id. Ends when no candidate gains.
 
-    One row per step passes through the driver; the pairs stay distributed and shrink with every pick.
+    Gains never grow. So of the best ``batch`` candidates, with at most ``batch_pairs``
+    pairs, picks are made in the driver while they beat the next candidate's gain of
+    the start; then the pairs, which stay distributed, are cut down and gains counted
+    anew. A candidate of more pairs than that is picked alone.
     """
     aims, missing = target_set(graph, names, prefixes, program_hint) if targets is None else (targets, graph.nodes.sparkSession.createDataFrame([], "name string"))
     who = candidates(graph, programs, candidate_filter)
     rest = pairs = covered_pairs(graph, aims, who)
-    picks: list[tuple[int, str, int]] = []
-    while best := rest.groupBy("node").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "node").first():
-        picks.append((len(picks) + 1, best["node"], best["gain"]))
-        rest = cut(rest.join(rest.where(F.col("node") == best["node"]).select("target"), "target", "left_anti").select("node", "target"))
     spark = graph.nodes.sparkSession
+    picks: list[tuple[int, str, int]] = []
+    while best := rest.groupBy("node").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "node").limit(batch + 1).collect():
+        most = max(1, sum(n <= batch_pairs for n in accumulate(r["gain"] for r in best[:batch])))
+        new = [(best[0]["node"], best[0]["gain"])]
+        if best[0]["gain"] <= batch_pairs:
+            some = spark.createDataFrame([(r["node"],) for r in best[:most]], "node string")
+            sets: dict[str, set] = {}
+            for r in rest.join(F.broadcast(some), "node").collect():
+                sets.setdefault(r["node"], set()).add(r["target"])
+            new = _picked(sets, (-best[most]["gain"], best[most]["node"]) if len(best) > most else (0, ""))
+        picks += [(len(picks) + k, node, gain) for k, (node, gain) in enumerate(new, 1)]
+        now = spark.createDataFrame([(node,) for node, _ in new], "node string")
+        rest = cut(rest.join(rest.join(F.broadcast(now), "node").select("target").distinct(), "target", "left_anti").select("node", "target"))
     steps = spark.createDataFrame(picks, "step int, node_id string, gain long")
     # the step that covers a target is the first pick that reaches it
     step_of = pairs.join(steps.select(F.col("node_id").alias("node"), "step"), "node").groupBy("target").agg(F.min("step").alias("step"))
@@ -98,6 +112,23 @@ def greedy_cover(graph: PropertyGraph, names: Sequence[str] | None = None, prefi
     return Cover(hooks, aims.join(step_of.select(F.col("target").alias("node_id")), "node_id", "left_anti"), missing)
 
 
+def _picked(sets: dict[str, set], bound: tuple[int, str]) -> list[tuple[str, int]]:
+    """Greedy picks (node, gain) among ``sets`` as long as (-gain, node) comes before ``bound``. A heap of old gains is checked lazily."""
+    heap = [(-len(s), node) for node, s in sets.items()]
+    heapify(heap)
+    covered: set = set()
+    found = []
+    while heap and heap[0] < bound:
+        old, node = heappop(heap)
+        left = sets[node] - covered
+        if -len(left) != old:
+            heappush(heap, (-len(left), node))
+            continue
+        found.append((node, len(left)))
+        covered |= left
+    return found
+
+
 def target_programs(graph: PropertyGraph, program_hint: str) -> DataFrame:
     """Programs that a hint ends."""
     return graph.nodes.where(program_ends_with(program_hint)).select("program").distinct()

@@ -27,7 +27,7 @@ def closure(edges: DataFrame, targets: DataFrame, direction: str = "in", max_dep
     ``targets`` has the column node_id; every target has itself at depth 0.
     """
     at, to = ("dst", "src") if direction == "in" else ("src", "dst")
-    step = edges.select(F.col(at).alias("node"), F.col(to).alias("next")).distinct()
+    step = cut(edges.select(F.col(at).alias("node"), F.col(to).alias("next")))
     seeds = targets.select(F.col("node_id").alias("node"), F.col("node_id").alias("target")).distinct().withColumn("depth", F.lit(0))
     found = [cut(seeds)]
     while max_depth is None or len(found) <= max_depth:
@@ -75,7 +75,7 @@ def paths_to(graph: PropertyGraph, focus: str, max_depth: int | None = None, unt
 
     With ``until`` the search ends at the depth where that node is found.
     """
-    step = graph.edges.select(F.col("dst").alias("node_id"), F.col("src").alias("next")).distinct()
+    step = cut(graph.edges.select(F.col("dst").alias("node_id"), F.col("src").alias("next")))
     found = [cut(_one(graph, focus).select("node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path")))]
     while max_depth is None or len(found) <= max_depth:
         if until is not None and not found[-1].where(F.col("node_id") == until).isEmpty():

@@ -264,7 +264,7 @@ def test_random_graphs(spark, seed):
     assert all(a >= b for a, b in pairwise(gains)) and sum(gains) + result.uncovered.count() == len(targets)
     assert set(column(result.uncovered)) == targets - set().union(*reaching.values())
     expected = brute_betweenness(ids, edges)
-    for found in (centrality.betweenness(g), centrality.betweenness_by_joins(g)):
+    for found in (centrality.betweenness(g), centrality.betweenness_by_joins(g, 5)):
         assert {r["node_id"]: round(r["betweenness"], 9) for r in found.collect()} == {n: round(x, 9) for n, x in expected.items()}
     ranks = centrality.pagerank(g, tolerance=1e-9, most=60)
     assert abs(sum(column(ranks, "rank")) - 1) < 1e-9
@@ -282,6 +282,25 @@ def test_random_graphs(spark, seed):
             assert row["hops"] is None
 
 
+def test_cover_in_batches(spark):
+    """However few candidates pass through the driver at once, the picks are those of the plain greedy."""
+    rng = random.Random(5)
+    reach_of = {f"c{k:02d}": {f"t{rng.randrange(30):02d}" for _ in range(rng.randrange(1, 9))} for k in range(12)}
+    targets = sorted(set().union(*reach_of.values()))
+    expected, covered = [], set()
+    while left := max(len(s - covered) for s in reach_of.values()):
+        best = min(n for n, s in reach_of.items() if len(s - covered) == left)
+        expected.append((best, left))
+        covered |= reach_of[best]
+    nodes = [(n, "P", n, "DEFAULT") for n in reach_of] + [(t, "Q", t, None) for t in targets]
+    g = PropertyGraph.of(spark.createDataFrame(nodes, "node_id string, program string, name string, source string"), spark.createDataFrame([(n, t) for n, s in reach_of.items() for t in s], "src string, dst string"))
+    aims = spark.createDataFrame([(t,) for t in targets], "node_id string")
+    for some in ({}, {"batch": 3}, {"batch_pairs": 12}):
+        hooks = cover.greedy_cover(g, targets=aims, **some).hooks.orderBy("step").collect()
+        assert [(h["node_id"], h["gain"]) for h in hooks] == expected
+        assert set().union(*(h["covered"] for h in hooks)) == set(targets)
+
+
 def test_inputs_are_resolved(spark, tmp_path):
     def module(path, name):
         path.parent.mkdir(parents=True, exist_ok=True)
