@@ -49,16 +49,21 @@ def test_hub_is_a_nearest_rank(spark):
 
 
 def test_codeview(spark):
-    guid = uuid.UUID("12345678-9abc-def0-1234-56789abcdef0")
-    records = [b"RSDS" + guid.bytes_le + struct.pack("<I", 5) + b"kernel32.pdb\0", b"NB10" + bytes(4) + struct.pack("<II", 0x12345678, 3) + b"legacy.pdb\0"]
-    rsds, nb10 = (r["codeview"] for r in symbols.parse_codeview(spark.createDataFrame([(bytearray(r),) for r in records], "record binary")).collect())
-    assert rsds["guid"] == str(guid).upper() and rsds["age"] == 5 and rsds["pdb_path"] == "kernel32.pdb" and rsds["symbol_server_path"] == "123456789ABCDEF0123456789ABCDEF05"
-    assert nb10["timestamp"] == 0x12345678 and nb10["age"] == 3 and nb10["pdb_path"] == "legacy.pdb"
+    ids = [uuid.uuid5(uuid.NAMESPACE_URL, f"build {k}") for k in range(3)]
+    ages = [1, 26, 0xABCDE]
+    names = ["D:\\out\\ü lib.pdb", "", "/srv/x.y.pdb"]
+    rsds = [b"RSDS" + i.bytes_le + struct.pack("<I", a) + n.encode() + b"\0rest" for i, a, n in zip(ids, ages, names, strict=True)]
+    nb10 = b"NB10" + struct.pack("<III", 7, 0xFEDC0001, 41) + b"old.pdb\0"
+    found = [r["codeview"] for r in symbols.parse_codeview(spark.createDataFrame([(bytearray(r),) for r in [*rsds, nb10]], "record binary").coalesce(1)).collect()]
+    for row, i, a, n in zip(found, ids, ages, names, strict=False):
+        assert (row["signature"], row["guid"], row["age"], row["pdb_path"]) == ("RSDS", str(i).upper(), a, n)
+        assert row["symbol_server_path"] == f"{i.hex.upper()}{a:X}" and row["timestamp"] is None
+    assert (found[3]["signature"], found[3]["timestamp"], found[3]["age"], found[3]["pdb_path"]) == ("NB10", 0xFEDC0001, 41, "old.pdb")
     with pytest.raises(Exception, match="unsupported CodeView"):
-        symbols.parse_codeview(spark.createDataFrame([(bytearray(b"XXXX"),)], "record binary")).collect()
-    assert [one(spark, symbols.compressed_name("n"), n=n) for n in ("ntdll.pdb", "foo")] == ["ntdll.pd_", "foo_"]
-    assert [r["x"] for r in spark.createDataFrame([(bytearray(b"MSCF0000"),), (bytearray(b"\0\1\2\3"),)], "c binary").select(symbols.is_cabinet("c").alias("x")).collect()] == [True, False]
-    assert spark.range(1).select(symbols.file_version(F.lit(0x000A0001), F.lit(0x4A610002)).alias("v")).first()["v"] == "10.1.19041.2"
+        symbols.parse_codeview(spark.createDataFrame([(bytearray(b"NB09"),)], "record binary")).collect()
+    assert [one(spark, symbols.compressed_name("n"), n=n) for n in ("lib.v2.pdb", "README", "a.b")] == ["lib.v2.pd_", "README_", "a.b_"]
+    assert [r["x"] for r in spark.createDataFrame([(bytearray(b"MSCF"),), (bytearray(b"MSC"),), (None,)], "c binary").coalesce(1).select(symbols.is_cabinet("c").alias("x")).collect()] == [True, False, False]
+    assert spark.range(1).select(symbols.file_version(F.lit(0x00030007), F.lit(0xFFFF0000)).alias("v")).first()["v"] == "3.7.65535.0"
 
 
 def test_signatures(spark, tmp_path):

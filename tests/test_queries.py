@@ -6,9 +6,10 @@ from pathlib import Path
 
 import pytest
 
-from graphline.queries import ORACLE_SQL, QUERIES
+from graphline import module_queries, queries
 
 duckdb = pytest.importorskip("duckdb")
+QUERIES, ORACLE_SQL = queries.QUERIES | module_queries.QUERIES, queries.ORACLE_SQL | module_queries.ORACLE_SQL
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The rest runs in the driver's comparison.
@@ -16,7 +17,7 @@ SOME = ["degree_all", "nodes_per_layer", "balanced_topk", "khop_inbound", "short
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) and len(QUERIES) == len(queries.QUERIES) + len(module_queries.QUERIES)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -40,3 +41,13 @@ WHOLE = ["ancestors_suppliers", "has_path_all", "orphans_all", "balanced_topk_al
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_against_sql(spark, name):
     test_against_sql(spark, name)
+
+
+#: Scans, unification and records over module documents.
+MODULES = ["unify_layers", "unify_edges", "audit", "undeclared_ends", "codeview", "betweenness_small"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", MODULES)
+def test_modules_against_sql(spark, name):
+    test_against_sql(spark, name)
