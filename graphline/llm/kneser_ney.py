@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from graphline.llm.blocks import Side, SideReader, keep, runs
@@ -160,10 +161,13 @@ def probabilities(counts: DataFrame) -> DataFrame:
         d1, d2, d3 = discounts(table)
         c = F.col("c")
         taken = F.when(c == 0, F.lit(0.0)).when(c == 1, F.lit(d1)).when(c == 2, F.lit(d2)).otherwise(F.lit(d3))
-        # a context has one row for each symbol that follows it, so at most as many as there are symbols
-        context = table.groupBy("h").agg(F.sum("c").alias("total"), F.sum(F.least(taken, c)).alias("given"))
+        # a context has one row for each symbol that follows it, so at most as many as there are symbols;
+        # whole numbers are summed, whose sum doesn't depend on the order of the rows
+        times = [F.sum(hit.cast("long")) for hit in (c == 1, c == 2, c > 2)]
+        given = times[0] * F.lit(d1) + times[1] * F.lit(d2) + times[2] * F.lit(d3)
+        context = table.groupBy("h").agg(F.sum("c").alias("total"), given.alias("given"))
         of = table.join(context.hint("merge"), "h")
-        share = F.when(F.col("total") > 0, (c - F.least(taken, c)) / F.col("total")).otherwise(F.lit(0.0))
+        share = F.when(F.col("total") > 0, (c - taken) / F.col("total")).otherwise(F.lit(0.0))
         left = F.when(F.col("total") > 0, F.col("given") / F.col("total")).otherwise(F.lit(1.0))
         if lower is None:
             found = of.select("h", "w", (share + left / symbols).alias("p"))
@@ -252,22 +256,45 @@ NAMES = [f.split()[0] for f in SCORES.split(", ")]
 
 
 def per_sum(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    """Sums of runs of values, none of them empty. Each is of its own values alone, so equal texts get equal sums wherever they stand."""
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
 
 
 QUANTILE, LEAST = 0.99, 30
 #: The perplexity of few characters varies more: the limit grows by SHORT / sqrt(characters).
 SHORT = 2.0
+#: Ranges of one doubling of the perplexity, by which the place of a quantile is found.
+RANGES = 1024
+
+
+def limits(known: DataFrame, quantile: float) -> DataFrame:
+    """(whole, lang, n, limit) of each language of ``known`` (lang, perplexity), and of all its rows as ``whole``.
+
+    The limit is the perplexity of rank ceil(quantile * n), exactly and whatever the
+    order of the rows: counts of narrow ranges tell the range that has this rank, and
+    the counted values of that range alone are put in order.
+    """
+    of = F.array(F.struct(F.lit(False).alias("whole"), "lang"), F.struct(F.lit(True).alias("whole"), F.lit("").alias("lang")))
+    rows = known.select(F.explode(of).alias("of"), "perplexity", F.floor(F.log2("perplexity") * RANGES).alias("part")).select("of.*", "perplexity", "part").where("lang IS NOT NULL")
+    group = SqlWindow.partitionBy("whole", "lang")
+
+    def with_rank(counted: DataFrame, value: str) -> DataFrame:
+        before = F.sum("c").over(group.orderBy(value).rowsBetween(SqlWindow.unboundedPreceding, -1))
+        return counted.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("c")))
+
+    parts = rows.groupBy("whole", "lang", "part").agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(group))
+    parts = with_rank(parts.withColumn("rank", F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1))), "part")
+    near = attach(rows, parts.select("whole", "lang", "part", "n", (F.col("rank") - F.col("before")).alias("rank")), ["whole", "lang", "part"])
+    near = near.where("rank IS NOT NULL").groupBy("whole", "lang", "n", "rank", "perplexity").agg(F.count(F.lit(1)).alias("c"))
+    return with_rank(near, "perplexity").select("whole", "lang", "n", F.col("perplexity").alias("limit"))
 
 
 def judged(table: DataFrame, quantile: float, least: int) -> DataFrame:
     """SCORES with threshold and kept. Text is not part of the table, and the limits of languages are few."""
     known = table.where(F.col("trusted") & F.col("perplexity").isNotNull())
-    limit = F.percentile_approx("perplexity", quantile, 1000)
-    each = known.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), limit.alias("of_lang")).where(F.col("n") >= least).drop("n")
-    over_all = known.agg(limit.alias("limit")).first()["limit"]
+    found = stored(limits(known, quantile), "limits")
+    each = found.where(~F.col("whole") & (F.col("n") >= least)).select("lang", F.col("limit").alias("of_lang"))
+    over_all = next((r["limit"] for r in found.where("whole").collect()), None)  # one row
     found = attach(table, each, ["lang"])
     limit = F.coalesce("of_lang", F.lit(over_all).cast("double")) * (1 + F.lit(SHORT) / F.sqrt(F.greatest("n_chars", F.lit(1))))
     return found.withColumn("threshold", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

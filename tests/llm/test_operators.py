@@ -523,6 +523,24 @@ def test_kneser_ney_limit_is_the_quantile(docs, spark):
         assert r["kept"] == (r["perplexity"] <= r["threshold"])
 
 
+def test_kneser_ney_limits_are_exact(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([draw.uniform(2, 50), 7.5, 9.25])) for _ in range(6000)] + [("c", 3.0), ("d", 1.0), ("d", 1.0)]
+    of = {(False, lang): [p for x, p in rows if x == lang] for lang in "abcd"} | {(True, ""): [p for x, p in rows if x is not None] + [p for x, p in rows if x is None]}
+    want = {k: (len(x), sorted(x)[max(1, math.ceil(0.99 * len(x))) - 1]) for k, x in of.items()}
+    table = spark.createDataFrame(rows, "lang string, perplexity double")
+    for parts in (1, 7):
+        found = kneser_ney.limits(table.repartition(parts), 0.99).collect()
+        assert {(r["whole"], r["lang"]): (r["n"], r["limit"]) for r in found} == want and len(found) == len(want)
+    assert kneser_ney.limits(table.where("false"), 0.99).count() == 0
+
+
+def test_kneser_ney_does_not_depend_on_the_order(docs, spark):
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    told = [sorted(map(str, kneser_ney.perplexity(d, labels, least=5).collect())) for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(5))]
+    assert told[0] == told[1]
+
+
 def test_warc(spark):
     page = "<html>" + "x" * 200
     rows = [(1, "http://www.b.example.com/a?q=1#f", page), (2, "https://c.example.com:8080/", page), (3, None, page), (4, "http://b.example.com/a?q=1", None), (5, "not a url \t at all", "short"), (6, "http://[bad", "short"), (None, "http://x.org/", "z" * 120), (7, "http://x.org/", "é" * 100), (7, "http://x.org/", "é" * 100), (8, "http://long.org/", "long page " * 50_000), (9, "http://long.org/", "long page " * 50_000)]
