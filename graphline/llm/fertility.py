@@ -160,12 +160,47 @@ def pooled_sizes(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
     return near.withColumn("before", F.coalesce(F.sum("n").over(closer), F.lit(0))).where(F.col("before") < least).select(*keys, "size", "fertility_size")
 
 
+#: Parts of a unit of a measure, by which the place of a quantile is found.
+PARTS = 1 << 14
+
+
+def exact_ranks(rows: DataFrame, keys: list[str], values: dict[str, Column], shares: tuple[float, ...]) -> DataFrame:
+    """(keys, n, an array for each of ``values``): its values of rank ceil(share * n), exactly and whatever the order of the rows.
+
+    Counts of narrow parts tell which part has a rank; the counted values of these
+    parts alone are put in order.
+    """
+    each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), v.cast("double").alias("value")) for name, v in values.items()])).alias("one"))
+    each = each.select(*keys, "one.measure", (F.col("one.value") + 0.0).alias("value")).withColumn("part", F.floor(F.col("value") * PARTS))
+    group = Window.partitionBy(*keys, "measure")
+    earlier = lambda by: F.coalesce(F.sum("c").over(group.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("c"))
+
+    parts = each.groupBy(*keys, "measure", "part").agg(F.count(F.lit(1)).alias("c")).withColumn("n", F.sum("c").over(group)).withColumn("before", earlier("part"))
+    ranks = F.array(*[F.struct(F.lit(k).alias("share"), F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)).alias("rank")) for k, q in enumerate(shares)])
+    parts = parts.select("*", F.explode(ranks).alias("r")).select(*keys, "measure", "part", "n", "before", "c", "r.*").where(inside)
+    asked = parts.groupBy(*keys, "measure", "part", "n").agg(F.collect_list(F.struct("share", (F.col("rank") - F.col("before")).alias("rank"))).alias("ranks"))  # as many as shares
+    near = attach(each, asked, [*keys, "measure", "part"]).where("ranks IS NOT NULL")
+    near = near.groupBy(*keys, "measure", "part", "n", "ranks", "value").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*keys, "measure", "part")
+    found = near.withColumn("before", earlier("value")).select("*", F.explode("ranks").alias("r")).select(*keys, "n", "measure", "value", "before", "c", "r.*").where(inside)
+    of = lambda name: F.array(*[F.max(F.when((F.col("measure") == name) & (F.col("share") == k), F.col("value"))) for k in range(len(shares))]).alias(name)
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[of(name) for name in values])
+
+
+def _pooled(good: DataFrame, moved: DataFrame, by: list[str]) -> DataFrame:
+    """Texts with each pool that gathers them: the pools of a cell are few and come to its texts as one value."""
+    pools = moved.groupBy(*by).agg(F.collect_list(F.struct(*[c for c in moved.columns if c not in by])).alias("pools"))
+    return attach(good, pools, by).select("*", F.explode("pools").alias("pool")).select(*good.columns, "pool.*")
+
+
 def fit_bands(table: DataFrame, bands: tuple[Band, ...] = BANDS, least: int = 40) -> DataFrame:
     """One row per group and size of texts that pass the base rules: low_<measure> and high_<measure>, null where unbounded."""
     cell = ["fertility_group", "fertility_size"]
     passed = table.where(~F.col("base_failed"))
-    good = stored(passed.select("text_hash", *cell, *[b.measure for b in bands]).dropDuplicates(["text_hash"]), "usual")
-    # one row per group and size; a text of several groups counts in one of them, but is judged in each
+    # a text counts once in each of its groups; the measures are its own, so it doesn't matter which of its rows stays
+    good = stored(passed.select("text_hash", *cell, *[b.measure for b in bands]).dropDuplicates(["text_hash", "fertility_group"]), "usual")
+    # one row per group and size
     counted = good.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     cells = stored(passed.select(*cell).distinct().join(counted, cell, "left").fillna(0, ["n"]), "cells")
     total = cells.groupBy("fertility_group").agg(F.sum("n").alias("total"))
@@ -177,7 +212,8 @@ def fit_bands(table: DataFrame, bands: tuple[Band, ...] = BANDS, least: int = 40
     # as texts grow, and twice the tokens add one bit at most: where no size is near, both
     # limits are taken so that they reject less
     growing = [b.measure for b in bands if b.grows]
-    middles = good.groupBy("fertility_size").agg(F.count(F.lit(1)).alias("n"), F.struct(*[F.percentile_approx(m, 0.5, 1000).alias(m) for m in growing]).alias("usual")).where(F.col("n") >= max(1, least // 4))
+    middles = exact_ranks(good, ["fertility_size"], {m: F.col(m) for m in growing}, (0.5,)).where(F.col("n") >= max(1, least // 4))
+    middles = middles.select("fertility_size", F.struct(*[F.col(m)[0].alias(m) for m in growing]).alias("usual"))
     away = F.struct(F.abs(F.col("size") - F.col("fertility_size")), "fertility_size")
     usual = sizes.select(F.col("fertility_size").alias("size")).crossJoin(middles).groupBy("size").agg(F.min_by("usual", away).alias("usual"), F.min_by("fertility_size", away).alias("of"))
     short = F.greatest(F.col("of") - F.col("size"), F.lit(0))
@@ -190,13 +226,14 @@ def fit_bands(table: DataFrame, bands: tuple[Band, ...] = BANDS, least: int = 40
         moved = moved.select(*by, "size", *[F.coalesce(F.col("usual")[m] - F.col("own")[m], F.lit(0.0)).alias(f"move_{m}") for m in growing])
         value = {b.measure: F.col(b.measure) + F.col(f"move_{b.measure}") if b.grows else F.col(b.measure) for b in bands}
         # a row of ``moved`` for each language, size and pool: a hot size goes through no shuffle of its rows
-        return attach(good, moved, by).where(F.col("size").isNotNull()).groupBy(*keys, "size").agg(*[F.percentile_approx(value[b.measure], [0.25, 0.5, 0.75], 1000).alias(b.measure) for b in bands]).withColumnRenamed("size", "fertility_size")
+        return exact_ranks(_pooled(good, moved, by), [*keys, "size"], value, (0.25, 0.5, 0.75)).drop("n").withColumnRenamed("size", "fertility_size")
 
     own = quartiles(pooled_sizes(large, ["fertility_group"], least), cell, ["fertility_group"])
     # sizes of small groups alone; no text is gathered where every group is large
-    wanted = small.select(F.col("fertility_size").alias("size")).distinct()
-    every = small.join(quartiles(pooled_sizes(sizes, [], least).join(wanted, "size"), ["fertility_size"], []), "fertility_size")
-    fitted = own.unionByName(every)
+    wanted = stored(small.select(F.col("fertility_size").alias("size")).distinct(), "sizes")
+    fitted = own
+    if not wanted.isEmpty():
+        fitted = own.unionByName(small.join(quartiles(pooled_sizes(sizes, [], least).join(wanted, "size"), ["fertility_size"], []), "fertility_size"))
     bounds = []
     for b in bands:
         low, middle, high = (F.col(b.measure)[k] for k in range(3))

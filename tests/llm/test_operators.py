@@ -165,6 +165,19 @@ def test_fertility_bands_of_few_texts(spark):
         assert sum(kept for i, kept in found.items() if i < 1000) >= 0.98 * sum(i < 1000 for i in found)
 
 
+def test_fertility_is_the_same_in_every_order(spark):
+    rng = random.Random(9)
+    prose = lambda: " ".join("".join(rng.choice(["the", "er", "ing", "st", "re", "an"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", ",", "$#"]) for _ in range(rng.choice([20, 60, 150])))
+    shared = [prose() for _ in range(60)]
+    rows = [(k, prose(), "en" if k % 3 else "de") for k in range(120)] + [(200 + 2 * k + j, t, lang) for k, t in enumerate(shared) for j, lang in enumerate(("en", "de"))]
+    rows += [(900 + j, " ".join(w + "$$##&&" for w in shared[7].split()), lang) for j, lang in enumerate(("en", "de"))]
+    found = []
+    for order, parts in ((rows, 3), (rng.sample(rows, len(rows)), 8)):
+        given = frame(spark, order).repartition(parts)
+        found.append(sorted((r["doc_id"], r["kept"]) for r in fertility.quality(given, PIECE, BYTE).collect()))
+    assert found[0] == found[1] and 1 < sum(not kept for _, kept in found[0]) < 30
+
+
 def brute_bands(rows, least=40):
     """kept of each row, from plain lists; rows: (text, lang)."""
     piece, byte = sentencepiece.SentencePieceProcessor(model_file=PIECE), library(BYTE, [t for t, _ in rows])
@@ -235,6 +248,16 @@ def test_sharding(docs, nothing, spark):
     assert sizes and max(sizes) - min(sizes) <= 2  # a key that all rows share
 
 
+def test_sharding_is_the_same_on_every_layout(spark):
+    rows = [(7 if k % 5 else k, f"text {k % 90} " + "x" * (k % 37)) for k in range(500)] + [(None, "no id"), (None, None)] + [(3, "the same")] * 200
+    random.Random(1).shuffle(rows)
+    found = []
+    for order, parts in ((rows, 3), (rows[::-1], 7), (sorted(rows, key=str), 1)):
+        given = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        found.append(sorted(map(str, sharding.shard(given, 6, range_bytes=300).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
 def test_packing(docs, nothing):
     found = packing.pack(docs, WORD, width=512).collect()
     ids = {}
