@@ -474,11 +474,18 @@ def train(windows: list[tuple[list[str], list[int], list[int]]], steps: int = 16
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Field:
-    """A field from the ``rows`` texts of at most ``most_bytes`` bytes whose hash of doc_id and text is smallest."""
+    """A field from the ``rows`` texts of at most ``most_bytes`` bytes whose hash of doc_id and text is smallest, copies once."""
     picked = _picked(docs).where((F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    key = [F.xxhash64(F.lit(SEED), "doc_id", "text").alias("key"), "doc_id", "text", "lang", "source"]
-    sample = picked.select(*key).orderBy("key", "doc_id", "text", "lang", "source").limit(rows).collect()
-    return train(examples([(r["text"], r["lang"], r["source"]) for r in sample]))
+    keyed = picked.select(F.xxhash64(F.lit(SEED), "doc_id", "text").alias("key"), "doc_id", "text", "lang", "source")
+    # a range of hashes that should hold twice the rows, so that tasks send few; wider where copies leave too few
+    width = 2 * rows / max(1, docs.count())
+    while True:
+        near = keyed if width >= 1 else keyed.where(F.col("key") < F.lit(int((width - 0.5) * 2**64)))
+        each = near.groupBy("key").agg(F.min(F.struct("doc_id", "text", "lang", "source")).alias("d"))
+        sample = each.orderBy("key").limit(rows).select("d.*").collect()
+        if len(sample) == rows or width >= 1:
+            return train(examples([(r["text"], r["lang"], r["source"]) for r in sample]))
+        width *= 4
 
 
 def _picked(docs: DataFrame) -> DataFrame:
