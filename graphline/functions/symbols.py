@@ -83,3 +83,32 @@ def file_version(ms: str | Column, ls: str | Column) -> Column:
     m, n = (F.col(c) if isinstance(c, str) else c for c in (ms, ls))
     low = F.lit(0xFFFF)
     return F.concat_ws(".", F.shiftright(m, 16).bitwiseAND(low), m.bitwiseAND(low), F.shiftright(n, 16).bitwiseAND(low), n.bitwiseAND(low))
+
+
+#: Bytes that a fixed version block begins with: its signature and the version of its own layout. Fixed values of the format.
+VERSION_MARK = "\u00bd\u0004\u00ef\u00fe\u0000\u0000\u0001\u0000"
+
+
+def fixed_version(content: str | Column) -> Column:
+    """a.b.c.d of the first fixed version block in a binary, null without one."""
+    c = F.col(content) if isinstance(content, str) else content
+    # one character a byte, so places in the text are places in the bytes
+    at = F.locate(VERSION_MARK, F.decode(c, "ISO-8859-1"))
+    word = lambda skip: F.conv(F.concat(*[F.hex(F.substring(c, at + (skip + k), F.lit(1))) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
+    return F.when((at > 0) & (F.octet_length(c) >= at + 15), file_version(word(8), word(12)))
+
+
+def is_binary(content: str | Column) -> Column:
+    c = F.col(content) if isinstance(content, str) else content
+    return F.coalesce(F.hex(F.substring(c, 1, 2)) == "4D5A", F.lit(False))
+
+
+def pe_header(content: str | Column) -> Column:
+    """machine, sections, entry_point and subsystem of a binary's header; null where it isn't whole."""
+    c = F.col(content) if isinstance(content, str) else content
+    number = lambda at, size: F.conv(F.concat(*[F.hex(F.substring(c, at + k, F.lit(1))) for k in reversed(range(size))]), 16, 10).cast("long")
+    start = number(F.lit(61), 4) + 1  # where the header begins, from 1
+    begin = F.least(start, F.octet_length(c) + 1).cast("int")
+    whole = (F.octet_length(c) >= 64) & (F.hex(F.substring(c, begin, F.lit(4))) == "50450000") & (F.octet_length(c) >= begin + 93)
+    fields = F.struct(F.concat(F.lit("0x"), F.lower(F.hex(number(begin + 4, 2)))).alias("machine"), number(begin + 6, 2).alias("sections"), F.concat(F.lit("0x"), F.lower(F.hex(number(begin + 40, 4)))).alias("entry_point"), number(begin + 92, 2).alias("subsystem"))
+    return F.when(whole, fields)

@@ -23,9 +23,10 @@ class PropertyGraph:
     meta: dict = field(default_factory=dict)
 
     @staticmethod
-    def of(nodes: DataFrame, edges: DataFrame, **meta) -> PropertyGraph:
-        """From tables with some of the columns; duplicate nodes and edges are merged, missing endpoints are not added."""
-        return PropertyGraph(conform(nodes, NODES), conform(edges, EDGES).dropDuplicates(["src", "dst"]), meta)
+    def of(nodes: DataFrame, edges: DataFrame, unique: bool = False, **meta) -> PropertyGraph:
+        """From tables with some of the columns; duplicate edges are merged (``unique``: there are none), missing endpoints are not added."""
+        rows = conform(edges, EDGES)
+        return PropertyGraph(conform(nodes, NODES), rows if unique else rows.dropDuplicates(["src", "dst"]), meta)
 
     # counts and degrees
 

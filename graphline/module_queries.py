@@ -11,15 +11,16 @@ module is bounded; their number grows with the tables.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphline.functions import labels, symbols
 from graphline.model import PropertyGraph
 from graphline.operators import centrality, quality
-from graphline.operators.unify import Unified, alias_hosts, unify
+from graphline.operators.unify import Unified, alias_hosts, build, unify
 from graphline.plans.iterate import cut, shared_folder
 from graphline.queries import PARTS, SUPPLIES, graph
 from graphline.schema import METADATA_DOCUMENT
@@ -70,8 +71,8 @@ def _read(rows: DataFrame) -> DataFrame:
     return readers.with_order(readers.documents(rows.sparkSession, folder, "*.txt"))
 
 
-def module_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Module graph documents, and one file that is no JSON object for every region."""
+def graph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, value): module graphs as JSON."""
     calls = _calls(spark, sf_dir)
     across = F.col("ma") != F.col("mb")
     own = _table(spark, sf_dir, "part").select(_module("p_partkey").alias("k"), _function(_text("p", F.col("p_partkey")), _text("f", F.col("p_partkey"))).alias("f"))
@@ -85,12 +86,17 @@ def module_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     native = n.agg(F.collect_list(_function(_text("n", key), _text("Nt", name))).alias("functions")).select(F.lit("ntdll.dll"), "functions", F.array().cast("array<struct<caller:string,callee:string>>"))
     user = n.agg(F.flatten(F.collect_list(F.array(_function(_text("u", key), _text("Use", name)), _function(_text("s", key), _text("Nt", name), True)))).alias("functions"), F.collect_list(_edge(_text("u", key), _text("s", key))).alias("edges"))
     rows = rows.union(native).union(user.select(F.lit("user.dll"), "functions", "edges"))
-    good = rows.select(F.col("program").alias("module"), F.to_json(F.struct("program", "functions", "edges")).alias("value"))
+    return rows.select(F.col("program").alias("module"), F.to_json(F.struct("program", "functions", "edges")).alias("value"))
+
+
+def module_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Module graph documents, and one file that is no JSON object for every region."""
+    good = graph_texts(spark, sf_dir)
     return _read(good.union(_table(spark, sf_dir, "region").select(_text("broken", F.col("r_regionkey")), _text("{", F.col("r_name")))))
 
 
-def module_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per module, as ``readers.metadata`` gives it."""
+def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, source, document): the metadata of each module as JSON."""
     named = lambda c: F.struct(c.alias("name"))
     part = _table(spark, sf_dir, "part").select("p_size", _module("p_partkey").alias("k"), named(_text("f", F.col("p_partkey"))).alias("f"))
     exports = part.groupBy("k").agg(F.array_compact(F.array_sort(F.collect_list(F.when(F.col("p_size") >= LEAST_EXPORTED, F.col("f"))))).alias("exports"))
@@ -109,9 +115,38 @@ def module_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = per_alias.select(F.upper("alias"), _text("meta/", F.col("alias"), ".json"), F.to_json(F.struct(F.col("functions").alias("exports"), from_module(F.lit("ntdll")).alias("imports"))))
     used = per_alias.agg(F.collect_list(F.struct(F.col("alias").alias("module"), "functions")).alias("imports")).crossJoin(n.agg(F.collect_list(user).alias("exports")))  # one row each
     rows = rows.union(library).union(aliases).union(used.select(F.lit("USER.DLL"), F.lit("meta/user.json"), F.to_json(F.struct("imports", "exports"))))
+    return rows.toDF("module", "source", "document")
+
+
+def module_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per module, with the columns that ``readers.metadata`` gives; ``metadata_index`` reads it from files."""
+    rows = metadata_documents(spark, sf_dir)
     return cut(rows.select("module", "source", F.from_json("document", METADATA_DOCUMENT).alias("m")).select("module", "source", "m.*"))
 
 
+def _files(rows: DataFrame) -> str:
+    """A folder with a file for each row (name, content), written by the tasks that hold them; a task that runs again writes the same files."""
+    folder = f"{shared_folder(rows.sparkSession)}/graphline/files-{uuid.uuid4().hex}"
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        store.create_dir(inner)
+        for part in parts:
+            for name, content in zip(part["name"], part["content"], strict=True):
+                with store.open_output_stream(f"{inner}/{name}") as file:
+                    file.write(content)
+            yield pd.DataFrame({"n": [len(part)]})
+
+    rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def _file_name(column: str) -> Column:
+    return F.element_at(F.split(column, "/"), -1)
+
+
 def unified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of nodes and edges by id: parts of a size below 10 aren't declared, those above 40 twice."""
     part = _table(spark, sf_dir, "part").where(F.col("p_size") >= LEAST_EXPORTED).select(_module("p_partkey").alias("k"), F.struct(_text("part:", F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.lit(False).alias("is_external")).alias("n"), "p_size")
@@ -152,6 +187,75 @@ def syscall_ratio(spark, sf_dir):
     return quality.syscall_ratio(unify(module_documents(spark, sf_dir), meta).graph.nodes, readers.module_exports(meta))
 
 
+def syscall_ratio_short(spark, sf_dir):
+    """As many more exports as there are suppliers, for which there is no system call."""
+    meta = module_metadata(spark, sf_dir)
+    more = _table(spark, sf_dir, "supplier").select(F.lit("NTDLL.DLL").alias("module"), _text("NTX", F.col("s_suppkey")).alias("symbol_uc"))
+    exports = readers.module_exports(meta).select("module", "symbol_uc").union(more)
+    return quality.syscall_ratio(unify(module_documents(spark, sf_dir), meta).graph.nodes, exports)
+
+
+def unify_acceptance(spark, sf_dir):
+    """Integrity of the built graph, and of every nation the path to its own system call, to another's, and one from a node that isn't there."""
+    nation = _table(spark, sf_dir, "nation").select("n_name", F.lead("n_name").over(Window.orderBy("n_nationkey")).alias("other"))
+    use, call = lambda c: _text("USER.DLL!Use", F.col(c)), lambda c: _text("SYSCALL:Nt", F.col(c))
+    pairs = nation.select(use("n_name").alias("source"), call("n_name").alias("target")).union(nation.where("other IS NOT NULL").select(use("n_name"), call("other"))).union(nation.select(_text("GONE!", F.col("n_name")), call("n_name")))
+    return build(module_documents(spark, sf_dir), module_metadata(spark, sf_dir), pairs=pairs).verdicts.where("check <> 'unresolved imports'")
+
+
+def metadata_index(spark, sf_dir):
+    """Metadata read from a file for each module."""
+    folder = _files(metadata_documents(spark, sf_dir).select(_file_name("source").alias("name"), F.col("document").alias("content")))
+    found = readers.metadata(spark, folder)
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return found.select("module", _file_name("source").alias("source"), "path", size("imports").alias("imports"), size("exports").alias("exports"))
+
+
+def graph_files(spark, sf_dir):
+    """Graph files below a folder without those of a report: of every third module, by its place in the folder or by its path."""
+    texts = cut(graph_texts(spark, sf_dir).select(F.concat("module", F.lit(".callgraph.json")).alias("name"), F.col("value").alias("content")))
+    folder = _files(texts)
+    key = F.regexp_extract("name", "^m([0-9]+)", 1).cast("long")
+    out = texts.where(key % 3 == 0).select(F.when(key % 2 == 0, F.to_json(F.struct(F.col("name").alias("relative_path")))).otherwise(F.to_json(F.struct(_text(folder + "/", F.col("name")).alias("path")))).alias("entry"))
+    report = _files(out.agg(F.array_join(F.array_append(F.collect_list("entry"), F.lit("7")), ",").alias("entries")).select(F.lit("report.json").alias("name"), F.concat(F.lit("["), "entries", F.lit("]")).alias("content")))
+    return readers.list_graph_files(spark, folder, readers.excluded_paths(spark, f"{report}/report.json", folder)).select("module", _file_name("path").alias("file"))
+
+
+def _little(number: Column, size: int) -> Column:
+    """Hex of a number, its last byte first."""
+    wide = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*[F.substring(wide, k, 2) for k in range(2 * size - 1, 0, -2)])
+
+
+def _binaries(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder with a binary for each module of parts, every fourth without a version, and the modules' keys."""
+    key = _table(spark, sf_dir, "part").select(_module("p_partkey").alias("k")).distinct()
+    k, zeros = F.col("k"), lambda n: F.lit("00" * n)
+    machine = F.when(k % 2 == 0, "6486").otherwise("4C01")
+    head = [F.lit("4D5A"), zeros(58), _little(64 + (k % 5) * 8, 4), F.repeat(F.lit("00"), ((k % 5) * 8).cast("int")), F.lit("50450000"), machine, _little(k % 9 + 1, 2), zeros(32), _little(4096 + k, 4), zeros(48), _little(k % 3 + 1, 2), zeros(10)]
+    version = F.when(k % 4 != 0, F.concat(F.lit("BD04EFFE00000100"), _little((k % 7) * 65536 + 2, 4), _little(k * 65536 + 9, 4))).otherwise("")
+    return _files(key.select(_text("m", k, ".dll").alias("name"), F.unhex(F.concat(*head, version)).alias("content"))), key
+
+
+def binary_records(spark, sf_dir):
+    """Records of modules with the digests and versions of their binaries."""
+    folder, key = _binaries(spark, sf_dir)
+    bare = folder.removeprefix("file://")
+    meta = module_metadata(spark, sf_dir).where("module LIKE 'M%'").withColumn("path", _text(bare + "/", F.lower("module")))
+    return readers.modules(meta, readers.digests(spark, folder)).select("program", _file_name("path").alias("file"), "sha256", "file_version", "pdb_guid")
+
+
+def binary_inventory(spark, sf_dir):
+    folder, _ = _binaries(spark, sf_dir)
+    return readers.inventory(spark, folder).select(_file_name("path").alias("file"), "length", "file_version", "machine", "sections", "entry_point", "subsystem")
+
+
+def inventory_summary(spark, sf_dir):
+    """What a CSV of the modules has: counts of exports and imports, and the first link to symbols."""
+    found = readers.inventory_summary(module_metadata(spark, sf_dir), relative_to="C:/Windows")
+    return found.select("module", "path", "exports", "import_modules", "imports", "pdb_path", "guid", "age")
+
+
 def alias_targets(spark, sf_dir):
     return alias_hosts(module_metadata(spark, sf_dir))
 
@@ -268,7 +372,7 @@ def compose_attributes(spark, sf_dir):
 ALL = [
     unify_nodes, unify_edges, unify_kinds, unify_unresolved, unify_layers, syscall_ratio, alias_targets, import_list, export_list, audit, audit_flagged, audit_status, document_kinds,
     module_graph_nodes, module_graph_edges, unified_graph_nodes, unified_graph_edges, duplicate_ids, undeclared_ends, module_records, batch_plan, gather_signatures, fetch_plan, codeview,
-    compressed_names, file_versions, brief_lists, betweenness_small, compose_attributes,
+    compressed_names, file_versions, brief_lists, betweenness_small, compose_attributes, syscall_ratio_short, unify_acceptance, metadata_index, graph_files, binary_records, binary_inventory, inventory_summary,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in ALL}
 
@@ -296,6 +400,14 @@ UNION ALL SELECT 'ntdll.dll', count(*), 0 FROM na UNION ALL SELECT 'user.dll', 2
 al AS (SELECT *, CASE WHEN edge_count = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN edge_count = 0 THEN 'no edges' END AS reason FROM au
 UNION ALL SELECT NULL, 0, 0, 'error', 'not a JSON object' FROM region)"""
 MODULES = f"md AS (SELECT DISTINCT p_partkey // {PER_MODULE} AS k FROM part)"
+BINARIES = f"""{MODULES}, parts_of AS (SELECT k, '4D5A' || repeat('00', 58) || lpad(to_hex(64 + (k % 5) * 8), 2, '0') || '000000' || repeat('00', ((k % 5) * 8)::INT) || '50450000' || CASE WHEN k % 2 = 0 THEN '6486' ELSE '4C01' END
+ || lpad(to_hex(k % 9 + 1), 2, '0') || '00' || repeat('00', 32) || lpad(to_hex((4096 + k) % 256), 2, '0') || lpad(to_hex((4096 + k) // 256), 2, '0') || '0000' || repeat('00', 48) || lpad(to_hex(k % 3 + 1), 2, '0') || '00' || repeat('00', 10) AS head,
+ CASE WHEN k % 4 <> 0 THEN 'BD04EFFE00000100' || '0200' || lpad(to_hex(k % 7), 2, '0') || '00' || '0900' || lpad(to_hex(k % 256), 2, '0') || lpad(to_hex(k // 256), 2, '0') ELSE '' END AS version FROM md),
+bi AS (SELECT k, 'm' || k || '.dll' AS file, unhex(head || version) AS content, CASE WHEN k % 4 <> 0 THEN (k % 7) || '.2.' || k || '.9' END AS file_version FROM parts_of)"""
+IMPORTS_OF = f"""{CALLS}, {MODULES}, im AS (SELECT ma AS k, count(DISTINCT mb) AS mods, count(*) AS n FROM st WHERE sb <= {MOST_IMPORTED} GROUP BY 1), ex AS (SELECT p_partkey // {PER_MODULE} AS k, count(*) AS n FROM part WHERE p_size >= {LEAST_EXPORTED} GROUP BY 1),
+ix AS (SELECT 'M' || k || '.DLL' AS module, 'm' || k || '.json' AS source, 'C:/Windows/m' || k || '.dll' AS path, coalesce(mods, 0) AS mods, coalesce(im.n, 0) AS imports, coalesce(ex.n, 0) AS exports, 'C:\\build\\lib' || k % 7 || '.pdb' AS pdb_path, 'G' || k AS guid, k AS age FROM md LEFT JOIN im USING (k) LEFT JOIN ex USING (k)
+UNION ALL SELECT 'NTDLL.DLL', 'ntdll.json', NULL, 0, 0, count(*), NULL, NULL, NULL FROM na UNION ALL SELECT 'USER.DLL', 'user.json', NULL, count(DISTINCT alias), count(*), count(*), NULL, NULL, NULL FROM na
+UNION ALL SELECT alias, lower(alias) || '.json', NULL, 1, count(*), count(*), NULL, NULL, NULL FROM na GROUP BY alias)"""
 LOCAL = "CASE WHEN ma = mb THEN 'p' ELSE 'i' END"
 
 ORACLE_SQL: dict[str, str] = {
@@ -305,6 +417,15 @@ ORACLE_SQL: dict[str, str] = {
     "unify_unresolved": f"""WITH {CALLS} SELECT 'M' || st.ma || '.DLL' AS module, 'f' || st.b AS symbol, 1 + count(c.a) FILTER (c.sa >= {LEAST_EXPORTED}) AS n_refs FROM st JOIN c ON c.ma = st.ma AND c.b = st.b WHERE st.sb > {MOST_IMPORTED} GROUP BY 1, 2""",
     "unify_layers": f"WITH {UNIFIED_NODES} SELECT layer, count(*) AS node_count FROM un GROUP BY 1",
     "syscall_ratio": "SELECT count(*) AS expected, count(*) AS actual, true AS ok FROM nation",
+    "syscall_ratio_short": "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS expected, (SELECT count(*) FROM nation) AS actual, false AS ok",
+    "unify_acceptance": """WITH o AS (SELECT n_name, lead(n_name) OVER (ORDER BY n_nationkey) AS other FROM nation)
+SELECT 'path' AS "check", 'USER.DLL!Use' || n_name || ' -> SYSCALL:Nt' || n_name AS subject, 'ok' AS verdict FROM o UNION ALL SELECT 'path', 'USER.DLL!Use' || n_name || ' -> SYSCALL:Nt' || other, 'failed' FROM o WHERE other IS NOT NULL
+UNION ALL SELECT 'path', 'GONE!' || n_name || ' -> SYSCALL:Nt' || n_name, 'skipped' FROM o UNION ALL SELECT 'dangling edges', '0', 'ok' UNION ALL SELECT 'duplicate ids', '0', 'ok' UNION ALL SELECT 'system calls', count(*) || ' of ' || count(*), 'ok' FROM nation""",
+    "metadata_index": f"WITH {IMPORTS_OF} SELECT module, source, path, mods::INT AS imports, exports::INT AS exports FROM ix",
+    "graph_files": f"WITH {MODULES}, f AS (SELECT 'm' || k || '.dll' AS m FROM md WHERE k % 3 <> 0 UNION ALL SELECT 'ntdll.dll' UNION ALL SELECT 'user.dll') SELECT upper(m) AS module, m || '.callgraph.json' AS file FROM f",
+    "binary_records": f"WITH {BINARIES} SELECT 'M' || k || '.DLL' AS program, file, sha256(content) AS sha256, file_version, 'G' || k AS pdb_guid FROM bi",
+    "binary_inventory": f"WITH {BINARIES} SELECT file, octet_length(content) AS length, file_version, CASE WHEN k % 2 = 0 THEN '0x8664' ELSE '0x14c' END AS machine, k % 9 + 1 AS sections, '0x' || lower(to_hex(4096 + k)) AS entry_point, k % 3 + 1 AS subsystem FROM bi",
+    "inventory_summary": f"WITH {IMPORTS_OF} SELECT module, CASE WHEN path IS NULL THEN 'meta/' || source ELSE path[12:] END AS path, exports::INT AS exports, mods::INT AS import_modules, imports::INT AS imports, pdb_path, guid, age FROM ix",
     "alias_targets": "SELECT DISTINCT 'API-MS-' || upper(r_name) || '.DLL' AS module, 'NTDLL.DLL' AS host FROM region JOIN nation ON n_regionkey = r_regionkey",
     "import_list": f"WITH {CALLS} SELECT 'M' || ma || '.DLL' AS module, 'f' || b AS symbol, 'M' || mb || '.DLL' AS target FROM st WHERE sb <= {MOST_IMPORTED} UNION ALL SELECT 'USER.DLL', 'Nt' || n, alias FROM na UNION ALL SELECT alias, 'Nt' || n, 'NTDLL.DLL' FROM na",
     "export_list": f"""WITH {CALLS}, ex AS (SELECT 'M' || p_partkey // {PER_MODULE} || '.DLL' AS module, 'f' || p_partkey AS symbol FROM part WHERE p_size >= {LEAST_EXPORTED}

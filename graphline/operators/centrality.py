@@ -11,33 +11,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphline.model import PropertyGraph
-from graphline.plans.iterate import cut
+from graphline.plans.buckets import bucketed
+from graphline.plans.iterate import counted, cut
 
 
-def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-10, most: int = 200) -> DataFrame:
+def pagerank(graph: PropertyGraph, damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-10, most: int = 200, quiet: float = 0.0) -> DataFrame:
     """(node_id, rank): ranks sum to 1; nodes without edges out spread theirs evenly.
 
     ``iterations`` fixes the number of rounds; else they end when the ranks move
-    by less than ``tolerance`` in all, or after ``most``.
+    by less than ``tolerance`` in all, or after ``most``. Behind the first round
+    nodes send on only what they have newly got (their residual), and those whose
+    residual is at most ``quiet`` keep it until it has grown; with 0 the ranks of a
+    round are those of the power iteration.
+
+    Edges and state are dealt by node once, so a round shuffles what is sent alone,
+    added up by task before.
     """
-    nodes = cut(graph.nodes.select("node_id"))
-    n = nodes.count()
+    nodes = graph.nodes.select("node_id")
+    out = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
+    links = bucketed(graph.edges.select("src", "dst"), "src")
+    start = nodes.join(out.withColumnRenamed("src", "node_id"), "node_id", "left")
+    state = bucketed(start.select("node_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.lit(None).cast("double").alias("rank"), F.lit(0.0).alias("residual")), "node_id")
+    n = state.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    out = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
-    links = cut(graph.edges.join(out, "src").select("src", "dst", "links"))
-    loose = cut(nodes.join(out.select(F.col("src").alias("node_id")), "node_id", "left_anti"))
-    ranks = cut(nodes.withColumn("rank", F.lit(1.0 / n)))
-    for _ in range(iterations if iterations is not None else most):
-        given = links.join(ranks, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("links")).alias("in"))
-        spare = F.broadcast(ranks.join(loose, "node_id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("spare")))  # one row
-        value = F.lit((1 - damping) / n) + damping * (F.coalesce("in", F.lit(0.0)) + F.col("spare") / n)
-        # join and aggregation keep the partitioning by node
-        fresh = cut(ranks.join(given, F.col("node_id") == F.col("dst"), "left").crossJoin(spare).select("node_id", value.alias("rank"), F.abs(value - F.col("rank")).alias("moved")))
-        ranks = fresh.select("node_id", "rank")
-        if iterations is None and fresh.agg(F.sum("moved")).first()[0] < tolerance:
+    sends = F.lit(1.0 / n)  # first all ranks, then the residuals
+    spare = state.where("links = 0").count() / n
+    for turn in range(iterations if iterations is not None else most):
+        first = turn == 0
+        speaking = F.lit(True) if first else F.abs("residual") > quiet
+        given = state.where((F.col("links") > 0) & speaking).select(F.col("node_id").alias("src"), (sends / F.col("links")).alias("part")).join(links, "src")
+        got = given.groupBy("dst").agg(F.sum("part").alias("in")).withColumnRenamed("dst", "node_id")
+        change = damping * (F.coalesce("in", F.lit(0.0)) + F.lit(spare / n))
+        rank = F.lit((1 - damping) / n) + change if first else F.col("rank") + change
+        left = change - F.lit(1.0 / n) + F.lit((1 - damping) / n) if first else change + F.when(speaking, F.lit(0.0)).otherwise(F.col("residual"))
+        state = bucketed(state.join(got, "node_id", "left").select("node_id", "links", rank.alias("rank"), left.alias("residual")), "node_id", dealt=True)
+        sends = F.col("residual")
+        loose = F.when(F.col("links") == 0, F.col("residual"))
+        if iterations is not None and turn == iterations - 1:
+            break
+        spare, moved = state.agg(F.coalesce(F.sum(F.when(F.abs("residual") > quiet, loose)), F.lit(0.0)), F.sum(F.abs("residual"))).first()
+        if iterations is None and moved < tolerance:
             break
-    return ranks
+    return state.select("node_id", F.coalesce("rank", F.lit(1.0 / n)).alias("rank"))
 
 
 def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task: int = 64, broadcast_nodes: int = 1_000_000) -> DataFrame:
@@ -50,12 +66,14 @@ def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task
     if graph.edges.count() > broadcast_edges or graph.nodes.count() > broadcast_nodes:
         return betweenness_by_joins(graph)
     spark = graph.nodes.sparkSession
-    ids = [r["node_id"] for r in graph.nodes.select("node_id").orderBy("node_id").toLocalIterator()]
-    at = {v: k for k, v in enumerate(ids)}
-    pairs = np.array([(at[r["src"]], at[r["dst"]]) for r in graph.edges.where("src <> dst").select("src", "dst").toLocalIterator() if r["src"] in at and r["dst"] in at], np.int64).reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    heads = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1))
-    told = spark.sparkContext.broadcast((heads.astype(np.int64), pairs[:, 1].astype(np.int32)))
+    index = cut(graph.dense_index())
+    n = index.count()
+    ends = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    ends = ends.join(index.select(F.col("node_id").alias("src"), F.col("idx").alias("a")), "src").join(index.select(F.col("node_id").alias("dst"), F.col("idx").alias("b")), "dst")
+    table = ends.select("a", "b").toArrow()
+    tails, to = table["a"].to_numpy(), table["b"].to_numpy()
+    by_tail = np.argsort(tails, kind="stable")
+    told = spark.sparkContext.broadcast((np.searchsorted(tails[by_tail], np.arange(n + 1)).astype(np.int64), to[by_tail].astype(np.int32)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, to = told.value
@@ -66,10 +84,9 @@ def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task
         on = np.flatnonzero(total)
         yield pd.DataFrame({"idx": on, "score": total[on]})
 
-    tasks = max(1, min(len(ids) // per_task, spark.sparkContext.defaultParallelism * 4))
-    scores = spark.range(0, len(ids), 1, tasks).mapInPandas(run, "idx long, score double").groupBy("idx").agg(F.sum("score").alias("betweenness"))
-    named = spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(ids)), "node_id": ids}), "idx long, node_id string")
-    return named.join(scores, "idx", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    tasks = max(1, min(n // per_task, spark.sparkContext.defaultParallelism * 4))
+    scores = spark.range(0, n, 1, tasks).mapInPandas(run, "idx long, score double").groupBy("idx").agg(F.sum("score").alias("betweenness"))
+    return index.join(scores, "idx", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def _add_dependencies(source: int, first: np.ndarray, to: np.ndarray, total: np.ndarray) -> None:
@@ -96,35 +113,68 @@ def _add_dependencies(source: int, first: np.ndarray, to: np.ndarray, total: np.
     total += share
 
 
-def betweenness_by_joins(graph: PropertyGraph, sources_at_once: int = 1_000_000) -> DataFrame:
-    """The same by joins: path counts level by level from a batch of sources, then dependencies back along the levels."""
-    ids = cut(graph.nodes.select("node_id"))
-    step = cut(graph.edges.where("src <> dst").select("src", "dst").distinct())
-    batches = -(-ids.count() // sources_at_once)
-    scores = [_dependencies(ids.where(F.pmod(F.xxhash64("node_id"), F.lit(batches)) == k), step) for k in range(batches)]
+def betweenness_by_joins(graph: PropertyGraph, most_pairs: int = 20_000_000, first_batch: int = 64) -> DataFrame:
+    """The same by joins: path counts level by level from a batch of sources, then dependencies back along the levels.
+
+    A node that nothing leads to and that has one edge out goes the ways of its
+    neighbour: it is folded into that, which counts for as many sources more. Nodes
+    without edges out are no sources. The first batch has ``first_batch`` sources;
+    how many nodes they reach tells how many sources the next may have, so that a
+    batch keeps to about ``most_pairs`` (source, node) pairs.
+    """
+    edges = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    forth = bucketed(edges, "src")
+    back = bucketed(edges, "dst")
+    single = forth.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to"))
+    leaves = cut(single.where("n = 1").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti").select("src", "to"))
+    folded = leaves.groupBy(F.col("to").alias("src")).agg(F.count(F.lit(1)).alias("leaves"))
+    sources = single.join(leaves.select("src"), "src", "left_anti").select("src").unionByName(leaves.select(F.col("to").alias("src"))).distinct()
+    sources = sources.join(folded, "src", "left").select(F.col("src").alias("s"), F.coalesce("leaves", F.lit(0).cast("long")).alias("leaves"))
+    line = cut(sources.withColumn("place", F.xxhash64("s")))
+    scores, total, done, size = [], line.count(), 0, first_batch
+    # batches are ranges of the hash, as wide as their share of the sources
+    while done < total:
+        share = [min(1.0, x / total) for x in (done, done + size)]
+        low, high = (int((x - 0.5) * 2**64) for x in share)
+        batch = line.where((F.col("place") >= F.lit(max(low, -(2**63)))) & (F.col("place") < F.lit(min(high, 2**63 - 1))) if share[1] < 1.0 else F.col("place") >= F.lit(max(low, -(2**63))))
+        found, pairs, used = _dependencies(batch, forth, back)
+        scores.append(found)
+        done += size
+        size = max(1, int(most_pairs * max(1, used) / max(1, pairs)))
+    ids = graph.nodes.select("node_id")
     if not scores:
         return ids.withColumn("betweenness", F.lit(0.0))
-    total = reduce(DataFrame.unionByName, scores).groupBy("node_id").agg(F.sum("share").alias("betweenness"))
-    return ids.join(total, "node_id", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    every = reduce(DataFrame.unionByName, scores).groupBy("node_id").agg(F.sum("share").alias("betweenness"))
+    return ids.join(every, "node_id", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def _dependencies(sources: DataFrame, step: DataFrame) -> DataFrame:
-    """(node_id, share): what shortest paths from the sources pass through each node."""
-    levels = [cut(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1.0).alias("paths")))]
+def _dependencies(sources: DataFrame, forth: DataFrame, back: DataFrame) -> tuple[DataFrame, int, int]:
+    """(node_id, share): what shortest paths from the sources (s, leaves) pass through each node; how many pairs that took, and for how many sources.
+
+    Every round writes the table of pairs anew and reads that of the round before alone.
+    """
+    used = sources.count()
+    state = cut(sources.select("s", F.col("s").alias("t"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
+    depth, pairs = 0, used
     while True:
-        last = levels[-1]
-        moved = last.join(step, last.t == step.src).groupBy("s", F.col("dst").alias("t")).agg(F.sum("paths").alias("paths"))
-        fresh = cut(moved.join(reduce(DataFrame.unionByName, levels).select("s", "t"), ["s", "t"], "left_anti"))
-        if fresh.isEmpty():
+        moved = state.where(F.col("depth") == depth).join(forth, F.col("t") == F.col("src")).select("s", F.col("dst").alias("t"), F.lit(None).cast("int").alias("depth"), "paths")
+        both = state.unionByName(moved).groupBy("s", "t").agg(F.max("depth").alias("old"), F.sum(F.when(F.col("depth").isNotNull(), F.col("paths"))).alias("known"), F.sum(F.when(F.col("depth").isNull(), F.col("paths"))).alias("fresh"))
+        state, seen = counted(both.select("s", "t", F.coalesce("old", F.lit(depth + 1)).alias("depth"), F.coalesce("known", "fresh").alias("paths")), n=F.count(F.lit(1)))
+        if (size := seen["n"]) == pairs:
             break
-        levels.append(fresh)
-    below, shares = levels[-1].withColumn("share", F.lit(0.0)), []
-    # the sources themselves (level 0) lie between nothing
-    for level in reversed(levels[1:-1]):
-        given = below.join(step, below.t == step.dst).select("s", F.col("src").alias("t"), ((1 + F.col("share")) / F.col("paths")).alias("given"))
+        depth, pairs = depth + 1, size
+    levels = cut(state.repartition("depth", "s"), "depth")
+    reached = state.groupBy("s").agg((F.count(F.lit(1)) - 1).alias("n")).join(sources.where("leaves > 0"), "s")
+    shares = [reached.select(F.col("s").alias("node_id"), (F.col("n") * F.col("leaves")).cast("double").alias("share"))]
+    weight = sources.select("s", (1 + F.col("leaves")).alias("weight"))
+    below = levels.where(F.col("depth") == depth).select("s", "t", "paths", F.lit(0.0).alias("share"))
+    # the sources themselves (depth 0) lie between nothing
+    for k in range(depth - 1, 0, -1):
+        given = below.join(back, F.col("t") == F.col("dst")).select("s", F.col("src").alias("t"), ((1 + F.col("share")) / F.col("paths")).alias("given"))
+        level = levels.where(F.col("depth") == k).select("s", "t", "paths")
         below = cut(level.join(given.groupBy("s", "t").agg(F.sum("given").alias("given")), ["s", "t"], "left").select("s", "t", "paths", (F.col("paths") * F.coalesce("given", F.lit(0.0))).alias("share")))
-        shares.append(below.select(F.col("t").alias("node_id"), "share"))
-    return reduce(DataFrame.unionByName, shares, levels[0].select(F.col("t").alias("node_id"), F.lit(0.0).alias("share")))
+        shares.append(below.join(weight, "s").groupBy(F.col("t").alias("node_id")).agg(F.sum(F.col("share") * F.col("weight")).alias("share")))
+    return cut(reduce(DataFrame.unionByName, shares).groupBy("node_id").agg(F.sum("share").alias("share"))), pairs, used
 
 
 def summary(graph: PropertyGraph, metric: str = "degree", top: int = 10) -> tuple[dict, DataFrame]:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from graphline.functions.labels import PROGRAM_HINT, TARGET_PREFIXES, has_prefix, is_candidate, is_target, label, name_label, program_ends_with
 from graphline.model import PropertyGraph
-from graphline.operators.reach import closure
+from graphline.operators.reach import reach_counts, reach_pairs, reach_sets
+from graphline.operators.spread import member_lists
 from graphline.plans.iterate import cut
 
 
@@ -44,17 +45,17 @@ def candidates(graph: PropertyGraph, programs: Sequence[str] | None = None, cand
     return graph.nodes.where(keep).select("node_id", label().alias("label"), F.coalesce("program", F.lit("")).alias("program"), "ord")
 
 
-def covered_pairs(graph: PropertyGraph, targets: DataFrame, who: DataFrame) -> DataFrame:
-    """(node, target) of candidates that reach a target, without a target's own."""
-    pairs = closure(graph.edges, targets).where("node <> target").select("node", "target")
-    return cut(pairs.join(who.select(F.col("node_id").alias("node")), "node", "left_semi"))
+def covered_sets(graph: PropertyGraph, targets: DataFrame, who: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The targets that each candidate reaches, as bitmaps (see ``reach_sets``), in a table."""
+    sets, places = reach_sets(graph.edges, targets)
+    return cut(sets.join(who.select(F.col("node_id").alias("node")), "node", "left_semi")), places
 
 
 def orphans(graph: PropertyGraph, prefixes: str | Sequence[str] = TARGET_PREFIXES, program_hint: str | None = PROGRAM_HINT, programs: Sequence[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Candidates (node_id, label, program) that reach no target, in node order."""
     aims = target_set(graph, None, prefixes, program_hint)[0] if targets is None else targets
     who = candidates(graph, programs)
-    reaching = covered_pairs(graph, aims, who).select(F.col("node").alias("node_id")).distinct()
+    reaching = reach_counts(*covered_sets(graph, aims, who)).select(F.col("node").alias("node_id"))
     return who.join(reaching, "node_id", "left_anti").orderBy("ord", "node_id").select("node_id", "label", "program")
 
 
@@ -62,11 +63,12 @@ def coverage_report(graph: PropertyGraph, prefixes: str | Sequence[str] = TARGET
     """Every candidate with the number of targets that it reaches (and, ``listed``, which), most first, then in node order."""
     aims = target_set(graph, None, prefixes, program_hint)[0] if targets is None else targets
     who = candidates(graph, programs)
-    some = [F.count(F.lit(1)).alias("n_covered")] + ([F.array_sort(F.collect_list("target")).alias("covered")] if listed else [])
-    per = covered_pairs(graph, aims, who).groupBy(F.col("node").alias("node_id")).agg(*some)
+    sets, places = covered_sets(graph, aims, who)
+    per = reach_counts(sets, places).select(F.col("node").alias("node_id"), F.col("n").alias("n_covered"))
     found = who.join(per, "node_id", "left").withColumn("n_covered", F.coalesce("n_covered", F.lit(0).cast("long")))
     if listed:
-        found = found.withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
+        lists = member_lists(sets, places).select(F.col("node").alias("node_id"), F.array_remove("members", F.col("node")).alias("covered"))
+        found = found.join(lists, "node_id", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
     return found.orderBy(F.desc("n_covered"), "ord", "node_id").drop("ord")
 
 
@@ -89,7 +91,7 @@ def greedy_cover(graph: PropertyGraph, names: Sequence[str] | None = None, prefi
     """
     aims, missing = target_set(graph, names, prefixes, program_hint) if targets is None else (targets, graph.nodes.sparkSession.createDataFrame([], "name string"))
     who = candidates(graph, programs, candidate_filter)
-    rest = pairs = covered_pairs(graph, aims, who)
+    rest = pairs = cut(reach_pairs(*covered_sets(graph, aims, who)))
     spark = graph.nodes.sparkSession
     picks: list[tuple[int, str, int]] = []
     while best := rest.groupBy("node").agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), "node").limit(batch + 1).collect():

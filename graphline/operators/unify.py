@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from graphline.functions.labels import filled, has_prefix, is_alias, normalised_module, symbol_name
 from graphline.model import PropertyGraph
+from graphline.operators import quality
+from graphline.operators.reach import has_path
 from graphline.plans.iterate import cut
 from graphline.schema import EDGES, LIBRARY, NODES, SYSCALL, conform
 from graphline.sources.readers import module_edges, module_exports, module_functions, module_imports
@@ -107,3 +109,54 @@ def unify(docs: DataFrame, metadata: DataFrame, include_internal: bool = False)
     used = ends.where(by_import).select("module", "name", F.upper("name").alias("symbol_uc")).join(imports, ["module", "symbol_uc"], "left_anti").groupBy("module", F.col("name").alias("symbol")).agg(F.count(F.lit(1)).alias("calls"))
     unresolved = loose.join(used, ["module", "symbol"], "left").select("module", "symbol", (F.col("own") + F.coalesce("calls", F.lit(0))).alias("n_refs"))
     return Unified(PropertyGraph(cut(nodes), conform(paired, EDGES), {}), paired.select("src", "dst", "kinds"), unresolved)
+
+
+#: Paths that a graph of the system's modules should have: fixed values of the acceptance step.
+ACCEPTANCE = (("KERNEL32.DLL!CreateFileW", "SYSCALL:NtCreateFile"), ("API-MS-WIN-CORE-FILE-L1-2-0.DLL!CreateFileW", "KERNELBASE.DLL!CreateFileW"))
+VERDICTS = "check string, subject string, verdict string"
+
+
+@dataclass
+class Built:
+    """unified; verdicts: (check, subject, verdict), verdict being ok, failed or skipped."""
+
+    unified: Unified
+    verdicts: DataFrame
+
+
+def integrity(unified: Unified, listed: int = 5) -> list[tuple[str, str, str]]:
+    """Dangling edges and ids that stand for several nodes, which a graph must not have, and imports that nothing provides, which it may; of these the first by name."""
+    graph = unified.graph
+    dangling, twice = quality.dangling_edges(graph.nodes, graph.edges).count(), quality.duplicate_ids(graph.nodes).count()
+    loose = unified.unresolved.count()
+    sample = ", ".join(f"{r['module']}!{r['symbol']}" for r in unified.unresolved.orderBy("module", "symbol").limit(listed).collect())
+    return [
+        ("dangling edges", str(dangling), "failed" if dangling else "ok"), ("duplicate ids", str(twice), "failed" if twice else "ok"),
+        ("unresolved imports", f"{loose}: {sample}" if loose else "0", "failed" if loose else "ok"),
+    ]
+
+
+def acceptance(graph: PropertyGraph, pairs: DataFrame) -> DataFrame:
+    """(check, subject, verdict) of whether each pair (source, target) has a path; skipped where one of both isn't a node."""
+    ids = graph.nodes.select("node_id")
+    known = pairs.select("source", "target").distinct().join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "target"), "target", "left_semi")
+    reachable = has_path(graph, cut(known))
+    found = pairs.select("source", "target").distinct().join(reachable, ["source", "target"], "left")
+    verdict = F.when(F.col("reachable").isNull(), "skipped").when(F.col("reachable"), "ok").otherwise("failed")
+    return found.select(F.lit("path").alias("check"), F.concat_ws(" -> ", "source", "target").alias("subject"), verdict.alias("verdict"))
+
+
+def build(docs: DataFrame, metadata: DataFrame, include_internal: bool = False, pairs: DataFrame | None = None, ratio: float = 0.8) -> Built:
+    """``unify``, then integrity, then acceptance: paths that should be there (ACCEPTANCE by default) and the share of system calls.
+
+    Dangling edges and duplicate ids are errors; everything else is a verdict.
+    """
+    unified = unify(docs, metadata, include_internal)
+    spark = docs.sparkSession
+    told = integrity(unified)
+    if wrong := [f"{subject} {check}" for check, subject, verdict in told[:2] if verdict == "failed"]:
+        raise ValueError("; ".join(wrong))
+    pairs = spark.createDataFrame(list(ACCEPTANCE), "source string, target string") if pairs is None else pairs
+    row = quality.syscall_ratio(unified.graph.nodes, module_exports(metadata), ratio).first()
+    told.append(("system calls", f"{row['actual']} of {row['expected']}", "ok" if row["ok"] else "failed"))
+    return Built(unified, spark.createDataFrame(told, VERDICTS).unionByName(acceptance(unified.graph, pairs)))

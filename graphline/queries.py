@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphline.functions import labels
 from graphline.model import PropertyGraph
-from graphline.operators import centrality, cover, quality, reach, structure
+from graphline.operators import centrality, condense, cover, quality, reach, structure
 from graphline.operators.explore import explore
 from graphline.sources.derived import GRAPHS
 
@@ -110,18 +110,18 @@ def ancestors(spark, sf_dir):
     """The parts that lead to parts 0 to 19."""
     g = graph("parts", spark, sf_dir)
     targets = g.nodes.where(F.col("node_id").isin([f"part:{k}" for k in range(TARGET_LIMIT)]))
-    return reach.ancestors(g, targets).select("node", "target")
+    return reach.ancestors(g, targets, depths=False)
 
 
 def ancestors_suppliers(spark, sf_dir):
     """What leads to each supplier, over the tiers of orders."""
     g = graph("layered", spark, sf_dir)
-    return reach.ancestors(g, _prefixed(g, "supplier")).select("node", "target")
+    return reach.ancestors(g, _prefixed(g, "supplier"), depths=False)
 
 
 def descendants(spark, sf_dir):
     g = graph("layered", spark, sf_dir)
-    return reach.descendants(g, _prefixed(g, "region")).where(F.col("node").startswith("supplier:")).select("node", "source")
+    return reach.descendants(g, _prefixed(g, "region"), depths=False).where(F.col("node").startswith("supplier:"))
 
 
 def reach_all_pairs(spark, sf_dir):
@@ -142,6 +142,40 @@ def has_path_all(spark, sf_dir):
     return reach.has_path(g, pairs)
 
 
+def has_path_bulk(spark, sf_dir):
+    """Whether each nation leads to each supplier by large lines: some do, some don't."""
+    g = graph("bulk", spark, sf_dir)
+    pairs = _prefixed(g, "nation").select(F.col("node_id").alias("source")).crossJoin(_prefixed(g, "supplier").select(F.col("node_id").alias("target")))
+    return reach.has_path(g, pairs)
+
+
+def reach_counts_parts(spark, sf_dir):
+    """How many other parts each part leads to: every part is a target, and the graph has cycles."""
+    g = graph("parts", spark, sf_dir)
+    return reach.reach_counts(*reach.reach_sets(g.edges, g.nodes, condense=True)).select(F.col("node").alias("node_id"), "n")
+
+
+def strong_components(spark, sf_dir):
+    """Parts that follow one another in cycles, within orders of large lines alone."""
+    g = graph("large_parts", spark, sf_dir)
+    return condense.strong_components(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("node_id"), "component")
+
+
+def path_parents(spark, sf_dir):
+    """The next step of every part on its shortest path to part 1."""
+    return reach.parents(graph("parts", spark, sf_dir), "part:1")
+
+
+def shortest_path_whole(spark, sf_dir):
+    """The steps from part 1 to part 2, the smallest of all shortest paths."""
+    return reach.shortest_path(graph("parts", spark, sf_dir), "part:1", "part:2").select("hops", F.array_join("path", ">").alias("path"))
+
+
+def inbound_paths_whole(spark, sf_dir):
+    """The sixty nearest parts before part 1, with their paths as text."""
+    return reach.inbound_paths(graph("parts", spark, sf_dir), "part:1", 3, most=60)
+
+
 def unreferenced_targets(spark, sf_dir):
     return cover.unreferenced_targets(graph("layered", spark, sf_dir), prefixes=("A", "NATION"), program_hint=None)
 
@@ -171,6 +205,18 @@ def orphans_all(spark, sf_dir):
     return cover.orphans(g, targets=_prefixed(g, "supplier"))
 
 
+def orphans_bulk(spark, sf_dir):
+    """Customers that lead to no supplier by large lines."""
+    g = graph("bulk", spark, sf_dir)
+    return cover.orphans(g, targets=_prefixed(g, "supplier"))
+
+
+def coverage_lists(spark, sf_dir):
+    """The suppliers that each customer leads to by large lines."""
+    g = graph("bulk", spark, sf_dir)
+    return cover.coverage_report(g, targets=_prefixed(g, "supplier")).select("node_id", "n_covered", F.array_join("covered", ",").alias("covered"))
+
+
 def cover_steps(spark, sf_dir):
     g = graph("layered", spark, sf_dir)
     return cover.greedy_cover(g, targets=_prefixed(g, "supplier")).hooks.select("step", "node_id", "gain")
@@ -258,8 +304,8 @@ def explore_view(spark, sf_dir):
 
 ALL = [
     graph_counts, degree_all, in_degree, out_degree, nodes_per_program, nodes_per_layer, programs, top_degree, balanced_topk, balanced_topk_all, neighbors_out, neighbors_in,
-    khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, has_path_all, unreferenced_targets, target_set,
-    target_names, coverage_report, orphans, orphans_all, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
+    khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, has_path_all, has_path_bulk, reach_counts_parts, strong_components, path_parents, shortest_path_whole, inbound_paths_whole, unreferenced_targets, target_set,
+    target_names, coverage_report, orphans, orphans_all, orphans_bulk, coverage_lists, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
     pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, explore_view,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in ALL}
@@ -322,6 +368,10 @@ k AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY chosen DESC, CASE W
 
 
 CUSTOMER_SUPPLIER = "cs AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+BULK = "cs AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49)"
+LARGE_PARTS = "lw AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_quantity >= 40), e AS (SELECT DISTINCT a, b FROM lw WHERE a <> b)"
+#: Of each node of near its smallest next node on a shortest path.
+NEXT = "nxt AS (SELECT src AS id, min(dst) AS next FROM pe JOIN near a ON a.id = src JOIN near b ON b.id = dst WHERE b.d = a.d - 1 GROUP BY src)"
 
 ORACLE_SQL: dict[str, str] = {
     "graph_counts": f"WITH {PARTS} SELECT (SELECT count(*) FROM pn) AS node_count, (SELECT count(*) FROM pe) AS edge_count",
@@ -353,12 +403,25 @@ ORACLE_SQL: dict[str, str] = {
 SELECT 'nation:' || n_nationkey AS source, 'supplier:' || s_suppkey AS target, EXISTS (SELECT 1 FROM c WHERE node = 'nation:' || n_nationkey AND target = 'supplier:' || s_suppkey) AS reachable FROM nation, supplier WHERE s_nationkey = 0""",
     "has_path_all": f"""WITH RECURSIVE {LAYERED}, c(node, target) AS (SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier UNION SELECT src, target FROM c JOIN le ON dst = node)
 SELECT a.id AS source, b.id AS target, c.node IS NOT NULL AS reachable FROM ln a JOIN ln b ON a.program = 'nation' AND b.program = 'supplier' LEFT JOIN c ON c.node = a.id AND c.target = b.id""",
+    "has_path_bulk": f"""WITH cs AS (SELECT DISTINCT c_nationkey AS n, l_suppkey AS s FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49)
+SELECT 'nation:' || n_nationkey AS source, 'supplier:' || s_suppkey AS target, cs.n IS NOT NULL AS reachable FROM nation JOIN supplier ON true LEFT JOIN cs ON n = n_nationkey AND s = s_suppkey""",
+    "reach_counts_parts": f"WITH RECURSIVE {PARTS}, e AS (SELECT DISTINCT a, b FROM pw WHERE b IS NOT NULL), c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b) SELECT 'part:' || a AS node_id, count(*) AS n FROM c WHERE a <> b GROUP BY a",
+    "strong_components": f"""WITH RECURSIVE {LARGE_PARTS}, c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b)
+SELECT 'part:' || x.a AS node_id, min('part:' || y.a) AS component FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY x.a HAVING count(DISTINCT y.a) > 1""",
+    "path_parents": f"WITH RECURSIVE {PARTS}, {_hops('pe', 'part:1', 20, True)}, {NEXT} SELECT near.id AS node_id, d AS depth, next FROM near LEFT JOIN nxt USING (id)",
+    "shortest_path_whole": f"""WITH RECURSIVE {PARTS}, {_hops('pe', 'part:2', 20, True)}, {NEXT}, w(id, hops, path) AS (SELECT 'part:1', 0, 'part:1' UNION ALL SELECT next, hops + 1, path || '>' || next FROM w JOIN nxt USING (id))
+SELECT hops, path FROM w ORDER BY hops DESC LIMIT 1""",
+    "inbound_paths_whole": f"""WITH RECURSIVE {PARTS}, {_hops('pe', 'part:1', 3, True)}, {NEXT}, top AS (SELECT id, d FROM near WHERE d > 0 ORDER BY d, id LIMIT 60),
+w(start, id, path) AS (SELECT top.id, top.id, name FROM top JOIN pn USING (id) UNION ALL SELECT start, next, path || ' → ' || name FROM w JOIN nxt USING (id) JOIN pn ON pn.id = next)
+SELECT name AS source, d AS hops, w.path, top.id AS node_id FROM top JOIN w ON start = top.id AND w.id = 'part:1' JOIN pn ON pn.id = top.id""",
     "unreferenced_targets": f"WITH {LAYERED} SELECT id AS node_id FROM ln WHERE (name LIKE 'A%' OR name LIKE 'NATION%') AND id NOT IN (SELECT dst FROM le)",
     "target_set": "SELECT 'supplier:' || s_suppkey AS node_id FROM supplier WHERE s_name LIKE 'Supplier#%'",
     "target_names": "SELECT 'supplier:1' AS value, true AS found UNION ALL SELECT 'region:' || r_regionkey, true FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'nothing', false",
     "coverage_report": f"WITH {CUSTOMER_SUPPLIER} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program, count(s) AS n_covered FROM customer LEFT JOIN cs ON c = c_custkey GROUP BY ALL",
     "orphans": f"WITH {CUSTOMER_SUPPLIER} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program FROM customer WHERE c_custkey NOT IN (SELECT c FROM cs JOIN supplier ON s = s_suppkey WHERE s_nationkey = 0)",
     "orphans_all": f"WITH {CUSTOMER_SUPPLIER} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program FROM customer WHERE c_custkey NOT IN (SELECT c FROM cs JOIN supplier ON s = s_suppkey)",
+    "orphans_bulk": f"WITH {BULK} SELECT 'customer:' || c_custkey AS node_id, c_name AS label, c_mktsegment AS program FROM customer WHERE c_custkey NOT IN (SELECT c FROM cs)",
+    "coverage_lists": f"WITH {BULK} SELECT 'customer:' || c_custkey AS node_id, count(s) AS n_covered, coalesce(string_agg('supplier:' || s, ',' ORDER BY 'supplier:' || s), '') AS covered FROM customer LEFT JOIN cs ON c = c_custkey GROUP BY 1",
     "cover_steps": f"""WITH RECURSIVE {CUSTOMER_SUPPLIER}, sets AS MATERIALIZED (SELECT 'customer:' || c AS node, list(s) AS l FROM cs GROUP BY c),
 g(step, node_id, gain, rest) AS (
  SELECT 0, NULL::VARCHAR, 0::BIGINT, (SELECT list(DISTINCT s) FROM cs)

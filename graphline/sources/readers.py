@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphline.functions.labels import filled, module_of_file, normalised_module
+from graphline.functions.symbols import fixed_version, is_binary, pe_header
 from graphline.model import PropertyGraph, merged
 from graphline.schema import EDGES, GRAPH_DOCUMENT, METADATA_DOCUMENT, NODES, conform
+from graphline.sources.ranges import PART_BYTES, Elements, elements, is_part, size_of
 
 GRAPH_GLOB = "*.callgraph.json"
 #: What a path on the local file system may begin with, and the signs that Spark's readers take for patterns.
@@ -24,7 +28,7 @@ def plain_path(encoded: Column) -> Column:
 
 
 def resolved(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Full paths of the inputs in the order given, each once; a folder stands for its graph files by name. An input without a file is an error."""
+    """Full paths of the inputs in the order given, each once; a folder of part files is one document, any other stands for its graph files by name. An input without a file is an error."""
     hadoop, found = spark._jvm.org.apache.hadoop.fs, []
     for given in paths:
         path = hadoop.Path(given)
@@ -34,13 +38,21 @@ def resolved(spark: SparkSession, paths: Sequence[str]) -> list[str]:
         status = store.getFileStatus(path)
         files = [status.getPath().toString()]
         if status.isDirectory():
-            files = sorted(f.getPath().toString() for f in store.listStatus(path) if f.isFile() and f.getPath().getName().endswith(GRAPH_GLOB[1:]))
+            inside = [(f.getPath().getName(), f) for f in store.listStatus(path)]
+            if not any(is_part(name) for name, _ in inside):  # else the folder is a document of parts
+                files = sorted(f.getPath().toString() for name, f in inside if f.isFile() and name.endswith(GRAPH_GLOB[1:]))
         if not files:
             raise FileNotFoundError(f"{given} has no {GRAPH_GLOB}")
         found += files
     return list(dict.fromkeys(found))
 
 
+def fits(spark: SparkSession, files: Sequence[str], most: int) -> bool:
+    """Whether every input is one file of at most ``most`` bytes."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    return not any(hadoop.Path(f).getFileSystem(conf).getFileStatus(hadoop.Path(f)).isDirectory() or size_of(hadoop, conf, f) > most for f in files)
+
+
 def documents(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
     """One row per file: path, file name, stem, whether it could be parsed, and the columns of GRAPH_DOCUMENT. Never fails on bad JSON."""
     reader = spark.read
@@ -61,9 +73,9 @@ def kind() -> Column:
 
 
 def with_order(docs: DataFrame, paths: Sequence[str] | None = None) -> DataFrame:
-    """``file``: the position of each document in ``paths`` (full ones), else in path order (one row per file)."""
+    """``file``: the position of each document in ``paths`` (full ones), else in path order. Paths alone are numbered, from the listing that the scan has made; documents stay where they are."""
     if paths is None:
-        return docs.withColumn("file", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+        paths = sorted(unquote(p) for p in docs.inputFiles())
     order = docs.sparkSession.createDataFrame([(k, re.sub(ROOT, "/", p)) for k, p in enumerate(paths)], "file int, given string")
     return docs.join(order, F.regexp_replace("path", ROOT, "/") == F.col("given")).drop("given")
 
@@ -73,23 +85,46 @@ def truth(text: str) -> Column:
     return F.lower(text) == "true"
 
 
-def module_functions(docs: DataFrame) -> DataFrame:
+def kind_of_heads() -> Column:
+    """As ``kind``, from the members of a document that was scanned by ranges."""
+    is_array = lambda key: F.coalesce(F.element_at("members", key) == "[", F.lit(False))
+    return F.when(F.col("parsed") & is_array("functions"), "callgraph").when(F.col("parsed") & is_array("nodes") & is_array("edges"), "unified")
+
+
+def members(docs: DataFrame | Elements, of_kind: str, key: str) -> DataFrame:
+    """(path, file, program, pos, e) of the elements of a root array of one kind of documents; ``whole``, the element's JSON, for nodes."""
+    name = F.coalesce(filled("program"), "stem").alias("program")
+    if isinstance(docs, Elements):
+        program = F.get_json_object(F.concat(F.lit('{"v":'), F.element_at("members", "program"), F.lit("}")), "$.v")
+        heads = docs.heads.where(kind_of_heads() == of_kind).withColumn("program", program).select("file", "path", name)
+        one = StructType.fromDDL(GRAPH_DOCUMENT)[key].dataType.elementType
+        rows = docs.rows.where(F.col("key") == key).join(heads, "file")
+        whole = [F.try_parse_json("value").alias("whole")] if key == "nodes" else []
+        return rows.select("path", "file", "program", "pos", F.from_json("value", one).alias("e"), *whole)
+    rows = docs.where("functions IS NOT NULL" if of_kind == "callgraph" else "functions IS NULL AND nodes IS NOT NULL")
+    if key != "nodes":
+        return rows.select("path", "file", name, F.posexplode(key).alias("pos", "e"))
+    rows = rows.select("path", "file", name, F.posexplode(key).alias("pos", "e"), F.expr("variant_get(raw, '$.nodes', 'array<variant>')").alias("all"))
+    return rows.select("path", "file", "program", "pos", "e", F.element_at("all", F.col("pos") + 1).alias("whole"))
+
+
+def module_functions(docs: DataFrame | Elements) -> DataFrame:
     """Functions of module graphs with program, file and position; those without an entry point are kept, with null."""
-    f = docs.where("functions IS NOT NULL").select("path", "file", F.coalesce(filled("program"), "stem").alias("program"), F.posexplode("functions").alias("pos", "f"))
-    return f.select("path", "file", "program", "pos", "f.*").withColumn("is_external", truth("is_external")).withColumn("ord", order(0))
+    f = members(docs, "callgraph", "functions")
+    return f.select("path", "file", "program", "pos", "e.*").withColumn("is_external", truth("is_external")).withColumn("ord", order(0))
 
 
 def order(phase: int, side: Column | int = 0, pos: str = "pos") -> Column:
     return F.struct(F.col("file"), F.lit(phase).alias("phase"), F.col(pos).alias("pos"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
 
 
-def module_edges(docs: DataFrame) -> DataFrame:
+def module_edges(docs: DataFrame | Elements) -> DataFrame:
     """Call edges of module graphs: program, caller, callee, ord; those with a null end are left out."""
-    e = docs.where("functions IS NOT NULL").select("path", "file", F.coalesce(filled("program"), "stem").alias("program"), F.posexplode("edges").alias("pos", "e"))
+    e = members(docs, "callgraph", "edges")
     return e.select("path", "file", "program", "pos", "e.caller", "e.callee").where("caller IS NOT NULL AND callee IS NOT NULL").withColumn("ord", order(1))
 
 
-def module_graph(docs: DataFrame) -> PropertyGraph:
+def module_graph(docs: DataFrame | Elements) -> PropertyGraph:
     """Nodes program:address of module graphs; endpoints that no function declares become external nodes without a name."""
     at = lambda c: F.concat_ws(":", "program", c)
     functions = module_functions(docs).where("entry_point IS NOT NULL").withColumn("node_id", at("entry_point")).withColumn("address", F.col("entry_point"))
@@ -103,29 +138,34 @@ def module_graph(docs: DataFrame) -> PropertyGraph:
     return PropertyGraph(nodes, merged(edges, ["src", "dst"], list(EDGES)), {})
 
 
-def unified_graph(docs: DataFrame) -> PropertyGraph:
+def unified_graph(docs: DataFrame | Elements) -> PropertyGraph:
     """Nodes by id (or node_id); further keys of a node are kept in attrs; endpoints that aren't declared become nodes without attributes."""
-    rows = docs.where("functions IS NULL AND nodes IS NOT NULL")
-    n = rows.select("file", F.posexplode("nodes").alias("pos", "n"), F.expr("variant_get(raw, '$.nodes', 'array<map<string,variant>>')").alias("all"))
     known = ["id", "node_id", *NODES]
-    rest = F.map_filter(F.element_at("all", F.col("pos") + 1), lambda k, _: ~k.isin(known))
-    declared = n.select("file", "pos", "n.*", F.transform_values(rest, lambda _, v: v.cast("string")).alias("attrs"))
+    rest = F.map_filter(F.expr("try_variant_get(whole, '$', 'map<string,variant>')"), lambda k, _: ~k.isin(known))
+    declared = members(docs, "unified", "nodes").select("file", "pos", "e.*", F.transform_values(rest, lambda _, v: v.cast("string")).alias("attrs"))
     declared = declared.withColumn("node_id", F.coalesce(filled("id"), filled("node_id"))).where("node_id IS NOT NULL")
     declared = declared.withColumn("is_external", truth("is_external")).withColumn("ord", order(0)).withColumn("turn", F.col("file"))
     declared = conform(declared, NODES).withColumn("turn", F.col("ord.file"))
-    e = rows.select("file", F.posexplode("edges").alias("pos", "e")).select("file", "pos", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.kind").where("src <> '' AND dst <> ''")
+    e = members(docs, "unified", "edges").select("file", "pos", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.kind").where("src <> '' AND dst <> ''")
     ends = e.select("file", "pos", F.col("src").alias("node_id"), F.lit(0).alias("side")).union(e.select("file", "pos", "dst", F.lit(1)))
     loose = conform(ends.join(declared.select("node_id"), "node_id", "left_anti").withColumn("ord", order(1, F.col("side"))), NODES).withColumn("turn", F.col("ord.file"))
     edges = e.withColumn("ord", order(1)).withColumn("turn", F.col("file")).select("src", "dst", "kind", "ord", "turn")
     return PropertyGraph(merged(declared.unionByName(loose), ["node_id"], list(NODES)), merged(edges, ["src", "dst"], list(EDGES)), {})
 
 
-def load_graph(spark: SparkSession, paths: str | Sequence[str]) -> PropertyGraph:
-    """One graph from documents of either kind, composed in the order given (see ``resolved``); unreadable documents fail the load."""
+def load_graph(spark: SparkSession, paths: str | Sequence[str], part_bytes: int = PART_BYTES) -> PropertyGraph:
+    """One graph from documents of either kind, composed in the order given (see ``resolved``); unreadable documents fail the load.
+
+    Where a document is larger than ``part_bytes``, or a folder of parts, documents are scanned by byte ranges of that size, else each by one task.
+    """
     given = [paths] if isinstance(paths, str) else list(paths)
     files = resolved(spark, given)
-    docs = with_order(documents(spark, [re.sub(GLOB_SIGNS, r"\\\g<0>", f) for f in files]), files)
-    bad = docs.where(~F.col("parsed") | kind().isNull()).select("path").limit(1).collect()
+    if not fits(spark, files, part_bytes):
+        docs = elements(spark, files, ("functions", "nodes", "edges"), part_bytes)
+        bad = docs.heads.where(kind_of_heads().isNull()).select("path").limit(1).collect()
+    else:
+        docs = with_order(documents(spark, [re.sub(GLOB_SIGNS, r"\\\g<0>", f) for f in files]), files)
+        bad = docs.where(~F.col("parsed") | kind().isNull()).select("path").limit(1).collect()
     if bad:
         raise ValueError(f"not a graph document: {bad[0]['path']}")
     a, b = module_graph(docs), unified_graph(docs)
@@ -197,9 +237,40 @@ def modules(meta: DataFrame, digests: DataFrame | None = None) -> DataFrame:
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, sha256 and file_version (null: the version needs the resource section) of files below a folder."""
+    """path, length, sha256 and file_version of files below a folder; the version is null where a file has no fixed version block."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return rows.select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("file_version"))
+    return rows.select("path", "length", F.sha2("content", 256).alias("sha256"), fixed_version("content").alias("file_version"))
+
+
+def inventory(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """Files below a folder that begin as binaries do (MZ): path, length, sha256, file_version, and machine, sections, entry_point and subsystem of the header, null where there is none; the first ``limit`` by path."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(is_binary("content"))
+    if limit is not None:
+        rows = rows.join(F.broadcast(rows.select("path").orderBy("path").limit(limit)), "path", "left_semi")
+    return rows.select("path", "length", F.sha2("content", 256).alias("sha256"), fixed_version("content").alias("file_version"), pe_header("content").alias("h")).select("path", "length", "sha256", "file_version", "h.*")
+
+
+def inventory_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: total_files and pe_files below a folder."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return rows.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(is_binary("content")).alias("pe_files"))
+
+
+def inventory_summary(meta: DataFrame, binaries: DataFrame | None = None, relative_to: str | None = None) -> DataFrame:
+    """One row per module for a CSV: path (below ``relative_to``), header facts of ``binaries`` (as ``inventory`` gives them), counts of exports and imports, and the first RSDS link."""
+    first = F.get(F.filter("debug", lambda d: d["codeview"]["signature"] == "RSDS"), F.lit(0))["codeview"]
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    imported = F.aggregate(F.coalesce("imports", F.array().cast(StructType.fromDDL(METADATA_DOCUMENT)["imports"].dataType)), F.lit(0), lambda n, i: n + F.greatest(F.coalesce(F.size(i["functions"]), F.lit(0)), F.lit(0)))
+    rows = meta.select(F.col("module"), F.coalesce("path", "source").alias("path"), F.greatest(size("exports"), F.lit(0)).alias("exports"), F.greatest(size("imports"), F.lit(0)).alias("import_modules"), imported.alias("imports"), first["pdb_path"].alias("pdb_path"), first["guid"].alias("guid"), first["age"].alias("age"))
+    facts = ["machine", "subsystem", "entry_point", "sections"]
+    if binaries is None:
+        rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in facts])
+    else:
+        of = binaries.select(F.lower(_bare("path")).alias("key"), *[F.col(c).cast("string").alias(c) for c in facts])
+        rows = rows.join(of, F.lower("path") == F.col("key"), "left").drop("key")
+    base = (relative_to or "").rstrip("/") + "/"
+    path = F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 2**31 - 1)).otherwise(F.col("path")) if relative_to else F.col("path")
+    return rows.select("module", path.alias("path"), *facts, "exports", "import_modules", "imports", "pdb_path", "guid", "age")
 
 
 def metadata_of_binary(meta: DataFrame, binaries: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Writing graphs and reports.
 
-Documents are written as lines in order. With ``single_file`` (for graphs that
-one task can write) they land in one part file; else the part files, one after
-another, are the document.
+A document is a folder of part files, which by name one after another are the
+document: lines are dealt by range in their order, and every task writes its own
+part. ``load_graph`` reads such a folder as one document. With ``single_file`` (for
+graphs that one task can write) there is one part.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def _head(graph: PropertyGraph, fields: dict[str, Column]) -> DataFrame:
     return _line(graph.counts(), 0, F.lit(""), F.regexp_replace(text, r"\}$", ',"nodes":['))
 
 
-def write_json(graph: PropertyGraph, path: str, unified: bool = False, dlls: DataFrame | None = None, windows: dict[str, str] | None = None, single_file: bool = True) -> None:
+def write_json(graph: PropertyGraph, path: str, unified: bool = False, dlls: DataFrame | None = None, windows: dict[str, str] | None = None, single_file: bool = False) -> None:
     """Nodes with typed attributes, edges with their kind. ``unified`` adds version, layers, host facts and binaries."""
     nodes = graph.nodes.withColumn("id", F.col("node_id")).drop("node_id", "ord")
     node = F.to_json(F.struct("id", *[c for c in nodes.columns if c != "id"]))
@@ -66,7 +67,7 @@ def _escaped(c: Column) -> Column:
     return c
 
 
-def write_graphml(graph: PropertyGraph, path: str, single_file: bool = True) -> None:
+def write_graphml(graph: PropertyGraph, path: str, single_file: bool = False) -> None:
     """GraphML with string attributes: nulls are left out, maps become JSON, lists are joined by commas."""
     skip = {"node_id", "src", "dst", "ord"}
 
@@ -92,7 +93,7 @@ def write_tables(graph: PropertyGraph, path: str) -> None:
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
-def write_report(report: DataFrame, path: str, format: str = "json") -> None:  # noqa: A002
+def write_report(report: DataFrame, path: str, format: str = "json", single_file: bool = False) -> None:  # noqa: A002
     """An audit report: a JSON array, or a Markdown table (md, markdown)."""
     one = report.sparkSession.range(1)
     if format == "json":
@@ -104,7 +105,7 @@ def write_report(report: DataFrame, path: str, format: str = "json") -> None:  #
         parts = [_line(one, 0, F.lit("0"), F.lit("| " + " | ".join(columns) + " |")), _line(one, 0, F.lit("1"), F.lit("|" + " --- |" * len(columns))), _line(report, 1, F.col("path"), row)]
     else:
         raise ValueError(f"unknown report format: {format}")
-    _write_lines(parts, path, single_file=True)
+    _write_lines(parts, path, single_file)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
