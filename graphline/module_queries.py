@@ -215,7 +215,7 @@ def graph_files(spark, sf_dir):
     """Graph files below a folder without those of a report: of every third module, by its place in the folder or by its path."""
     texts = cut(graph_texts(spark, sf_dir).select(F.concat("module", F.lit(".callgraph.json")).alias("name"), F.col("value").alias("content")))
     folder = _files(texts)
-    key = F.regexp_extract("name", "^m([0-9]+)", 1).cast("long")
+    key = F.regexp_extract("name", "^m([0-9]+)", 1).try_cast("long")
     out = texts.where(key % 3 == 0).select(F.when(key % 2 == 0, F.to_json(F.struct(F.col("name").alias("relative_path")))).otherwise(F.to_json(F.struct(_text(folder + "/", F.col("name")).alias("path")))).alias("entry"))
     report = _files(out.agg(F.array_join(F.array_append(F.collect_list("entry"), F.lit("7")), ",").alias("entries")).select(F.lit("report.json").alias("name"), F.concat(F.lit("["), "entries", F.lit("]")).alias("content")))
     return readers.list_graph_files(spark, folder, readers.excluded_paths(spark, f"{report}/report.json", folder)).select("module", _file_name("path").alias("file"))

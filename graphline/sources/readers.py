@@ -206,7 +206,7 @@ def excluded_paths(spark: SparkSession, report: str, data_dir: str) -> DataFrame
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """One row per module: module, source (file), and the columns of METADATA_DOCUMENT; of several files of a module the first by path. Bad JSON is left out."""
-    rows = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
+    rows = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder, wholetext=True).select("value", plain_path(F.col("_metadata.file_path")).alias("source"))
     rows = rows.where(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
     stem = F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"\.json$", "")
     rows = rows.select(normalised_module(stem).alias("module"), "source", F.from_json("value", METADATA_DOCUMENT).alias("m"))
