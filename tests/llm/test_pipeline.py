@@ -5,9 +5,10 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from llm_cases import base_counts, components, frame, lower
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphline.llm import fertility, kneser_ney
+from graphline.llm import common, fertility, kneser_ney
 
 
 def test_pipeline(spark, tmp_path):
@@ -56,6 +57,20 @@ def test_near_dedup_of_a_repeated_id(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["text"]) for r in found) == sorted((str(i), t) for i, t, _ in rows if i != 3)
 
 
+def test_further_columns_stay(spark, tmp_path):
+    """Columns named as the ones that the stages use themselves come through every stage but the last."""
+    names = ["block", "row", "in_0", "number", "component_id", "fertility_size"]
+    given = frame(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = common.stored(given, "given")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == given.columns
+        for r in docs.where("doc_id IS NOT NULL").collect():
+            assert [r[n] for n in names] == [f"{n}-{r['doc_id']}" for n in names]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count() > 40
+
+
 def test_empty_corpus(spark, tmp_path):
     frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
