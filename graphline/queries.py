@@ -7,6 +7,7 @@ written against the tables, not against what the operator builds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from graphline.functions import labels
 from graphline.model import PropertyGraph
 from graphline.operators import centrality, condense, cover, quality, reach, structure
 from graphline.operators.explore import explore
+from graphline.operators.search import LabelIndex
 from graphline.sources.derived import GRAPHS
 
 TARGET_LIMIT = 20
@@ -296,6 +298,15 @@ def display_labels(spark, sf_dir):
     return graph("layered", spark, sf_dir).nodes.select("node_id", labels.display_label().alias("label"))
 
 
+SEARCHED = ("gear", "RING", "0001", "e r", "no such label")
+
+
+def label_search(spark, sf_dir):
+    """The suppliers and parts whose label holds each of some texts."""
+    index = LabelIndex.of(graph("supplies", spark, sf_dir))
+    return reduce(DataFrame.unionByName, [index.search(text).withColumn("text", F.lit(text)) for text in SEARCHED])
+
+
 def explore_view(spark, sf_dir):
     """Callers of supplier 1 and the path from nation 0, over the tiers of orders."""
     view = explore(graph("layered", spark, sf_dir), limit=200, focus="supplier:1", start="nation:0", depth=2)
@@ -306,7 +317,7 @@ ALL = [
     graph_counts, degree_all, in_degree, out_degree, nodes_per_program, nodes_per_layer, programs, top_degree, balanced_topk, balanced_topk_all, neighbors_out, neighbors_in,
     khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, has_path_all, has_path_bulk, reach_counts_parts, strong_components, path_parents, shortest_path_whole, inbound_paths_whole, unreferenced_targets, target_set,
     target_names, coverage_report, orphans, orphans_all, orphans_bulk, coverage_lists, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
-    pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, explore_view,
+    pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, label_search, explore_view,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in ALL}
 
@@ -446,5 +457,6 @@ UNION ALL SELECT 'nation:' || n_nationkey, count(c_custkey)::DOUBLE FROM nation
     "colours": f"WITH {SUPPLIES} SELECT id AS node_id, ((dense_rank() OVER (ORDER BY program) - 1) % 8)::INT AS colour FROM sn",
     "node_sizes": f"WITH {PARTS}, {_degrees('pn', 'pe')}, m AS (SELECT min(d) AS a, max(d) AS b FROM deg) SELECT id AS node_id, round(CASE WHEN a = b THEN 28.0::DOUBLE ELSE 18.0::DOUBLE + (d - a)::DOUBLE / (b - a) * 28.0::DOUBLE END, 6) AS size FROM deg, m",
     "hubs": f"WITH {PARTS}, {_degrees('pn', 'pe')}, k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS place FROM deg) SELECT id AS node_id, d AS degree FROM deg WHERE d >= (SELECT d FROM k WHERE place = greatest(0, floor((SELECT count(*) FROM deg) * 0.85) - 1))",
+    "label_search": f"WITH {SUPPLIES} SELECT id AS node_id, coalesce(name, id) AS label, text FROM sn JOIN (VALUES {', '.join(f"('{t}')" for t in SEARCHED)}) AS t(text) ON contains(lower(name), lower(text))",
     "display_labels": f"WITH {LAYERED} SELECT id AS node_id, program || ':' || CASE WHEN length(coalesce(name, id)) > 48 THEN left(coalesce(name, id), 45) || '...' ELSE coalesce(name, id) END AS label FROM ln",
 }
