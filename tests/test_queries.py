@@ -13,7 +13,7 @@ QUERIES, ORACLE_SQL = queries.QUERIES | module_queries.QUERIES, queries.ORACLE_S
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The rest runs in the driver's comparison.
-SOME = ["degree_all", "nodes_per_layer", "balanced_topk", "khop_inbound", "shortest_path_len", "inbound_paths", "ancestors", "coverage_report", "cover_steps", "wcc_sizes", "balanced_subgraph", "pagerank_dangling", "betweenness_tiers", "dense_index", "node_sizes", "hubs"]
+SOME = ["degree_all", "nodes_per_layer", "balanced_topk", "khop_inbound", "shortest_path_len", "inbound_paths", "ancestors", "has_path", "coverage_report", "cover_steps", "wcc_sizes", "balanced_subgraph", "pagerank_dangling", "betweenness_tiers", "dense_index", "node_sizes", "hubs"]
 
 
 def test_every_query_has_sql():
@@ -34,7 +34,7 @@ def test_against_sql(spark, name):
 
 
 #: Queries over all targets or nodes, beside those whose SQL names some.
-WHOLE = ["ancestors_suppliers", "has_path_bulk", "orphans_bulk", "balanced_topk_all", "reach_counts_parts", "strong_components", "shortest_path_whole", "inbound_paths_whole", "coverage_lists", "label_search"]
+WHOLE = ["ancestors_suppliers", "has_path_all", "orphans_all", "balanced_topk_all", "reach_counts_parts", "shortest_path_whole", "coverage_lists"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -44,7 +44,7 @@ def test_whole_against_sql(spark, name):
 
 
 #: Scans, unification and records over module documents.
-MODULES = ["unify_edges", "audit", "undeclared_ends", "codeview", "betweenness_small", "unify_acceptance", "metadata_index", "graph_files", "binary_records", "inventory_summary"]
+MODULES = ["unify_layers", "unify_edges", "audit", "undeclared_ends", "codeview", "betweenness_small", "unify_acceptance", "metadata_index", "binary_records"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
