@@ -69,6 +69,14 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("metadata")
     f.add_argument("--pdb", action="append")
     f.add_argument("--limit", type=int)
+    i = sub.add_parser("inventory", help="binaries below a folder, with digests, versions and headers")
+    i.add_argument("folder")
+    i.add_argument("--output", help="a CSV folder")
+    i.add_argument("--limit", type=int)
+    c = sub.add_parser("inventory-csv", help="a CSV of what the metadata says of each module")
+    c.add_argument("metadata")
+    c.add_argument("output")
+    c.add_argument("--relative-to")
     b = sub.add_parser("batch", help="binaries still to be exported")
     b.add_argument("metadata")
     b.add_argument("--include", action="append", default=[])
@@ -83,6 +91,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return COMMANDS[args.command](spark, args) or 0
 
 
+def _brief(rows, shown: int = 10) -> None:
+    """The first rows, and how many more there are."""
+    rows.show(shown, False)
+    if (more := rows.count() - shown) > 0:
+        print(f"... ({more} more)")
+
+
 def _options(args) -> dict:
     return {"prefixes": tuple(args.prefix or TARGET_PREFIXES), "program_hint": args.program_hint or None}
 
@@ -97,9 +112,8 @@ def _report(spark, args):
 def _cover(spark, args):
     found = cover.greedy_cover(readers.load_graph(spark, args.inputs), args.target, **_options(args), programs=args.candidate_program)
     found.hooks.withColumn("covered", brief_list("covered")).show(1000, False)
-    uncovered = found.uncovered.count()
-    found.uncovered.orderBy("node_id").show(args.top, False)
-    print(f"{uncovered} uncovered, {found.missing.count()} names not found")
+    _brief(found.uncovered.orderBy("node_id"), args.top)
+    print(f"{found.uncovered.count()} uncovered, {found.missing.count()} names not found")
 
 
 def _validate(spark, args):
@@ -115,7 +129,7 @@ def _validate(spark, args):
 def _audit(spark, args):
     report = quality.audit(readers.documents(spark, args.folder, readers.GRAPH_GLOB), args.folder)
     quality.status_counts(report).show()
-    quality.flagged(report).orderBy("path").show(10, False)
+    _brief(quality.flagged(report).orderBy("path"))
     if args.output:
         sinks.write_report(report, args.output, args.format)
 
@@ -156,12 +170,30 @@ def _symbols(spark, args):
     symbols.fetch_plan(readers.metadata(spark, args.metadata), args.pdb, args.limit).show(1000, False)
 
 
+def _inventory(spark, args):
+    counts = readers.inventory_counts(spark, args.folder).first()
+    rows = readers.inventory(spark, args.folder, args.limit)
+    print(f"{counts['total_files']} files, {counts['pe_files']} binaries")
+    if args.output:
+        sinks.write_csv(rows, args.output)
+    broken = rows.where("machine IS NULL").select("path").orderBy("path")
+    if not broken.isEmpty():
+        print("without a whole header:")
+        _brief(broken)
+
+
+def _inventory_csv(spark, args):
+    rows = readers.inventory_summary(readers.metadata(spark, args.metadata), relative_to=args.relative_to)
+    sinks.write_csv(rows, args.output)
+    print(f"{rows.count()} rows")
+
+
 def _batch(spark, args):
     done = readers.list_graph_files(spark, args.outputs).select("module") if args.outputs else None
     readers.batch_plan(readers.metadata(spark, args.metadata), args.include, done, args.limit).show(1000, False)
 
 
-COMMANDS = {"report": _report, "cover": _cover, "validate": _validate, "audit": _audit, "unify": _unify, "aggregate": _aggregate, "summary": _summary, "explore": _explore, "plot-data": _plot_data, "symbols": _symbols, "batch": _batch}
+COMMANDS = {"report": _report, "cover": _cover, "validate": _validate, "audit": _audit, "unify": _unify, "aggregate": _aggregate, "summary": _summary, "explore": _explore, "plot-data": _plot_data, "symbols": _symbols, "inventory": _inventory, "inventory-csv": _inventory_csv, "batch": _batch}
 
 if __name__ == "__main__":
     sys.exit(main())

@@ -313,11 +313,16 @@ def explore_view(spark, sf_dir):
     return view.paths.select("node_id", "hops")
 
 
+def explore_elements(spark, sf_dir):
+    """What a widget shows of all tiers, with what leads to customer 1 marked."""
+    return explore(graph("tiers", spark, sf_dir), limit=1_000_000_000, focus="customer:1", depth=3).elements
+
+
 ALL = [
     graph_counts, degree_all, in_degree, out_degree, nodes_per_program, nodes_per_layer, programs, top_degree, balanced_topk, balanced_topk_all, neighbors_out, neighbors_in,
     khop_inbound, induced_edges, shortest_path_len, shortest_path, inbound_paths, ancestors, ancestors_suppliers, descendants, reach_all_pairs, has_path, has_path_all, has_path_bulk, reach_counts_parts, strong_components, path_parents, shortest_path_whole, inbound_paths_whole, unreferenced_targets, target_set,
     target_names, coverage_report, orphans, orphans_all, orphans_bulk, coverage_lists, cover_steps, cover_uncovered, wcc_sizes, wcc_tiers, largest_wcc, topk_subgraph, balanced_subgraph, pagerank_k,
-    pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, label_search, explore_view,
+    pagerank_dangling, betweenness_tiers, centrality_summary, dense_index, compose, dangling_edges, colours, node_sizes, hubs, display_labels, label_search, explore_view, explore_elements,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in ALL}
 
@@ -457,6 +462,10 @@ UNION ALL SELECT 'nation:' || n_nationkey, count(c_custkey)::DOUBLE FROM nation
     "colours": f"WITH {SUPPLIES} SELECT id AS node_id, ((dense_rank() OVER (ORDER BY program) - 1) % 8)::INT AS colour FROM sn",
     "node_sizes": f"WITH {PARTS}, {_degrees('pn', 'pe')}, m AS (SELECT min(d) AS a, max(d) AS b FROM deg) SELECT id AS node_id, round(CASE WHEN a = b THEN 28.0::DOUBLE ELSE 18.0::DOUBLE + (d - a)::DOUBLE / (b - a) * 28.0::DOUBLE END, 6) AS size FROM deg, m",
     "hubs": f"WITH {PARTS}, {_degrees('pn', 'pe')}, k AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS place FROM deg) SELECT id AS node_id, d AS degree FROM deg WHERE d >= (SELECT d FROM k WHERE place = greatest(0, floor((SELECT count(*) FROM deg) * 0.85) - 1))",
+    "explore_elements": f"""WITH {TIERS}, {_degrees('tn', 'te')}, near AS (SELECT 'customer:1' AS id UNION ALL SELECT 'nation:' || c_nationkey FROM customer WHERE c_custkey = 1
+UNION ALL SELECT 'region:' || n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 1)
+SELECT 'nodes' AS "group", id, program || ':' || name AS label, program, d AS degree, 22.0::DOUBLE AS size, false AS hub, ((dense_rank() OVER (ORDER BY program) - 1) % 8)::INT AS colour, NULL AS source, NULL AS target, CASE WHEN id IN (SELECT id FROM near) THEN 'highlight' ELSE '' END AS classes FROM tn JOIN deg USING (id)
+UNION ALL SELECT 'edges', 'main-edge-' || (row_number() OVER (ORDER BY src || chr(0) || dst) - 1), NULL, NULL, NULL, NULL, NULL, NULL, src, dst, CASE WHEN src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near) THEN 'highlight' ELSE '' END FROM te""",
     "label_search": f"WITH {SUPPLIES} SELECT id AS node_id, coalesce(name, id) AS label, text FROM sn JOIN (VALUES {', '.join(f"('{t}')" for t in SEARCHED)}) AS t(text) ON contains(lower(name), lower(text))",
     "display_labels": f"WITH {LAYERED} SELECT id AS node_id, program || ':' || CASE WHEN length(coalesce(name, id)) > 48 THEN left(coalesce(name, id), 45) || '...' ELSE coalesce(name, id) END AS label FROM ln",
 }

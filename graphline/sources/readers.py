@@ -251,7 +251,7 @@ def inventory(spark: SparkSession, folder: str, limit: int | None = None) -> Dat
 
 
 def inventory_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: total_files and pe_files below a folder."""
+    """One row: total_files and pe_files below a folder; empty files are none of them, as Spark lists none."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return rows.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(is_binary("content")).alias("pe_files"))
 

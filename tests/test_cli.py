@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
 
 import pytest
@@ -76,6 +77,35 @@ def test_collectors_and_mergers(spark, files, tmp_path):
     assert {r["node_id"] for r in readers.load_graph(spark, made).nodes.collect()} == {"SHELF.DLL!OpenShelf", "SHELF.DLL!NtOpenDoor", "NTDLL.DLL!NtOpenDoor", "SYSCALL:NtOpenDoor"}
 
 
+def binary(machine, version=None):
+    head = b"MZ" + bytes(58) + (64).to_bytes(4, "little") + b"PE\0\0" + machine.to_bytes(2, "little") + (3).to_bytes(2, "little") + bytes(32) + (4660).to_bytes(4, "little") + bytes(48) + (2).to_bytes(2, "little") + bytes(10)
+    return head + (b"" if version is None else b"\xbd\x04\xef\xfe\0\0\1\0" + b"".join((version[k] << 16 | version[k + 1]).to_bytes(4, "little") for k in (0, 2)))
+
+
+def test_inventory(spark, tmp_path, capsys):
+    folder = tmp_path / "bin"
+    folder.mkdir()
+    contents = {"a.dll": binary(0x8664, (10, 0, 22621, 4391)), "b.exe": binary(0x14C, (65535, 1, 0, 7)), "c.sys": binary(0xAA64), "short.dll": b"MZ", "text.txt": b"PE\0\0 but no binary"}
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    rows = {r["path"].rpartition("/")[2]: r for r in readers.inventory(spark, str(folder)).collect()}
+    assert {n: (r["machine"], r["sections"], r["entry_point"], r["subsystem"], r["file_version"]) for n, r in rows.items()} == {
+        "a.dll": ("0x8664", 3, "0x1234", 2, "10.0.22621.4391"), "b.exe": ("0x14c", 3, "0x1234", 2, "65535.1.0.7"), "c.sys": ("0xaa64", 3, "0x1234", 2, None), "short.dll": (None, None, None, None, None),
+    }
+    assert {r["path"].rpartition("/")[2]: r["sha256"] for r in readers.digests(spark, str(folder)).collect()} == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    assert readers.inventory(spark, str(folder), 2).count() == 2
+    assert cli.main(["inventory", str(folder), "--output", str(tmp_path / "csv")], spark) == 0
+    out = capsys.readouterr().out
+    assert "5 files, 4 binaries" in out and "short.dll" in out
+    assert sum(len(p.read_text().splitlines()) - 1 for p in (tmp_path / "csv").glob("*.csv")) == 4
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta" / "a.json").write_text(json.dumps({"path": "C:/bin/a.dll", "exports": [{"name": "x"}], "imports": [{"module": "m", "functions": [{"name": "p"}, {"name": "q"}]}, {"module": "n"}], "debug": [{"codeview": {"signature": "RSDS", "guid": "G", "age": 3, "pdb_path": "a.pdb"}}]}))
+    (tmp_path / "meta" / "b.json").write_text("{}")
+    assert cli.main(["inventory-csv", str(tmp_path / "meta"), str(tmp_path / "meta.csv"), "--relative-to", "C:/bin"], spark) == 0
+    told = {r["module"]: r for text in sorted((tmp_path / "meta.csv").glob("*.csv")) for r in csv.DictReader(text.read_text().splitlines())}
+    assert (told["A"]["path"], told["A"]["exports"], told["A"]["import_modules"], told["A"]["imports"], told["A"]["guid"]) == ("a.dll", "1", "2", "2", "G") and told["B"]["imports"] == "0"
+
+
 def test_largest_files(spark, files):
     folder, *_ = files
     sizes = {p.name: p.stat().st_size for p in folder.glob("*.json")}
