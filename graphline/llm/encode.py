@@ -39,11 +39,37 @@ def byte_level_chunks(text: str) -> list[str]:
     return PLAIN.findall(text)
 
 
-def piece_chunks(text: str) -> list[str]:
-    """Cuts for pieces that hold the blank at their front only; a chunk's first blank stands for the dummy prefix."""
+#: A chunk of more characters is cut further, about this often.
+LONG_CHUNK = 2048
+#: What stands before a chunk that continues another. No chunk of a text has a newline behind anything else.
+GOES_ON = "x\n"
+
+
+def piece_chunks(text: str, touching: frozenset[str] = frozenset()) -> list[str]:
+    """Cuts for pieces that hold the blank at their front only; a chunk's first blank stands for the dummy prefix.
+
+    With ``touching``, the pairs of characters that stand side by side in a piece, the
+    model's sign for a blank is taken for one, and a long chunk is cut between
+    characters that are no such pair; it stays whole where all are. Without it such
+    texts and chunks stay whole.
+    """
     if not text:
         return []
-    return [" " + text] if "▁" in text else PLAIN.findall(" " + text)
+    if not touching:
+        return [" " + text] if "▁" in text else PLAIN.findall(" " + text)
+    chunks = PLAIN.findall(" " + text.replace("▁", " "))
+    if max(map(len, chunks)) <= LONG_CHUNK:
+        return chunks
+    return [part for chunk in chunks for part in (_cut(chunk, touching) if len(chunk) > LONG_CHUNK else (chunk,))]
+
+
+def _cut(chunk: str, touching: frozenset[str]) -> Iterator[str]:
+    start, bare = 0, len(chunk) - len(chunk.lstrip(" \n"))
+    for end in range(bare + 1, len(chunk)):
+        if end - start >= LONG_CHUNK and chunk[end - 1 : end + 1] not in touching:
+            yield (GOES_ON if start else "") + chunk[start:end]
+            start = end
+    yield (GOES_ON if start else "") + chunk[start:]
 
 
 class _Index(dict):
@@ -172,30 +198,34 @@ def _word_level(path: str) -> ChunkEncoder:
     return ChunkEncoder(WORDS.findall, lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
 
 
-def _piece(path: str) -> ChunkEncoder:
+def _piece(path: str, cut: bool = False) -> ChunkEncoder:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     blank = model.piece_to_id("▁")
+    touching = set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if "▁" in piece.lstrip("▁") or "\n" in piece:
             raise ValueError(f"piece {piece!r} crosses the cuts of piece_chunks")
+        touching.update(piece[k : k + 2] for k in range(len(piece) - 1))
+    pairs = frozenset(touching if cut else ())
 
     def encode_many(chunks: list[str]) -> list[list[int]]:
-        # the model puts a blank before each text; it stands for the first blank of the chunk
-        bare = [c[1:] if c[0] == " " else c for c in chunks]
+        # the model puts a blank before each text; it stands for the first blank of the chunk.
+        # What continues another chunk is encoded behind a newline, which no piece holds
+        bare = [c[1:] if c[0] == " " or c.startswith(GOES_ON) else c for c in chunks]
         found = model.encode(bare, num_threads=1)
-        return [[blank] if not b else ids if c[0] == " " else ids[1:] for c, b, ids in zip(chunks, bare, found, strict=True)]
+        return [[blank] if not b else ids if c[0] == " " else ids[2:] if c.startswith(GOES_ON) else ids[1:] for c, b, ids in zip(chunks, bare, found, strict=True)]
 
-    return ChunkEncoder(piece_chunks, encode_many)
+    return ChunkEncoder(lambda text: piece_chunks(text, pairs), encode_many)
 
 
-MAKERS = {"byte": _byte_level, "word": _word_level, "piece": _piece}
+MAKERS = {"byte": _byte_level, "word": _word_level, "piece": _piece, "cut": lambda path: _piece(path, cut=True)}
 
 
 def encoder(kind: str, path: str, max_chunks: int = MAX_CHUNKS) -> ChunkEncoder:
-    """``kind``: byte (byte-level BPE), word (BPE with word ends, white space dropped), piece (sentencepiece). A worker keeps the last two."""
+    """``kind``: byte (byte-level BPE), word (BPE with word ends, white space dropped), piece (sentencepiece), cut (the same, with long runs of characters cut too). A worker keeps the last two."""
     if (kind, path) not in _KEPT:
         while len(_KEPT) > 1:
             _KEPT.pop(next(iter(_KEPT)))

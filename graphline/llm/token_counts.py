@@ -1,8 +1,9 @@
 """Token counts by batch encoding in Arrow functions that return lengths only.
 
-Rows of a partition are regrouped into batches of about equal bytes, so one long
-text does not make a batch large; texts are split where no piece can cross, and
-the lengths of the parts are added up. No id leaves the encoder.
+The rows of an Arrow batch are dealt into batches of about equal bytes, so one long
+text does not make a batch large; texts are split where no piece can cross, also
+within runs without blanks, and the lengths of the parts are added up. No id leaves
+the encoder.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from graphline.llm.common import documents
 from graphline.llm.encode import encoder
 
 
-def token_counts(docs: DataFrame, model: str, kind: str = "piece", limit: int = 4096, batch_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, kind: str = "cut", limit: int = 4096, batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit.
 
-    Null text counts as empty: no bytes, no tokens. Repeated rows are counted one
-    by one; an empty table gives an empty result; other columns are ignored.
+    Null text counts as empty: no bytes, no tokens. Very long texts are counted whole,
+    in parts that no piece crosses. Repeated rows are counted one by one; an empty table gives an empty result; other columns are ignored.
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

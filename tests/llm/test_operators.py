@@ -62,6 +62,21 @@ def test_chunks_agree_with_whole_texts():
     assert bpe.vocabulary(BYTE).decode(own, sizes) == strings
 
 
+def test_long_runs_are_cut(monkeypatch):
+    """Runs without blanks are counted in parts, as the library counts them whole."""
+    rng = random.Random(11)
+    bits = [*"ab dT's,.!1é\n\n  \t\r▁ñ中́ \x1c\x85", "▁▁", "the ", "中文字符", "Z9", "<s>", "İ", "\U0001f642"]
+    strings = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["▁", "▁▁ a", " ▁", "a▁b", "▁\n▁", "x" * 9000]
+    strings += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(9000)), "".join(rng.choice("abcXYZ019+/=") for _ in range(200_000))]
+    library_ = sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(strings)
+    for long in (2048, 3):
+        monkeypatch.setattr(encode, "LONG_CHUNK", long)
+        found = encode.MAKERS["cut"](PIECE)
+        ids, sizes = found.encode(strings)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_
+        assert max(map(len, found.chunks(strings[-1]))) < long + 200 and len(found.chunks(strings[-2])) > 3
+
+
 def test_dac_random_access():
     rng = np.random.default_rng(0)
     for n in (0, 1, 511, 512, 513, 3000):
