@@ -28,10 +28,15 @@ def _ends(direction: str) -> tuple[str, str]:
     return ("dst", "src") if direction == "in" else ("src", "dst")
 
 
-def _step(edges: DataFrame, direction: str) -> DataFrame:
-    """(node, next) dealt by node; loops lead to nothing new."""
+#: Up to so many rounds edges are shuffled in each of them; dealing them once costs as much.
+FEW_ROUNDS = 3
+
+
+def _step(edges: DataFrame, direction: str, most: int | None = None) -> DataFrame:
+    """(node, next), dealt by node for more than a few rounds; loops lead to nothing new."""
     at, to = _ends(direction)
-    return bucketed(edges.where("src <> dst").select(F.col(at).alias("node"), F.col(to).alias("next")), "node")
+    rows = edges.where("src <> dst").select(F.col(at).alias("node"), F.col(to).alias("next"))
+    return cut(rows) if most is not None and most <= FEW_ROUNDS else bucketed(rows, "node")
 
 
 def closure(edges: DataFrame, targets: DataFrame, direction: str = "in", max_depth: int | None = None) -> DataFrame:
@@ -40,7 +45,7 @@ def closure(edges: DataFrame, targets: DataFrame, direction: str = "in", max_dep
     ``targets`` has the column node_id; every target has itself at depth 0.
     """
     places = numbered(targets)
-    rounds = spread(_step(edges, direction), seeds_of(places), max_depth)
+    rounds = spread(_step(edges, direction, max_depth), seeds_of(places), max_depth)
     each = [t.where("fresh <> 0").select("node", "block", "fresh", F.lit(k).alias("depth")) for k, t in enumerate(rounds)]
     return members_of(reduce(DataFrame.unionByName, each), places, "fresh").select("node", "target", "depth")
 
@@ -124,7 +129,7 @@ class _Search:
     """Breadth-first search from one node, level by level: ``table`` has (node, depth, parent), the parent being the smallest of a level nearer."""
 
     def __init__(self, graph: PropertyGraph, start: str, direction: str, most: int | None = None):
-        self.step, self.most, self.depth = _step(graph.edges, direction), most, 0
+        self.step, self.most, self.depth = _step(graph.edges, direction, most), most, 0
         none = F.lit(None).cast("string")
         self.table, seen = counted(_one(graph, start).select(F.col("node_id").alias("node"), F.lit(0).alias("depth"), none.alias("parent")), n=F.count(F.lit(1)))
         self.size = seen["n"]
