@@ -356,3 +356,13 @@ def test_inputs_are_resolved(spark, tmp_path):
     for bad in (str(tmp_path / "none.callgraph.json"), str(tmp_path / "empty")):
         with pytest.raises(FileNotFoundError):
             readers.load_graph(spark, [plain, bad])
+
+
+def test_target_names_without_shuffled_joins(spark):
+    """Names are looked up without a shuffle of the nodes: unions of such joins fail on large tables, where shuffles are coalesced unlike."""
+    g = PropertyGraph.of(spark.createDataFrame([("a", "x"), ("b", "x"), ("x", "y"), ("c", None)], "node_id string, name string"), spark.createDataFrame([], "src string, dst string"))
+    found, missing = cover.target_set(g, ["x", "y", "c", "gone"])
+    assert {r[0] for r in found.collect()} == {"x", "c"} and [r[0] for r in missing.collect()] == ["gone"]
+    found, _ = cover.target_set(PropertyGraph(g.nodes.where("node_id <> 'x'"), g.edges), ["x"])
+    assert {r[0] for r in found.collect()} == {"a", "b"}
+    assert all("SortMergeJoin" not in t._jdf.queryExecution().toString() for t in (found, missing))
