@@ -78,9 +78,11 @@ def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, to = told.value
         total = np.zeros(len(first) - 1)
+        state = np.full(len(total), -1), np.zeros(len(total)), np.zeros(len(total))
         for part in parts:
-            for source in part["id"]:
-                _add_dependencies(int(source), first, to, total)
+            ids = part["id"].to_numpy()
+            for source in ids[first[ids + 1] > first[ids]]:  # what has no edges out is no source
+                _add_dependencies(int(source), first, to, total, state)
         on = np.flatnonzero(total)
         yield pd.DataFrame({"idx": on, "score": total[on]})
 
@@ -89,12 +91,15 @@ def betweenness(graph: PropertyGraph, broadcast_edges: int = 5_000_000, per_task
     return index.join(scores, "idx", "left").select("node_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def _add_dependencies(source: int, first: np.ndarray, to: np.ndarray, total: np.ndarray) -> None:
-    """Adds to ``total`` what shortest paths from one source pass through each node: counts by level, then back."""
-    n = len(total)
-    depth, paths = np.full(n, -1), np.zeros(n)
+def _add_dependencies(source: int, first: np.ndarray, to: np.ndarray, total: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Adds to ``total`` what shortest paths from one source pass through each node: counts by level, then back.
+
+    ``state`` (depths of -1, paths and shares of 0, for every node) is found and left
+    as it was; only the nodes that the source reaches are touched.
+    """
+    depth, paths, share = state
     depth[source], paths[source] = 0, 1.0
-    level, levels = np.array([source]), []
+    level, levels, reached = np.array([source]), [], [np.array([source])]
     while len(level):
         sizes = first[level + 1] - first[level]
         tail = np.repeat(level, sizes)
@@ -106,11 +111,13 @@ def _add_dependencies(source: int, first: np.ndarray, to: np.ndarray, total: np.
         np.add.at(paths, head, paths[tail])
         levels.append((tail, head))
         level = np.unique(head)
-    share = np.zeros(n)
+        reached.append(level)
     for tail, head in reversed(levels):
         np.add.at(share, tail, paths[tail] / paths[head] * (1 + share[head]))
     share[source] = 0
-    total += share
+    touched = np.concatenate(reached)
+    total[touched] += share[touched]
+    depth[touched], paths[touched], share[touched] = -1, 0.0, 0.0
 
 
 def betweenness_by_joins(graph: PropertyGraph, most_pairs: int = 20_000_000, first_batch: int = 64) -> DataFrame:

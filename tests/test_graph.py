@@ -6,6 +6,7 @@ import json
 import random
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from graphs import function, module, three_modules, unified
 from pyspark.sql import functions as F
@@ -366,3 +367,13 @@ def test_target_names_without_shuffled_joins(spark):
     found, _ = cover.target_set(PropertyGraph(g.nodes.where("node_id <> 'x'"), g.edges), ["x"])
     assert {r[0] for r in found.collect()} == {"a", "b"}
     assert all("SortMergeJoin" not in t._jdf.queryExecution().toString() for t in (found, missing))
+
+
+def test_betweenness_touches_what_a_source_reaches():
+    """A search from one source leaves other nodes alone, so its cost is that of what it reaches and not of the graph."""
+    first, to = np.array([0, 1, 2, 2, 3, 3]), np.array([1, 2, 4])  # 0 -> 1 -> 2, 3 -> 4
+    total, state = np.zeros(5), (np.full(5, -1), np.zeros(5), np.zeros(5))
+    state[0][3:], state[1][3:] = 7, np.nan  # marks that a search over all nodes would wipe out or spread
+    centrality._add_dependencies(0, first, to, total, state)
+    assert total.tolist() == [0, 1, 0, 0, 0]
+    assert state[0].tolist() == [-1, -1, -1, 7, 7] and state[1][:3].tolist() == [0, 0, 0] and state[2].tolist() == [0] * 5
