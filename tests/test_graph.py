@@ -12,7 +12,7 @@ from graphs import function, module, three_modules, unified
 from pyspark.sql import functions as F
 
 from graphline.model import PropertyGraph
-from graphline.operators import centrality, condense, cover, quality, reach, structure
+from graphline.operators import centrality, condense, cover, quality, reach, spread, structure
 from graphline.operators.explore import explore
 from graphline.operators.unify import unify
 from graphline.sources import readers, sinks
@@ -377,3 +377,22 @@ def test_betweenness_touches_what_a_source_reaches():
     centrality._add_dependencies(0, first, to, total, state)
     assert total.tolist() == [0, 1, 0, 0, 0]
     assert state[0].tolist() == [-1, -1, -1, 7, 7] and state[1][:3].tolist() == [0, 0, 0] and state[2].tolist() == [0] * 5
+
+
+def test_components_apart_are_found_together(spark, monkeypatch):
+    """Cycles that stand apart take one round, and counts write no set out for the nodes of a component."""
+    edges = [(f"{k}{a}", f"{k}{b}") for k in range(5) for a, b in (("a", "b"), ("b", "a"), ("b", "c"))]
+    g = PropertyGraph.of(spark.createDataFrame([(n,) for n in sorted({x for e in edges for x in e})], "node_id string"), spark.createDataFrame(edges, "src string, dst string"))
+    calls, real = [], condense.spread
+    monkeypatch.setattr(condense, "spread", lambda *a, **k: calls.append(1) or real(*a, **k))
+    counts = {r["node"]: r["n"] for r in reach.reach_totals(g.edges, g.nodes).collect()}
+    assert counts == {f"{k}{x}": 2 for k in range(5) for x in "ab"} and len(calls) == 1
+
+
+def test_rounds_write_what_is_new(spark):
+    """A layered graph is passed once: no round writes again what an earlier one has, and many targets need no components."""
+    step = spark.createDataFrame([("d", "c"), ("d", "b"), ("c", "b"), ("b", "a")], "node string, next string")
+    tables = spread.spread(step, spark.createDataFrame([("d", 0, 1)], "node string, block long, bits long"))
+    assert [sorted(column(t, "node")) for t in tables] == [["d"], ["b", "c"], ["a"]]
+    full = step.withColumn("ahead", F.lit(5).cast("long"))
+    assert spread.spread(full, spark.createDataFrame([("d", 0, 1)], "node string, block long, bits long"), enough=3) is None
