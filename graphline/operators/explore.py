@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphline.functions.labels import label, with_colour_index, with_hub, with_size
-from graphline.model import PropertyGraph
+from graphline.model import PropertyGraph, by_node
 from graphline.operators.reach import inbound_paths, k_hop_inbound, shortest_path
 from graphline.operators.structure import balanced_subgraph
 from graphline.plans.iterate import cut
@@ -59,9 +59,9 @@ def explore(graph: PropertyGraph, limit: int = 500, external_only: bool = False,
         edges = edges.union(spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "src string, dst string"))
     rendered = shown.induced(steps if path_only and path else cut(sample.nodes.select("node_id").union(steps).distinct()))
     degree = rendered.degrees().select("node_id", "degree")
-    sized = with_size(shown.nodes.select("node_id").join(shown.degrees(), "node_id"), size_mode).select("node_id", "size")
+    sized = with_size(shown.nodes.select("node_id").join(by_node(shown.degrees()), "node_id"), size_mode).select("node_id", "size")
     coloured = with_colour_index(shown.nodes.select("node_id", "program"), 8).select("node_id", "colour")
-    table = rendered.nodes.join(degree, "node_id").join(sized, "node_id").join(coloured, "node_id")
+    table = rendered.nodes.join(by_node(degree), "node_id").join(by_node(sized), "node_id").join(by_node(coloured), "node_id")
     table = with_hub(cut(table)) if size_mode == "degree" else table.withColumn("hub", F.lit(False))
     options = shown.nodes.select(F.col("node_id").alias("value"), label().alias("label")).orderBy("value")
     return View(elements(rendered, table, nodes, edges), paths, options, focus_message, path_message, path)

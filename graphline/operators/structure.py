@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphline.functions.labels import filled
-from graphline.model import PropertyGraph
+from graphline.model import PropertyGraph, by_node
 from graphline.operators.components import components
 from graphline.plans.iterate import cut
 from graphline.schema import UNKNOWN
@@ -33,7 +33,7 @@ def largest_component(graph: PropertyGraph) -> PropertyGraph:
 
 def top_degree(graph: PropertyGraph, k: int = 10) -> DataFrame:
     """node_id, program, degree of the k best-connected nodes; ties in node order."""
-    return graph.nodes.select("node_id", "program", "ord").join(graph.degrees().select("node_id", "degree"), "node_id").orderBy(F.desc("degree"), "ord", "node_id").limit(k).drop("ord")
+    return graph.nodes.select("node_id", "program", "ord").join(by_node(graph.degrees().select("node_id", "degree")), "node_id").orderBy(F.desc("degree"), "ord", "node_id").limit(k).drop("ord")
 
 
 def top_k_subgraph(graph: PropertyGraph, k: int | None = 200) -> PropertyGraph:
@@ -49,7 +49,7 @@ def balanced_sample(graph: PropertyGraph, limit: int) -> DataFrame:
     The quota is max(1, ceil(limit / programs)); programs come in the order of
     their first node, and the list is cut at ``limit`` in that order.
     """
-    rows = graph.nodes.select("node_id", "ord", F.coalesce(filled("program"), F.lit(UNKNOWN)).alias("program")).join(graph.degrees().select("node_id", "degree"), "node_id")
+    rows = graph.nodes.select("node_id", "ord", F.coalesce(filled("program"), F.lit(UNKNOWN)).alias("program")).join(by_node(graph.degrees().select("node_id", "degree")), "node_id")
     first = rows.groupBy("program").agg(F.min(F.struct("ord", "node_id")).alias("first"))
     programs = first.count()
     quota = max(1, math.ceil(limit / max(1, programs)))

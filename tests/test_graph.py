@@ -15,6 +15,7 @@ from graphline.model import PropertyGraph
 from graphline.operators import centrality, condense, cover, quality, reach, spread, structure
 from graphline.operators.explore import explore
 from graphline.operators.unify import unify
+from graphline.plans import iterate
 from graphline.sources import readers, sinks
 from graphline.streaming import ingest
 
@@ -396,3 +397,14 @@ def test_rounds_write_what_is_new(spark):
     assert [sorted(column(t, "node")) for t in tables] == [["d"], ["b", "c"], ["a"]]
     full = step.withColumn("ahead", F.lit(5).cast("long"))
     assert spread.spread(full, spark.createDataFrame([("d", 0, 1)], "node string, block long, bits long"), enough=3) is None
+
+
+def test_nodes_are_not_broadcast(spark, monkeypatch):
+    """Joins over all nodes aren't left to the estimate of their size, which is far too small for well compressed ids."""
+    g = PropertyGraph.of(spark.createDataFrame([("a", "P"), ("b", "Q")], "node_id string, program string"), spark.createDataFrame([("a", "b")], "src string, dst string"))
+    g = PropertyGraph(iterate.cut(g.nodes), iterate.cut(g.edges))
+    plans, real = [structure.top_degree(g, 2)], structure.cut
+    monkeypatch.setattr(structure, "cut", lambda df, *f: plans.append(df) or real(df, *f))
+    assert set(column(structure.balanced_sample(g, 2))) == {"a", "b"}
+    assert all("SortMergeJoin [node_id" in t._jdf.queryExecution().executedPlan().toString() for t in plans)
+    assert "BroadcastHashJoin" not in plans[0]._jdf.queryExecution().executedPlan().toString()
