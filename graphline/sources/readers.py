@@ -77,7 +77,7 @@ def with_order(docs: DataFrame, paths: Sequence[str] | None = None) -> DataFrame
     if paths is None:
         paths = sorted(unquote(p) for p in docs.inputFiles())
     order = docs.sparkSession.createDataFrame([(k, re.sub(ROOT, "/", p)) for k, p in enumerate(paths)], "file int, given string")
-    return docs.join(order, F.regexp_replace("path", ROOT, "/") == F.col("given")).drop("given")
+    return docs.join(F.broadcast(order), F.regexp_replace("path", ROOT, "/") == F.col("given")).drop("given")  # one row per file
 
 
 def truth(text: str) -> Column:

@@ -408,3 +408,10 @@ def test_nodes_are_not_broadcast(spark, monkeypatch):
     assert set(column(structure.balanced_sample(g, 2))) == {"a", "b"}
     assert all("SortMergeJoin [node_id" in t._jdf.queryExecution().executedPlan().toString() for t in plans)
     assert "BroadcastHashJoin" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_not_shuffled_for_their_order(spark, tmp_path):
+    three_modules(tmp_path)
+    docs = readers.with_order(readers.documents(spark, str(tmp_path), "*.json"))
+    assert sorted(r["file"] for r in docs.select("file").collect()) == [0, 1, 2]
+    assert "Exchange hashpartitioning" not in docs._jdf.queryExecution().executedPlan().toString()
