@@ -1,6 +1,6 @@
 """Unifying module graphs: imports resolved across modules, aliases, layers and kinds of edges.
 
-One lazy plan without state: real functions take their ids first, and a
+Without state: real functions take their ids first, and a
 placeholder is made only for a symbol that no module defines, so the outcome
 doesn't depend on the order of the files. Symbols are matched in upper case and
 keep the case of their first definition.
@@ -9,32 +9,24 @@ keep the case of their first definition.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphline.functions.labels import filled, has_prefix, is_alias, normalised_module, symbol_name
-from graphline.model import PropertyGraph
+from graphline.model import PropertyGraph, by_node
 from graphline.operators import quality
 from graphline.operators.reach import has_path
+from graphline.plans.buckets import bucketed
 from graphline.plans.iterate import cut
 from graphline.schema import EDGES, LIBRARY, NODES, SYSCALL, conform
-from graphline.sources.readers import module_edges, module_exports, module_functions, module_imports
+from graphline.sources.readers import module_exports, module_imports, module_lists
 
 DEFAULT_HOST = "KERNELBASE.DLL"
 SYSCALL_MODULE, SYSCALL_PREFIXES = "NTDLL.DLL", ("Nt", "Zw")
 
 
-@dataclass
-class Unified:
-    """graph; kinds: (src, dst, kinds) with all kinds of a pair; unresolved: (module, symbol, n_refs)."""
-
-    graph: PropertyGraph
-    kinds: DataFrame
-    unresolved: DataFrame
-
-
 def alias_hosts(metadata: DataFrame) -> DataFrame:
     """(module, host) of alias modules: DEFAULT_HOST if they import from it, else their last import that is no alias, else DEFAULT_HOST."""
     named = metadata.where(is_alias("module")).select("module", F.posexplode_outer("imports").alias("pos", "i")).select("module", "pos", normalised_module("i.module").alias("host"))
@@ -49,66 +41,131 @@ def resolved(rows: DataFrame, column: str, hosts: DataFrame) -> DataFrame:
     return found.withColumn(column, F.coalesce("host", F.when(is_alias(column), F.lit(DEFAULT_HOST)).otherwise(F.col(column)))).drop("alias", "host")
 
 
+def place(of: str = "ord") -> Column:
+    """An ord as one number in the same order; its side is always 0 here."""
+    return F.shiftleft(F.col(f"{of}.file").cast("long"), 32) + F.shiftleft(F.col(f"{of}.phase").cast("long"), 31) + F.col(f"{of}.pos")
+
+
+def ord_of(place: str) -> Column:
+    """The ord that a number stands for."""
+    file, phase, pos = F.shiftright(place, 32), F.shiftright(place, 31).bitwiseAND(F.lit(1)), F.col(place).bitwiseAND(F.lit((1 << 31) - 1))
+    return F.when(F.col(place).isNotNull(), F.struct(file.cast("int").alias("file"), phase.cast("int").alias("phase"), pos.cast("int").alias("pos"), F.lit(0).alias("side")))
+
+
+#: Kinds of edges in the order in which they are found; of several kinds of a pair the last one shows. Forwarders come from stubs, then from alias modules.
+KINDS = ("direct", "import", "forwarder", "forwarder", "syscall")
+
+
+class Unified:
+    """What ``unify`` found; each part is planned, and made, only when it is asked for.
+
+    nodes; paired: (src, dst, kind, kinds, ord), with all kinds of a pair; graph: both in tables; kinds: (src, dst,
+    kinds); unresolved: (module, symbol, n_refs).
+    """
+
+    def __init__(self, f: DataFrame, calls: DataFrame, exports: DataFrame, imports: DataFrame, hosts: DataFrame):
+        self.f, self.calls = f, calls
+        keys = ["module", "symbol_uc"]
+        self.stubs = f.where("imported AND name <> ''").select("module", "node_id", "entry_point", "place", "name", F.upper("name").alias("symbol_uc"))
+        # dealt by what they are joined on before they are made distinct, so that they aren't dealt again
+        self.imports = imports.repartition(*keys).dropDuplicates()
+        self.forwarded = self.stubs.join(by_node(self.imports), keys)
+        self.aliased = exports.join(hosts, "module").select("module", "host", "symbol", "symbol_uc")
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """(module, symbol_uc, symbol, id, made): ids by module and symbol: a defined function first, else an imported one, else a placeholder. An edge leads to a stub, so its target is one of the stubs'."""
+        wanted = self.forwarded.select(F.col("target").alias("module"), F.col("name").alias("symbol")).union(self.aliased.select("module", "symbol")).union(self.aliased.select("host", "symbol"))
+        wanted = wanted.withColumn("symbol_uc", F.upper("symbol")).groupBy("module", "symbol_uc").agg(F.min("symbol").alias("symbol"))
+        own = self.f.where("leads").select("module", "symbol_uc", F.col("node_id").alias("own_id"))
+        found = wanted.join(by_node(own), ["module", "symbol_uc"], "left")
+        return cut(found.select("module", "symbol_uc", "symbol", F.coalesce("own_id", F.concat_ws("!", "module", "symbol")).alias("id"), F.col("own_id").isNull().alias("made")))
+
+    def _calls_out(self) -> DataFrame:
+        return self.f.where((F.col("module") == SYSCALL_MODULE) & has_prefix(F.coalesce("name", F.lit("")), SYSCALL_PREFIXES, False)).withColumn("syscall", F.concat(F.lit("SYSCALL:"), "name"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        functions = self.f.select("node_id", F.col("module").alias("program"), F.col("symbol").alias("name"), F.col("entry_point").alias("address"), F.col("imported").alias("is_external"), "calling_convention", "source", F.lit(LIBRARY).alias("layer"), ord_of("place").alias("ord"))
+        made = self.named.where("made").select(F.col("id").alias("node_id"), F.col("module").alias("program"), F.col("symbol").alias("name"), F.lit(True).alias("is_external"), F.lit("SYNTHETIC").alias("source"), F.lit(LIBRARY).alias("layer"))
+        syscalls = self._calls_out().select(F.col("syscall").alias("node_id"), F.lit("SYSCALL").alias("program"), "name", F.lit(True).alias("is_external"), F.lit("SYSCALL").alias("source"), F.lit(SYSCALL).alias("layer")).distinct()
+        return reduce(DataFrame.unionByName, [conform(n, NODES) for n in (functions, made, syscalls)])
+
+    @cached_property
+    def leads(self) -> DataFrame:
+        """(src, dst, module, entry_point, place): where each stub leads."""
+        to = self.named.select(F.col("module").alias("target"), "symbol_uc", F.col("id").alias("dst"))
+        return cut(self.forwarded.select(F.col("node_id").alias("src"), "module", "entry_point", "place", "target", "symbol_uc").join(by_node(to), ["target", "symbol_uc"]).select("src", "dst", "module", "entry_point", "place"))
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        """(module, src, to, by_import, unled, place) of calls between functions that stay: the ids that a call leads to, or the name of an import that nothing provides."""
+        keys = ["module", "entry_point"]
+        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("place")))
+        at = self.f.where("entry_point <> ''").select(*keys, "node_id", "place", "imported", "name").withColumn("last", last).where("last = 1")
+        led = self.leads.where("entry_point <> ''").groupBy(*keys).agg(F.collect_list(F.struct("place", "dst")).alias("led"))
+        by_import = F.col("imported") & (F.coalesce("name", F.lit("")) != "")
+        none = F.array().cast("array<string>")
+        own = F.coalesce(F.transform(F.filter("led", lambda d: d["place"] == F.col("place")), lambda d: d["dst"]), none)
+        at = at.join(by_node(led), keys, "left").select(*keys, "node_id", by_import.alias("by_import"), F.when(by_import, own).otherwise(F.array("node_id")).alias("to"), F.when(by_import & (F.size(own) == 0), F.col("name")).alias("unled"))
+        at = bucketed(at, *keys, dealt=True)
+        found = self.calls.join(by_node(at.select("module", F.col("entry_point").alias("caller"), F.col("node_id").alias("src"))), ["module", "caller"])
+        return found.join(by_node(at.select("module", F.col("entry_point").alias("callee"), "to", "by_import", "unled")), ["module", "callee"]).select("module", "src", "to", "by_import", "unled", "place")
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        none = F.lit(None).cast("long").alias("place")
+        ids = self.named.select("module", "symbol_uc", "id")
+        aliases = self.aliased.join(ids.withColumnRenamed("id", "src"), ["module", "symbol_uc"]).join(ids.select(F.col("module").alias("host"), "symbol_uc", F.col("id").alias("dst")), ["host", "symbol_uc"])
+        # kinds are bits by their place in KINDS
+        bit = lambda k: F.lit(1 << k).alias("bits")
+        every = self.ends.select("src", F.explode("to").alias("dst"), F.when(F.col("by_import"), 2).otherwise(1).alias("bits"), "place")
+        every = every.union(self.leads.select("src", "dst", bit(2), "place")).union(aliases.select("src", "dst", bit(3), none)).union(self._calls_out().select("node_id", "syscall", bit(4), "place"))
+        pairs = every.groupBy("src", "dst").agg(F.bit_or("bits").alias("bits"), F.min("place").alias("place"))
+        held = [F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, kind) for k, kind in enumerate(KINDS)]
+        return pairs.select("src", "dst", F.coalesce(*reversed(held)).alias("kind"), F.array_sort(F.array_distinct(F.array_compact(F.array(*held)))).alias("kinds"), ord_of("place").alias("ord"))
+
+    @property
+    def edges(self) -> DataFrame:
+        return conform(self.paired, EDGES)
+
+    @property
+    def kinds(self) -> DataFrame:
+        return self.paired.select("src", "dst", "kinds")
+
+    @cached_property
+    def graph(self) -> PropertyGraph:
+        self.ends = cut(self.ends)
+        self.paired = cut(self.paired)
+        return PropertyGraph(cut(self.nodes), self.edges, {})
+
+    @cached_property
+    def unresolved(self) -> DataFrame:
+        by = ["module", F.col("name").alias("symbol")]
+        loose = self.stubs.join(by_node(self.imports), ["module", "symbol_uc"], "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("own"))
+        used = self.ends.where("unled IS NOT NULL").groupBy("module", F.col("unled").alias("symbol")).agg(F.count(F.lit(1)).alias("calls"))
+        return cut(loose.join(used, ["module", "symbol"], "left").select("module", "symbol", (F.col("own") + F.coalesce("calls", F.lit(0))).alias("n_refs")))
+
+
 def unify(docs: DataFrame, metadata: DataFrame, include_internal: bool = False) -> Unified:
     """``docs``: module graph documents with their order; ``metadata``: one row per module."""
     exports, hosts = module_exports(metadata), cut(alias_hosts(metadata))
-    imports = resolved(module_imports(metadata), "target", hosts).where("target <> ''").select("module", "symbol_uc", "target").distinct()
-
-    # functions that stay, with their ids
-    f = module_functions(docs).withColumn("module", normalised_module("program")).withColumn("symbol", symbol_name()).withColumn("symbol_uc", F.upper("symbol"))
-    f = f.join(exports.select("module", "symbol_uc", F.lit(True).alias("exported")).distinct(), ["module", "symbol_uc"], "left")
-    imported = F.coalesce(F.col("source") == "IMPORTED", F.lit(False))
-    f = f.withColumn("imported", imported).withColumn("exported", F.coalesce("exported", F.lit(False))).where(F.col("imported") | F.col("exported") | F.lit(include_internal))
-    nth = F.row_number().over(Window.partitionBy("module", "symbol").orderBy("ord"))
+    imports = resolved(module_imports(metadata), "target", hosts).where("target <> ''").select("module", "symbol_uc", "target")
+    functions, calls = module_lists(docs)
+
+    # functions that stay, with their ids; dealt once, by what the windows and the join share
+    keys = ["module", "symbol_uc"]
+    f = functions.withColumn("module", normalised_module("program")).withColumn("symbol", symbol_name()).withColumn("symbol_uc", F.upper("symbol")).withColumn("place", place())
+    f = f.select(*keys, "symbol", "name", "entry_point", "calling_convention", "source", "place", F.coalesce(F.col("source") == "IMPORTED", F.lit(False)).alias("imported"))
+    listed = exports.select(*keys).repartition(*keys).dropDuplicates().withColumn("exported", F.lit(True))
+    f = f.join(by_node(listed), keys, "left").withColumn("exported", F.coalesce("exported", F.lit(False))).where(F.col("imported") | F.col("exported") | F.lit(include_internal))
+    nth = F.row_number().over(Window.partitionBy(*keys, "symbol").orderBy("place"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("imported", "place"))
     base = F.concat_ws("!", "module", "symbol")
-    f = f.withColumn("node_id", F.when(nth == 1, base).otherwise(F.concat(base, F.lit("@"), F.coalesce("entry_point", F.lit("")))))
-    f = cut(f.withColumn("source", F.coalesce(filled("source"), F.when(F.col("exported"), "EXPORTED"))))
-    functions = f.select("node_id", F.col("module").alias("program"), "symbol", F.col("entry_point").alias("address"), F.col("imported").alias("is_external"), "calling_convention", "source", "ord").withColumnRenamed("symbol", "name").withColumn("layer", F.lit(LIBRARY))
-
-    # edges between functions that stay
-    at = f.where("entry_point <> ''").groupBy("module", "entry_point").agg(F.max_by(F.struct("node_id", "imported", "name"), "ord").alias("f"))
-    calls = module_edges(docs).withColumn("module", normalised_module("program"))
-    ends = calls.join(at.select("module", F.col("entry_point").alias("caller"), F.col("f.node_id").alias("src")), ["module", "caller"])
-    ends = ends.join(at.select("module", F.col("entry_point").alias("callee"), F.col("f").alias("to")), ["module", "callee"])
-    ends = cut(ends.select("module", "src", "to.*", "ord"))
-    by_import = F.col("imported") & (F.coalesce("name", F.lit("")) != "")
-    direct = ends.where(~by_import).select("src", F.col("node_id").alias("dst"), F.lit("direct").alias("kind"), "ord")
-    provided = ends.where(by_import).select("module", "src", "name", "ord").withColumn("symbol_uc", F.upper("name")).join(imports, ["module", "symbol_uc"])
-    provided = provided.select("src", F.col("target").alias("to_module"), F.col("name").alias("to_symbol"), F.lit("import").alias("kind"), "ord")
-    stubs = f.where("imported AND name <> ''").select("module", F.col("node_id").alias("src"), "name", "ord").withColumn("symbol_uc", F.upper("name"))
-    forwarded = stubs.join(imports, ["module", "symbol_uc"]).select("src", F.col("target").alias("to_module"), F.col("name").alias("to_symbol"), F.lit("forwarder").alias("kind"), "ord")
-
-    # symbols of alias modules lead to their hosts
-    aliased = exports.join(hosts, "module").select("module", "host", "symbol", "symbol_uc")
-    # ids by (module, symbol): a defined function first, else an imported one, else a placeholder
-    wanted = provided.select(F.col("to_module").alias("module"), F.col("to_symbol").alias("symbol")).union(forwarded.select("to_module", "to_symbol")).union(aliased.select("module", "symbol")).union(aliased.select("host", "symbol"))
-    wanted = wanted.groupBy("module", F.upper("symbol").alias("symbol_uc")).agg(F.min("symbol").alias("symbol"))
-    own = f.groupBy("module", "symbol_uc").agg(F.min_by("node_id", F.struct("imported", "ord")).alias("own_id"))
-    named = wanted.join(own, ["module", "symbol_uc"], "left")
-    named = cut(named.select("module", "symbol_uc", "symbol", F.coalesce("own_id", F.concat_ws("!", "module", "symbol")).alias("id"), F.col("own_id").isNull().alias("made")))
-    made = named.where("made").select(F.col("id").alias("node_id"), F.col("module").alias("program"), F.col("symbol").alias("name"), F.lit(True).alias("is_external"), F.lit("SYNTHETIC").alias("source"), F.lit(LIBRARY).alias("layer"))
-
-    to = named.select(F.col("module").alias("to_module"), F.col("symbol_uc").alias("to_uc"), F.col("id").alias("dst"))
-    crossing = provided.union(forwarded).withColumn("to_uc", F.upper("to_symbol")).join(to, ["to_module", "to_uc"]).select("src", "dst", "kind", "ord")
-    ids = named.select("module", "symbol_uc", "id")
-    alias_edges = aliased.join(ids.withColumnRenamed("id", "src"), ["module", "symbol_uc"]).join(ids.select(F.col("module").alias("host"), "symbol_uc", F.col("id").alias("dst")), ["host", "symbol_uc"])
-    no_ord = F.lit(None).cast(NODES["ord"])
-    alias_edges = alias_edges.select("src", "dst", F.lit("forwarder").alias("kind"), no_ord.alias("ord"))
-
-    calls_out = f.where((F.col("module") == SYSCALL_MODULE) & has_prefix(F.coalesce("name", F.lit("")), SYSCALL_PREFIXES, False))
-    syscall_id = F.concat(F.lit("SYSCALL:"), "name")
-    syscalls = calls_out.select(syscall_id.alias("node_id"), F.lit("SYSCALL").alias("program"), "name", F.lit(True).alias("is_external"), F.lit("SYSCALL").alias("source"), F.lit(SYSCALL).alias("layer")).distinct()
-    syscall_edges = calls_out.select(F.col("node_id").alias("src"), syscall_id.alias("dst"), F.lit("syscall").alias("kind"), "ord")
-
-    nodes = reduce(DataFrame.unionByName, [conform(n, NODES) for n in (functions, made, syscalls)])
-    every = reduce(DataFrame.unionByName, [e.withColumn("phase", F.lit(k)) for k, e in enumerate((direct, crossing.where("kind = 'import'"), crossing.where("kind = 'forwarder'"), alias_edges, syscall_edges))])
-    # of several kinds of a pair the last one shows
-    paired = cut(every.groupBy("src", "dst").agg(F.max_by("kind", "phase").alias("kind"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.min("ord").alias("ord")))
-
-    loose = stubs.join(imports, ["module", "symbol_uc"], "left_anti").groupBy("module", F.col("name").alias("symbol")).agg(F.count(F.lit(1)).alias("own"))
-    used = ends.where(by_import).select("module", "name", F.upper("name").alias("symbol_uc")).join(imports, ["module", "symbol_uc"], "left_anti").groupBy("module", F.col("name").alias("symbol")).agg(F.count(F.lit(1)).alias("calls"))
-    unresolved = loose.join(used, ["module", "symbol"], "left").select("module", "symbol", (F.col("own") + F.coalesce("calls", F.lit(0))).alias("n_refs"))
-    return Unified(PropertyGraph(cut(nodes), conform(paired, EDGES), {}), paired.select("src", "dst", "kinds"), unresolved)
+    f = f.withColumn("node_id", F.when(nth == 1, base).otherwise(F.concat(base, F.lit("@"), F.coalesce("entry_point", F.lit(""))))).withColumn("leads", first == 1)
+    f = cut(f.withColumn("source", F.coalesce(filled("source"), F.when(F.col("exported"), "EXPORTED"))).drop("exported"))
+    calls = calls.select(normalised_module("program").alias("module"), "caller", "callee", place().alias("place"))
+    return Unified(f, calls, exports, imports, hosts)
 
 
 #: Paths that a graph of the system's modules should have: fixed values of the acceptance step.

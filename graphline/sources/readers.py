@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from graphline.functions.labels import filled, module_of_file, normalised_module
 from graphline.functions.symbols import fixed_version, is_binary, pe_header
 from graphline.model import PropertyGraph, merged
+from graphline.plans.iterate import cut
 from graphline.schema import EDGES, GRAPH_DOCUMENT, METADATA_DOCUMENT, NODES, conform
 from graphline.sources.ranges import PART_BYTES, Elements, elements, is_part, size_of
 
@@ -58,13 +59,19 @@ def documents(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    text = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select("value", plain_path(F.col("_metadata.file_path")).alias("path"))
+    return documents_of(reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select("value", plain_path(F.col("_metadata.file_path")).alias("path")))
+
+
+def documents_of(texts: DataFrame) -> DataFrame:
+    """The same of a table (path, value) that holds one document per row; its other columns stay, so that it may bring ``file``, the order of the documents."""
     name = F.element_at(F.split("path", "/"), -1)
     parsed = F.from_json("value", GRAPH_DOCUMENT, {"mode": "PERMISSIVE"})
     whole = F.try_parse_json("value")
-    is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
-    rows = text.select("path", name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), is_object.alias("parsed"), F.when(is_object, parsed).alias("doc"), F.when(is_object, whole).alias("raw"))
-    return rows.select("path", "file_name", "stem", "parsed", "doc.*", "raw")
+    # JSON that begins with a brace is an object; asking for the schema of all it holds takes longer than parsing it
+    is_object = whole.isNotNull() & F.col("value").rlike(r"^[ \t\r\n]*\{")
+    more = [c for c in texts.columns if c not in ("path", "value")]
+    rows = texts.select("path", *more, name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), is_object.alias("parsed"), F.when(is_object, parsed).alias("doc"), F.when(is_object, whole).alias("raw"))
+    return rows.select("path", *more, "file_name", "stem", "parsed", "doc.*", "raw")
 
 
 def kind() -> Column:
@@ -110,8 +117,11 @@ def members(docs: DataFrame | Elements, of_kind: str, key: str) -> DataFrame:
 
 def module_functions(docs: DataFrame | Elements) -> DataFrame:
     """Functions of module graphs with program, file and position; those without an entry point are kept, with null."""
-    f = members(docs, "callgraph", "functions")
-    return f.select("path", "file", "program", "pos", "e.*").withColumn("is_external", truth("is_external")).withColumn("ord", order(0))
+    return _functions(members(docs, "callgraph", "functions").select("path", "file", "program", "pos", "e.*"))
+
+
+def _functions(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("is_external", truth("is_external")).withColumn("ord", order(0))
 
 
 def order(phase: int, side: Column | int = 0, pos: str = "pos") -> Column:
@@ -120,16 +130,36 @@ def order(phase: int, side: Column | int = 0, pos: str = "pos") -> Column:
 
 def module_edges(docs: DataFrame | Elements) -> DataFrame:
     """Call edges of module graphs: program, caller, callee, ord; those with a null end are left out."""
-    e = members(docs, "callgraph", "edges")
-    return e.select("path", "file", "program", "pos", "e.caller", "e.callee").where("caller IS NOT NULL AND callee IS NOT NULL").withColumn("ord", order(1))
+    return _edges(members(docs, "callgraph", "edges").select("path", "file", "program", "pos", "e.caller", "e.callee"))
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    return rows.where("caller IS NOT NULL AND callee IS NOT NULL").withColumn("ord", order(1))
+
+
+def module_lists(docs: DataFrame | Elements) -> tuple[DataFrame, DataFrame]:
+    """``module_functions`` and ``module_edges``, for plans that read them more than once: documents are parsed once, and their elements are rows of a table."""
+    if isinstance(docs, Elements):
+        return module_functions(docs), module_edges(docs)
+    of = StructType.fromDDL(GRAPH_DOCUMENT)["functions"].dataType.elementType.names
+    ends, none = ["caller", "callee"], F.lit(None).cast("string")
+    part = lambda kind, e, i, held: F.struct(F.lit(kind).alias("edge"), i.alias("pos"), *[(e[c] if c in held else none).alias(c) for c in (*of, *ends)])
+    functions = F.transform("functions", lambda e, i: part(False, e, i, of))
+    calls = F.transform(F.coalesce("edges", F.array().cast(docs.schema["edges"].dataType)), lambda e, i: part(True, e, i, ends))
+    name = F.coalesce(filled("program"), "stem").alias("program")
+    # a condition on what is parsed, also the one that Spark adds to explode, would parse the text once more; documents of another kind have no functions
+    rows = docs.select("path", "file", name, F.explode_outer(F.concat(functions, calls)).alias("e"))
+    rows = cut(rows.where("e IS NOT NULL").select("path", "file", "program", "e.*"))
+    at = ["path", "file", "program", "pos"]
+    return _functions(rows.where("NOT edge").select(*at, *of)), _edges(rows.where("edge").select(*at, *ends))
 
 
 def module_graph(docs: DataFrame | Elements) -> PropertyGraph:
     """Nodes program:address of module graphs; endpoints that no function declares become external nodes without a name."""
     at = lambda c: F.concat_ws(":", "program", c)
-    functions = module_functions(docs).where("entry_point IS NOT NULL").withColumn("node_id", at("entry_point")).withColumn("address", F.col("entry_point"))
+    functions, calls = module_lists(docs)
+    functions = functions.where("entry_point IS NOT NULL").withColumn("node_id", at("entry_point")).withColumn("address", F.col("entry_point"))
     declared = conform(functions, NODES).withColumn("turn", F.col("ord.file"))
-    calls = module_edges(docs)
     ends = calls.select("program", "file", "pos", F.col("caller").alias("address"), F.lit(0).alias("side")).union(calls.select("program", "file", "pos", "callee", F.lit(1)))
     loose = ends.withColumn("node_id", at("address")).join(declared.select("node_id"), "node_id", "left_anti")
     loose = loose.withColumn("is_external", F.lit(True)).withColumn("ord", order(1, F.col("side"))).withColumn("turn", F.col("file"))

@@ -415,3 +415,24 @@ def test_documents_are_not_shuffled_for_their_order(spark, tmp_path):
     docs = readers.with_order(readers.documents(spark, str(tmp_path), "*.json"))
     assert sorted(r["file"] for r in docs.select("file").collect()) == [0, 1, 2]
     assert "Exchange hashpartitioning" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unify_plans_what_is_asked_for(spark):
+    """Documents of a table are parsed once, and nodes alone need no edges."""
+    texts = [
+        ("a.dll", '{"program": "a.dll", "functions": [{"entry_point": "1", "name": "Run"}, {"entry_point": "2", "name": "Go", "source": "IMPORTED"}, {"entry_point": "3", "name": "Lost", "source": "IMPORTED"}], "edges": [{"caller": "1", "callee": "2"}, {"caller": "1", "callee": "3"}, {"caller": "1", "callee": null}]}', 1),
+        ("b.dll", ' \n{"program": "b.dll", "functions": [{"entry_point": "1", "name": "go"}]}', 0),
+        ("bad", "{", 2), ("list", '[{"functions": []}]', 3), ("other", '{"nodes": [], "edges": []}', 4),
+    ]
+    docs = readers.documents_of(spark.createDataFrame(texts, "path string, value string, file int"))
+    assert [r["parsed"] for r in docs.orderBy("file").collect()] == [True, True, False, False, True]
+    functions, calls = readers.module_lists(docs)
+    for rows in (functions, calls):
+        assert "from_json" not in rows._jdf.queryExecution().toString()
+    assert functions.count() == readers.module_functions(docs).count() == 4 and calls.count() == readers.module_edges(docs).count() == 2
+    meta = spark.createDataFrame([("A.DLL", [("b", [("Go",)])], [("Run",)], None), ("B.DLL", [], [("go",)], None)], "module string, imports array<struct<module:string,functions:array<struct<name:string>>>>, exports array<struct<name:string>>, path string")
+    found = unify(docs, meta)
+    assert {r["node_id"] for r in found.nodes.collect()} == {"A.DLL!Run", "A.DLL!Go", "A.DLL!Lost", "B.DLL!go"}
+    assert not {"ends", "paired", "leads"} & set(vars(found))
+    assert {tuple(r) for r in found.edges.select("src", "dst", "kind").collect()} == {("A.DLL!Run", "B.DLL!go", "import"), ("A.DLL!Go", "B.DLL!go", "forwarder")}
+    assert [tuple(r) for r in found.unresolved.collect()] == [("A.DLL", "Lost", 2)]
