@@ -151,7 +151,7 @@ def unify(docs: DataFrame, metadata: DataFrame, include_internal: bool = False)
     """``docs``: module graph documents with their order; ``metadata``: one row per module."""
     exports, hosts = module_exports(metadata), cut(alias_hosts(metadata))
     imports = resolved(module_imports(metadata), "target", hosts).where("target <> ''").select("module", "symbol_uc", "target")
-    functions, calls = module_lists(docs)
+    functions, calls, _ = module_lists(docs)
 
     # functions that stay, with their ids; dealt once, by what the windows and the join share
     keys = ["module", "symbol_uc"]

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from graphline.functions.labels import filled, module_of_file, normalised_module
 from graphline.functions.symbols import fixed_version, is_binary, pe_header
 from graphline.model import PropertyGraph, merged
-from graphline.plans.iterate import cut
+from graphline.plans.iterate import counted
 from graphline.schema import EDGES, GRAPH_DOCUMENT, METADATA_DOCUMENT, NODES, conform
 from graphline.sources.ranges import PART_BYTES, Elements, elements, is_part, size_of
 
@@ -137,10 +137,10 @@ def _edges(rows: DataFrame) -> DataFrame:
     return rows.where("caller IS NOT NULL AND callee IS NOT NULL").withColumn("ord", order(1))
 
 
-def module_lists(docs: DataFrame | Elements) -> tuple[DataFrame, DataFrame]:
-    """``module_functions`` and ``module_edges``, for plans that read them more than once: documents are parsed once, and their elements are rows of a table."""
+def module_lists(docs: DataFrame | Elements) -> tuple[DataFrame, DataFrame, int]:
+    """``module_functions`` and ``module_edges``, for plans that read them more than once, and how many both are at the most: documents are parsed once, and their elements are rows of a table."""
     if isinstance(docs, Elements):
-        return module_functions(docs), module_edges(docs)
+        return module_functions(docs), module_edges(docs), docs.rows.count()
     of = StructType.fromDDL(GRAPH_DOCUMENT)["functions"].dataType.elementType.names
     ends, none = ["caller", "callee"], F.lit(None).cast("string")
     part = lambda kind, e, i, held: F.struct(F.lit(kind).alias("edge"), i.alias("pos"), *[(e[c] if c in held else none).alias(c) for c in (*of, *ends)])
@@ -149,38 +149,55 @@ def module_lists(docs: DataFrame | Elements) -> tuple[DataFrame, DataFrame]:
     name = F.coalesce(filled("program"), "stem").alias("program")
     # a condition on what is parsed, also the one that Spark adds to explode, would parse the text once more; documents of another kind have no functions
     rows = docs.select("path", "file", name, F.explode_outer(F.concat(functions, calls)).alias("e"))
-    rows = cut(rows.where("e IS NOT NULL").select("path", "file", "program", "e.*"))
+    rows, seen = counted(rows.where("e IS NOT NULL").select("path", "file", "program", "e.*"), n=F.count(F.lit(1)))
     at = ["path", "file", "program", "pos"]
-    return _functions(rows.where("NOT edge").select(*at, *of)), _edges(rows.where("edge").select(*at, *ends))
+    return _functions(rows.where("NOT edge").select(*at, *of)), _edges(rows.where("edge").select(*at, *ends)), seen["n"]
 
 
 def module_graph(docs: DataFrame | Elements) -> PropertyGraph:
     """Nodes program:address of module graphs; endpoints that no function declares become external nodes without a name."""
     at = lambda c: F.concat_ws(":", "program", c)
-    functions, calls = module_lists(docs)
+    functions, calls, n = module_lists(docs)
     functions = functions.where("entry_point IS NOT NULL").withColumn("node_id", at("entry_point")).withColumn("address", F.col("entry_point"))
     declared = conform(functions, NODES).withColumn("turn", F.col("ord.file"))
     ends = calls.select("program", "file", "pos", F.col("caller").alias("address"), F.lit(0).alias("side")).union(calls.select("program", "file", "pos", "callee", F.lit(1)))
     loose = ends.withColumn("node_id", at("address")).join(declared.select("node_id"), "node_id", "left_anti")
     loose = loose.withColumn("is_external", F.lit(True)).withColumn("ord", order(1, F.col("side"))).withColumn("turn", F.col("file"))
-    nodes = merged(declared.unionByName(conform(loose, NODES).withColumn("turn", F.col("ord.file"))), ["node_id"], list(NODES))
+    nodes = merged(declared.unionByName(conform(loose, NODES).withColumn("turn", F.col("ord.file"))), ["node_id"], list(NODES), 2 * n)
     edges = calls.select(at("caller").alias("src"), at("callee").alias("dst"), F.lit(None).cast("string").alias("kind"), "ord", F.col("file").alias("turn"))
-    return PropertyGraph(nodes, merged(edges, ["src", "dst"], list(EDGES)), {})
+    return PropertyGraph(nodes, merged(edges, ["src", "dst"], list(EDGES), n), {})
 
 
 def unified_graph(docs: DataFrame | Elements) -> PropertyGraph:
     """Nodes by id (or node_id); further keys of a node are kept in attrs; endpoints that aren't declared become nodes without attributes."""
+    listed, e, n = _unified_lists(docs)
     known = ["id", "node_id", *NODES]
     rest = F.map_filter(F.expr("try_variant_get(whole, '$', 'map<string,variant>')"), lambda k, _: ~k.isin(known))
-    declared = members(docs, "unified", "nodes").select("file", "pos", "e.*", F.transform_values(rest, lambda _, v: v.cast("string")).alias("attrs"))
+    declared = listed.select("file", "pos", "e.*", F.transform_values(rest, lambda _, v: v.cast("string")).alias("attrs"))
     declared = declared.withColumn("node_id", F.coalesce(filled("id"), filled("node_id"))).where("node_id IS NOT NULL")
     declared = declared.withColumn("is_external", truth("is_external")).withColumn("ord", order(0)).withColumn("turn", F.col("file"))
     declared = conform(declared, NODES).withColumn("turn", F.col("ord.file"))
-    e = members(docs, "unified", "edges").select("file", "pos", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.kind").where("src <> '' AND dst <> ''")
+    e = e.select("file", "pos", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.kind").where("src <> '' AND dst <> ''")
     ends = e.select("file", "pos", F.col("src").alias("node_id"), F.lit(0).alias("side")).union(e.select("file", "pos", "dst", F.lit(1)))
     loose = conform(ends.join(declared.select("node_id"), "node_id", "left_anti").withColumn("ord", order(1, F.col("side"))), NODES).withColumn("turn", F.col("ord.file"))
     edges = e.withColumn("ord", order(1)).withColumn("turn", F.col("file")).select("src", "dst", "kind", "ord", "turn")
-    return PropertyGraph(merged(declared.unionByName(loose), ["node_id"], list(NODES)), merged(edges, ["src", "dst"], list(EDGES)), {})
+    return PropertyGraph(merged(declared.unionByName(loose), ["node_id"], list(NODES), 2 * n), merged(edges, ["src", "dst"], list(EDGES), n), {})
+
+
+def _unified_lists(docs: DataFrame | Elements) -> tuple[DataFrame, DataFrame, int]:
+    """``members`` of unified documents, nodes and edges, and how many both are at the most: elements in a table, from one pass over the documents."""
+    if isinstance(docs, Elements):
+        return members(docs, "unified", "nodes"), members(docs, "unified", "edges"), docs.rows.count()
+    fields = StructType.fromDDL(GRAPH_DOCUMENT)
+    node, edge = (fields[key].dataType.elementType.simpleString() for key in ("nodes", "edges"))
+    whole = F.coalesce(F.expr("try_variant_get(raw, '$.nodes', 'array<variant>')"), F.array().cast("array<variant>"))
+    pairs = F.zip_with("nodes", whole, lambda e, w: F.struct(e.alias("e"), w.alias("w")))  # taken from the document once, not once for each node
+    none = lambda kind: F.lit(None).cast(kind)
+    nodes = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["e"].alias("node"), none(edge).alias("edge"), p["w"].alias("whole")))
+    edges = F.transform(F.coalesce("edges", F.array().cast(docs.schema["edges"].dataType)), lambda e, i: F.struct(i.alias("pos"), none(node).alias("node"), e.alias("edge"), none("variant").alias("whole")))
+    rows = docs.select("file", F.explode_outer(F.when(F.col("functions").isNull(), F.concat(nodes, edges))).alias("m"))
+    rows, seen = counted(rows.where("m IS NOT NULL").select("file", "m.*"), n=F.count(F.lit(1)))
+    return rows.where("node IS NOT NULL").select("file", "pos", F.col("node").alias("e"), "whole"), rows.where("edge IS NOT NULL").select("file", "pos", F.col("edge").alias("e")), seen["n"]
 
 
 def load_graph(spark: SparkSession, paths: str | Sequence[str], part_bytes: int = PART_BYTES) -> PropertyGraph:
@@ -199,9 +216,10 @@ def load_graph(spark: SparkSession, paths: str | Sequence[str], part_bytes: int
     if bad:
         raise ValueError(f"not a graph document: {bad[0]['path']}")
     a, b = module_graph(docs), unified_graph(docs)
-    nodes = a.nodes.unionByName(b.nodes).withColumn("turn", F.col("ord.file"))
-    edges = a.edges.unionByName(b.edges).withColumn("turn", F.col("ord.file"))
-    return PropertyGraph(merged(nodes, ["node_id"], list(NODES)), merged(edges, ["src", "dst"], list(EDGES)), {"sources": given})
+    # a graph that has been merged before is in a table, as its rows are counted there
+    nodes, found = counted(a.nodes.unionByName(b.nodes).withColumn("turn", F.col("ord.file")), n=F.count(F.lit(1)))
+    edges, seen = counted(a.edges.unionByName(b.edges).withColumn("turn", F.col("ord.file")), n=F.count(F.lit(1)))
+    return PropertyGraph(merged(nodes, ["node_id"], list(NODES), found["n"]), merged(edges, ["src", "dst"], list(EDGES), seen["n"]), {"sources": given})
 
 
 def list_graph_files(spark: SparkSession, folder: str, excluded: DataFrame | None = None, modules: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def current(spark: SparkSession, out: str) -> PropertyGraph:
     """The graph of all batches so far; later batches override."""
     nodes = spark.read.parquet(f"{out}/nodes").withColumnRenamed("batch", "turn")
     edges = spark.read.parquet(f"{out}/edges").withColumnRenamed("batch", "turn")
-    return PropertyGraph(merged(nodes, ["node_id"], list(NODES)), merged(edges, ["src", "dst"], list(EDGES)), {})
+    return PropertyGraph(merged(nodes, ["node_id"], list(NODES), nodes.count()), merged(edges, ["src", "dst"], list(EDGES), edges.count()), {})
 
 
 def _versions(spark: SparkSession, out: str, what: str, least: int = -1) -> list[int]:

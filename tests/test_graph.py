@@ -426,7 +426,8 @@ def test_unify_plans_what_is_asked_for(spark):
     ]
     docs = readers.documents_of(spark.createDataFrame(texts, "path string, value string, file int"))
     assert [r["parsed"] for r in docs.orderBy("file").collect()] == [True, True, False, False, True]
-    functions, calls = readers.module_lists(docs)
+    functions, calls, n = readers.module_lists(docs)
+    assert n == 7
     for rows in (functions, calls):
         assert "from_json" not in rows._jdf.queryExecution().toString()
     assert functions.count() == readers.module_functions(docs).count() == 4 and calls.count() == readers.module_edges(docs).count() == 2
@@ -436,3 +437,15 @@ def test_unify_plans_what_is_asked_for(spark):
     assert not {"ends", "paired", "leads"} & set(vars(found))
     assert {tuple(r) for r in found.edges.select("src", "dst", "kind").collect()} == {("A.DLL!Run", "B.DLL!go", "import"), ("A.DLL!Go", "B.DLL!go", "forwarder")}
     assert [tuple(r) for r in found.unresolved.collect()] == [("A.DLL", "Lost", 2)]
+
+
+def test_merging_makes_parts_by_the_number_of_rows(spark, monkeypatch):
+    """More rows make more parts, not larger ones."""
+    from graphline import model
+
+    monkeypatch.setattr(model, "MERGED_ROWS", 3)
+    nodes = spark.createDataFrame([(f"n{k % 20}", f"p{k}") for k in range(40)], "node_id string, program string")
+    edges = spark.createDataFrame([("n1", "n2"), ("n2", "n3")], "src string, dst string")
+    found = PropertyGraph.compose([PropertyGraph.of(nodes, edges), PropertyGraph.of(nodes.where("node_id = 'n1'").withColumn("program", F.lit("later")).limit(1), edges)])
+    assert found.nodes.count() == 20 and found.edges.count() == 2 and found.nodes.where("program = 'later'").count() == 1
+    assert "hashpartitioning(node_id" in (plan := found.nodes._jdf.queryExecution().toString()) and ", 14)" in plan
