@@ -184,7 +184,7 @@ class Built:
 def integrity(unified: Unified, listed: int = 5) -> list[tuple[str, str, str]]:
     """Dangling edges and ids that stand for several nodes, which a graph must not have, and imports that nothing provides, which it may; of these the first by name."""
     graph = unified.graph
-    dangling, twice = quality.dangling_edges(graph.nodes, graph.edges).count(), quality.duplicate_ids(graph.nodes).count()
+    dangling, twice = quality.dangling_count(graph.nodes, graph.edges), quality.duplicate_ids(graph.nodes).count()
     loose = unified.unresolved.count()
     sample = ", ".join(f"{r['module']}!{r['symbol']}" for r in unified.unresolved.orderBy("module", "symbol").limit(listed).collect())
     return [

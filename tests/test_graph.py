@@ -449,3 +449,11 @@ def test_merging_makes_parts_by_the_number_of_rows(spark, monkeypatch):
     found = PropertyGraph.compose([PropertyGraph.of(nodes, edges), PropertyGraph.of(nodes.where("node_id = 'n1'").withColumn("program", F.lit("later")).limit(1), edges)])
     assert found.nodes.count() == 20 and found.edges.count() == 2 and found.nodes.where("program = 'later'").count() == 1
     assert "hashpartitioning(node_id" in (plan := found.nodes._jdf.queryExecution().toString()) and ", 14)" in plan
+
+
+def test_dangling_edges_keep_repeats_and_nulls(spark):
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",)], "node_id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "z"), ("a", "z"), ("z", "b"), (None, "b"), ("b", "a")], "src string, dst string")
+    lost = [("a", "z"), ("a", "z"), ("z", "b"), (None, "b")]
+    assert sorted(map(str, map(tuple, quality.dangling_edges(nodes, edges).collect()))) == sorted(map(str, lost))
+    assert quality.dangling_count(nodes, edges) == 4 and quality.dangling_count(nodes, edges.where("src = 'a' AND dst = 'b'")) == 0
