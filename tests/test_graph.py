@@ -342,6 +342,33 @@ def test_cover_in_batches(spark):
         assert set().union(*(h["covered"] for h in hooks)) == set(targets)
 
 
+def test_cover_of_many_copies_takes_no_more_rounds(spark, monkeypatch):
+    """Candidates that are best at all of their targets are picked together, so that rounds don't follow the size; one that is a target itself doesn't cover itself."""
+    rng = random.Random(6)
+    one = {f"c{k:02d}": {f"t{rng.randrange(12):02d}" for _ in range(rng.randrange(1, 5))} for k in range(6)}
+    rounds = {}
+    monkeypatch.setattr(cover, "FEW_PICKS", 1, raising=False)
+    for copies in (1, 5):
+        reach_of = {f"{n}-{i:02d}": {f"{t}-{i:02d}" for t in s} for n, s in one.items() for i in range(copies)}
+        targets = sorted(set().union(*reach_of.values()))
+        expected, covered = [], set()
+        while left := max(len(s - covered) for s in reach_of.values()):
+            best = min(n for n, s in reach_of.items() if len(s - covered) == left)
+            expected.append((best, left))
+            covered |= reach_of[best]
+        nodes = [(n, "P", n, "DEFAULT") for n in reach_of] + [(t, "Q", t, None) for t in targets]
+        g = PropertyGraph.of(spark.createDataFrame(nodes, "node_id string, program string, name string, source string"), spark.createDataFrame([(n, t) for n, s in reach_of.items() for t in s], "src string, dst string"))
+        aims = spark.createDataFrame([(t,) for t in [*targets, "c00-00"]], "node_id string")
+        tables = []
+        with monkeypatch.context() as patch:
+            patch.setattr(cover, "cut", lambda df: tables.append(1) or iterate.cut(df))
+            result = cover.greedy_cover(g, targets=aims, batch=4, batch_pairs=12)
+        assert [(h["node_id"], h["gain"]) for h in result.hooks.orderBy("step").collect()] == expected
+        assert column(result.uncovered) == ["c00-00"]
+        rounds[copies] = len(tables)
+    assert rounds[5] <= 2 * rounds[1]
+
+
 def test_inputs_are_resolved(spark, tmp_path):
     def module(path, name):
         path.parent.mkdir(parents=True, exist_ok=True)
