@@ -66,7 +66,8 @@ class Unified:
     def __init__(self, f: DataFrame, calls: DataFrame, exports: DataFrame, imports: DataFrame, hosts: DataFrame):
         self.f, self.calls = f, calls
         keys = ["module", "symbol_uc"]
-        self.stubs = f.where("imported AND name <> ''").select("module", "node_id", "entry_point", "place", "name", F.upper("name").alias("symbol_uc"))
+        # a symbol is its name where there is one, so stubs are dealt by symbol_uc as f is
+        self.stubs = f.where("imported AND name <> ''").select("module", "node_id", "entry_point", "place", "name", "symbol_uc")
         # dealt by what they are joined on before they are made distinct, so that they aren't dealt again
         self.imports = imports.repartition(*keys).dropDuplicates()
         self.forwarded = self.stubs.join(by_node(self.imports), keys)
@@ -79,7 +80,8 @@ class Unified:
         wanted = wanted.withColumn("symbol_uc", F.upper("symbol")).groupBy("module", "symbol_uc").agg(F.min("symbol").alias("symbol"))
         own = self.f.where("leads").select("module", "symbol_uc", F.col("node_id").alias("own_id"))
         found = wanted.join(by_node(own), ["module", "symbol_uc"], "left")
-        return cut(found.select("module", "symbol_uc", "symbol", F.coalesce("own_id", F.concat_ws("!", "module", "symbol")).alias("id"), F.col("own_id").isNull().alias("made")))
+        found = found.select("module", "symbol_uc", "symbol", F.coalesce("own_id", F.concat_ws("!", "module", "symbol")).alias("id"), F.col("own_id").isNull().alias("made"))
+        return bucketed(found, "module", "symbol_uc", dealt=True)
 
     def _calls_out(self) -> DataFrame:
         return self.f.where((F.col("module") == SYSCALL_MODULE) & has_prefix(F.coalesce("name", F.lit("")), SYSCALL_PREFIXES, False)).withColumn("syscall", F.concat(F.lit("SYSCALL:"), "name"))
@@ -163,7 +165,8 @@ def unify(docs: DataFrame, metadata: DataFrame, include_internal: bool = False)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("imported", "place"))
     base = F.concat_ws("!", "module", "symbol")
     f = f.withColumn("node_id", F.when(nth == 1, base).otherwise(F.concat(base, F.lit("@"), F.coalesce("entry_point", F.lit(""))))).withColumn("leads", first == 1)
-    f = cut(f.withColumn("source", F.coalesce(filled("source"), F.when(F.col("exported"), "EXPORTED"))).drop("exported"))
+    # kept dealt by module and symbol: stubs and ids are joined on them again
+    f = bucketed(f.withColumn("source", F.coalesce(filled("source"), F.when(F.col("exported"), "EXPORTED"))).drop("exported"), *keys, dealt=True)
     calls = calls.select(normalised_module("program").alias("module"), "caller", "callee", place().alias("place"))
     return Unified(f, calls, exports, imports, hosts)
 

@@ -369,6 +369,17 @@ def test_cover_of_many_copies_takes_no_more_rounds(spark, monkeypatch):
     assert rounds[5] <= 2 * rounds[1]
 
 
+def test_unified_functions_stay_dealt(spark, tmp_path):
+    """Stubs and ids are joined by module and symbol as they lie, and aren't shuffled for it."""
+    module(tmp_path, "a", "A.DLL", [function("0x1", "Open"), function("0x2", "Shut", "IMPORTED")], [("0x1", "0x2")])
+    meta = spark.createDataFrame([("A.DLL", [("b.dll", [("Shut",)])], [("Open",)])], "module string, imports array<struct<module: string, functions: array<struct<name: string>>>>, exports array<struct<name: string>>")
+    found = unify(readers.with_order(readers.documents(spark, str(tmp_path), "*.json")), meta)
+    assert [(r["src"], r["dst"]) for r in found.leads.collect()] == [("A.DLL!Shut", "B.DLL!Shut")]
+    for rows in (found.stubs, found.named):
+        plan = rows.groupBy("module", "symbol_uc").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
+
 def test_inputs_are_resolved(spark, tmp_path):
     def module(path, name):
         path.parent.mkdir(parents=True, exist_ok=True)
