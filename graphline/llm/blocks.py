@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphline.llm.common import shared_dir, shuffle_partitions, uri
-from graphline.llm.encode import release
+from graphline.llm.encode import tidy
+
+#: Rows that are copied at once.
+SLICE = 1024
+
 
 @dataclass
 class Side:
@@ -82,14 +86,15 @@ def keep(rows: DataFrame, docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     block, row = rows.columns.index("block"), rows.columns.index("row")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         reader, last, good = side.reader(), None, np.empty(0, np.int64)
         for batch in parts:
             for one, part in runs(batch, block):
                 if one != last:
                     last, good = one, reader.column(one, "row")
-                kept = part.filter(pa.array(np.isin(part.column(row).to_numpy(), good)))
-                yield pa.RecordBatch.from_arrays([kept.column(k) for k in at], columns)
+                for start in range(0, len(part), SLICE):
+                    some = part.slice(start, SLICE)
+                    kept = some.filter(pa.array(np.isin(some.column(row).to_numpy(), good)))
+                    yield pa.RecordBatch.from_arrays([kept.column(k) for k in at], columns)
 
-    found = rows.mapInArrow(run, rows.select(*columns).schema)
+    found = rows.mapInArrow(tidy(run), rows.select(*columns).schema)
     return found.toDF(*docs.columns)

@@ -43,8 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphline.llm.common import by_key, documents, stored
-from graphline.llm.encode import release, text_slices
+from graphline.llm.common import by_key, documents, small_batches, stored
+from graphline.llm.encode import text_slices, tidy
 from graphline.llm.filters import bloom, passing, tested
 from graphline.operators.components import components
 
@@ -75,7 +75,7 @@ class _Hashes(dict):
 class Shingler:
     """Sets of word shingles as sorted arrays of distinct 64-bit hashes; keeps the hashes of words it has seen."""
 
-    def __init__(self, size: int = SIZE, max_words: int = 300_000):
+    def __init__(self, size: int = SIZE, max_words: int = 100_000):
         self.size, self.max_words, self.hashes = size, max_words, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -117,13 +117,12 @@ def frequent_shingles(docs: DataFrame, sample_docs: int, least: int, most: int)
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         shingler = Shingler()
         for batch in parts:
             for _, _, texts in text_slices(batch.column(0), BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler(t) for t in texts]).view(np.int64))], ["h"])
 
-    counted = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counted = sample.mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.desc("n"), "h").limit(most).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64), np.array([r["n"] * share for r in reversed(top)], np.int64)
 
@@ -136,7 +135,6 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
     marks[ordered >> np.uint64(64 - MARKS)] = True
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         shingler = Shingler()
         for batch in parts:
             ids = batch.column(0)
@@ -153,7 +151,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(maps, pa.binary())], ["doc_id", "n", "digest", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, digest binary, prefix array<long>, bits binary")
 
 
 def first_of(s: np.ndarray, ordered: np.ndarray, rank_of: np.ndarray, marks: np.ndarray, length: int) -> np.ndarray:
@@ -231,7 +229,7 @@ def _tiles(pairs: DataFrame) -> DataFrame:
         if members:
             yield from closed()
 
-    return pairs.mapInArrow(run, "tile long, doc_id long").distinct()
+    return pairs.mapInArrow(tidy(run), "tile long, doc_id long").distinct()
 
 
 class Bitmaps:
@@ -355,7 +353,7 @@ def tile_pairs(members: DataFrame, leaders: bool, best: bool, percent: int) -> D
         if made:
             yield batch_of(reduced(np.concatenate(made), best))
 
-    return rows.mapInArrow(run, PAIRS)
+    return rows.mapInArrow(tidy(run), PAIRS)
 
 
 ROWS = np.dtype([("a", np.int64), ("b", np.int64), ("la", np.int64), ("lb", np.int64), ("near", np.float64), ("more", np.bool_)])
@@ -399,13 +397,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = passing(docs.select("doc_id", "text"), key, bloom(ids, key)).join(ids.hint("merge"), "doc_id", "left_semi")
 
     def shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         shingler = Shingler()
         for batch in parts:
             for a, b, texts in text_slices(batch.column(1), BATCH):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingler(t).tobytes() for t in texts], pa.binary())], ["doc_id", "s"])
 
-    sets = stored(texts.mapInArrow(shingle, "doc_id long, s binary"), "sets")
+    sets = stored(texts.mapInArrow(tidy(shingle), "doc_id long, s binary"), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
 
     def test(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +410,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             keep = [links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(test), "a long, b long")
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -436,7 +433,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, sample_docs: int =
     are ignored. ``sample_docs``, ``least`` and ``most`` bound the sample that
     orders the shingles; they bear on speed only.
     """
-    docs = documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    with small_batches(docs.sparkSession):
+        return _classes(documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), percent, sample_docs, least, most)
+
+
+def _classes(docs: DataFrame, percent: int, sample_docs: int, least: int, most: int) -> DataFrame:
     frequent, times = frequent_shingles(docs, sample_docs, least, most)
     table = stored(signatures(docs, frequent, percent), "signatures")
     known = table.where("n > 0 AND doc_id IS NOT NULL")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphline.llm.blocks import Side, SideReader, keep, runs
 from graphline.llm.common import attach, stored
-from graphline.llm.encode import release, text_slices
+from graphline.llm.encode import text_slices, tidy
 from graphline.llm.places import placed
 
 #: Symbols are code points or BOUNDARY, of BITS bits; a context of ORDER - 1 symbols fits a long.
@@ -106,7 +106,6 @@ def grams(rows: DataFrame, trusted: Side) -> DataFrame:
     """(block, h, w, c): the grams of each block of ``rows`` (block, doc_id, text), and how often they occur in its trusted texts."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         reader, last, good = trusted.reader(), None, np.empty(0, np.int64)
         for batch in parts:
             for block, part in runs(batch, 0):
@@ -126,7 +125,7 @@ def grams(rows: DataFrame, trusted: Side) -> DataFrame:
                         c = np.concatenate([n, np.zeros(len(rest), np.int64)])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(h), pa.array(w), pa.array(c)], ["block", "h", "w", "c"])
 
-    found = rows.select("block", "doc_id", "text").mapInArrow(count, GRAMS)
+    found = rows.select("block", "doc_id", "text").mapInArrow(tidy(count), GRAMS)
     return stored(found.groupBy("block", "h", "w").agg(F.sum("c").alias("c")), "grams")
 
 
@@ -233,7 +232,6 @@ def scored(rows: DataFrame, model: tuple[Side, Side]) -> DataFrame:
     trusted, bits = model
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         reader, told, last, good = trusted.reader(), BlockModel(bits.reader()), None, np.empty(0, np.int64)
         for batch in parts:
             for block, part in runs(batch, 0):
@@ -249,7 +247,7 @@ def scored(rows: DataFrame, model: tuple[Side, Side]) -> DataFrame:
                     mean = per_sum(each, sizes + ORDER - 1) / np.maximum(sizes, 1)
                     yield pa.RecordBatch.from_arrays([*(part.column(k).slice(a, b - a) for k in range(4)), pa.array(sizes), pa.array(np.exp2(mean), mask=sizes == 0), pa.array(ours[a:b])], NAMES)
 
-    return rows.select("block", "row", "doc_id", "lang", "text").mapInArrow(run, SCORES)
+    return rows.select("block", "row", "doc_id", "lang", "text").mapInArrow(tidy(run), SCORES)
 
 
 NAMES = [f.split()[0] for f in SCORES.split(", ")]

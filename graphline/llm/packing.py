@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphline.llm.common import documents, shuffle_partitions, stored
-from graphline.llm.encode import encoder, text_batches
+from graphline.llm.encode import encoder, text_batches, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, width: int = 4096) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done, done + n))], [*batch.schema.names, "part", "nth"])
             done += n
 
-    ranked = stored(ranked.mapInArrow(number, PIECES + ", part int, nth long"), "ranked")
+    ranked = stored(ranked.mapInArrow(tidy(number), PIECES + ", part int, nth long"), "ranked")
     # one row per shuffle partition
     parts = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm_cases import base_counts, components, frame, lower, shingles, texts
@@ -415,6 +416,42 @@ def test_jaccard_of_every_path(spark, monkeypatch):
     assert 10 < len(set(want.values())) < 150
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """A task of near_dedup, the filter by place and the model gives back encoders, and what it held itself when it ends; each did so before its work alone, and for encoders alone."""
+    trims = []
+    monkeypatch.setattr(encode.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(trims.append)}))
+
+    class Taken:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    encode.encoder("word", public_tokenizers.path("word_bpe_49k.json"))
+    run = jaccard.signatures(Taken(), np.empty(0, np.uint64), 75).run
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e f", None])], ["doc_id", "text"])
+    out = run(iter([batch]))
+    assert next(out).num_rows == 2
+    assert not encode._KEPT
+    during = len(trims)
+    assert list(out) == []
+    assert len(trims) > during
+
+
+def test_jaccard_sends_small_batches(spark, monkeypatch):
+    """The 64 MB of Spark's batches are held twice for each task; the setting of the session is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    real = jaccard.signatures
+    monkeypatch.setattr(jaccard, "signatures", lambda *a: seen.append(spark.conf.get(key)) or real(*a))
+    rows = [(k, f"one two three four five six {k // 2}") for k in range(6)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+    assert seen == ["4m"] and spark.conf.get(key) == before
+
+
 def test_jaccard_pairs_tested_before(spark):
     """The nearest pair of two components fails, another of theirs is at exactly 75 %."""
 
