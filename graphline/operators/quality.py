@@ -56,6 +56,14 @@ def dangling_count(nodes: DataFrame, edges: DataFrame) -> int:
     return 0 if lost.isEmpty() else dangling_edges(nodes, edges).count()
 
 
+def ids_amiss(nodes: DataFrame, edges: DataFrame) -> tuple[int, int]:
+    """How many ends of edges the node list doesn't declare, and how many ids it has more than once: both are told by one grouping of nodes and ends by id."""
+    rows = nodes.select("node_id", F.lit(1).alias("declared"), F.lit(False).alias("end")).union(edges.select(F.explode(F.array("src", "dst")), F.lit(0), F.lit(True)))
+    ids = rows.groupBy("node_id").agg(F.sum("declared").alias("n"), F.max("end").alias("end"))
+    row = ids.agg(F.count_if(F.col("end") & ((F.col("n") == 0) | F.col("node_id").isNull())).alias("lost"), F.count_if(F.col("n") > 1).alias("twice")).first()
+    return row["lost"], row["twice"]
+
+
 def raw_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The node and edge lists of unified documents as they stand, before anything is merged or added."""
     n = docs.where("nodes IS NOT NULL").select(F.explode("nodes").alias("n")).select(F.coalesce(filled("n.id"), filled("n.node_id")).alias("node_id")).where("node_id IS NOT NULL")

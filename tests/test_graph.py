@@ -477,6 +477,47 @@ def test_unify_plans_what_is_asked_for(spark):
     assert [tuple(r) for r in found.unresolved.collect()] == [("A.DLL", "Lost", 2)]
 
 
+def test_build_checks_edges_as_they_lie(spark, monkeypatch):
+    """Integrity and paths need no grouping of edges by pairs, and few targets no dealing of them; both say what they say of the graph."""
+    from graphline.operators import spread, unify as unifying
+
+    stub = lambda at, name: {"entry_point": at, "name": name, "source": "IMPORTED"}
+    a = {"program": "a.dll", "functions": [{"entry_point": "1", "name": "Run"}, stub("2", "Go"), stub("3", "Lost"), stub("4", "Open"), stub("4", "Go")], "edges": [{"caller": "1", "callee": c} for c in ("2", "2", "3", "4")]}
+    b = {"program": "b.dll", "functions": [{"entry_point": "1", "name": "go"}, stub("2", "NtGo"), stub("3", "Open")], "edges": [{"caller": "1", "callee": "2"}]}
+    native = {"program": "ntdll.dll", "functions": [{"entry_point": "1", "name": "NtGo"}], "edges": []}
+    texts = [(d["program"], json.dumps(d), k) for k, d in enumerate((a, b, native))]
+    named = "module string, imports array<struct<module:string,functions:array<struct<name:string>>>>, exports array<struct<name:string>>"
+    meta = [("A.DLL", [("api-ms-b", [("Go",)]), ("b", [("Open",)])], [("Run",)]), ("B.DLL", [("ntdll", [("NtGo",)])], [("go",)]), ("NTDLL.DLL", [], [("NtGo",)]), ("API-MS-B.DLL", [("b", [("Go",)])], [("Go",)])]
+    meta = spark.createDataFrame(meta, named)
+    asked = [("A.DLL!Run", "SYSCALL:NtGo"), ("A.DLL!Run", "A.DLL!Lost"), ("API-MS-B.DLL!Go", "B.DLL!go"), ("B.DLL!Open", "B.DLL!go"), ("A.DLL!Open", "B.DLL!Open"), ("GONE!x", "B.DLL!go")]
+    pairs = spark.createDataFrame([*asked, asked[0]], "source string, target string")
+    docs = readers.documents_of(spark.createDataFrame(texts, "path string, value string, file int"))
+    verdicts = ["ok", "failed", "ok", "failed", "ok", "skipped"]  # a call of what nothing provides leads nowhere
+    for few in (spread.FEW_ROWS, 0):
+        with monkeypatch.context() as patch:
+            patch.setattr(spread, "FEW_ROWS", few)
+            built = unifying.build(docs, meta, pairs=pairs)
+            told = {r["subject"]: r["verdict"] for r in built.verdicts.where("check = 'path'").collect()}
+        assert told == {f"{s} -> {t}": v for (s, t), v in zip(asked, verdicts, strict=True)}
+        assert not {"paired", "graph"} & set(vars(built.unified))
+    rest = {r["check"]: (r["subject"], r["verdict"]) for r in built.verdicts.where("check <> 'path'").collect()}
+    assert rest == {"dangling edges": ("0", "ok"), "duplicate ids": ("0", "ok"), "unresolved imports": ("2: A.DLL!Lost, B.DLL!Open", "failed"), "system calls": ("1 of 1", "ok")}
+    pairs_of = lambda rows: {(r["src"], r["dst"]) for r in rows.collect()}
+    lying = pairs_of(built.unified.ungrouped)
+    assert pairs_of(built.unified.graph.edges) == lying and built.unified.graph.edges.count() == len(lying)
+    assert all(quality.ids_amiss(built.unified.nodes, rows) == (0, 0) for rows in (built.unified.ungrouped, built.unified.edges))
+    twice = json.dumps({"program": "a.dll", "functions": [{"entry_point": "1", "name": "Run"}] * 3, "edges": []})
+    with pytest.raises(ValueError, match="1 duplicate ids"):
+        unifying.build(readers.documents_of(spark.createDataFrame([("a.dll", twice, 0)], "path string, value string, file int")), meta)
+
+
+def test_ids_amiss_tells_lost_ends_and_repeated_ids(spark):
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",)], "node_id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "z"), ("a", "z"), ("y", "b"), (None, "b")], "src string, dst string")
+    assert quality.ids_amiss(nodes, edges) == (3, 1)
+    assert quality.ids_amiss(nodes.distinct(), edges.where("src = 'a' AND dst = 'b'")) == (0, 0)
+
+
 def test_merging_makes_parts_by_the_number_of_rows(spark, monkeypatch):
     """More rows make more parts, not larger ones."""
     from graphline import model
